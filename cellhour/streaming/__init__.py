@@ -1,0 +1,4 @@
+"""Intentionally empty: every source of this engine is a finished set of files.
+
+The reporting windows in `operators.evaluate` are batch tumbling windows.
+"""
