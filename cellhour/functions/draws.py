@@ -24,14 +24,14 @@ def allocate(sizes: DataFrame, keys: Sequence[str], n: int, size: str = "size")
     `sizes` has one row per stratum. Equal remainders go by stratum key, so
     the result is the same on every run.
     """
-    total = sizes.agg(F.sum(size).alias("total"))
-    exact = sizes.crossJoin(F.broadcast(total)).withColumn("exact", F.col(size) / F.col("total") * n)
-    exact = exact.withColumns({"floor": F.floor("exact")}).withColumn(
-        "fraction", F.col("exact") - F.col("floor"))
-    left = exact.agg((F.lit(n) - F.sum("floor")).alias("left"))
-    # One row per stratum: the strata are cells by months, not data rows.
+    # One row per stratum: strata are cells by months, not data rows.
+    whole = Window.partitionBy()
+    exact = sizes.withColumn("exact", F.col(size) / F.sum(size).over(whole) * n)
+    exact = exact.withColumn("floor", F.floor("exact")).withColumns({
+        "fraction": F.col("exact") - F.col("floor"),
+        "left": F.lit(n) - F.sum("floor").over(whole)})
     order = Window.orderBy(F.desc("fraction"), *[F.asc(k) for k in keys])
-    given = exact.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(left))
+    given = exact.withColumn("place", F.row_number().over(order))
     take = F.col("floor") + (F.col("place") <= F.col("left")).cast("bigint")
     return given.select(*keys, F.col(size), F.least(take, F.col(size)).alias("take"))
 

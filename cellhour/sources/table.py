@@ -47,7 +47,7 @@ def sidecar(table: DataFrame) -> DataFrame:
         F.avg((F.col(TARGET) == 0).cast("double")).alias("zero_target_share"),
         F.min("time").alias("first_period"), F.max("time").alias("last_period"))
     return (facts.withColumn("n_columns", F.lit(len(table.columns)))
-            .crossJoin(F.broadcast(coverage)))  # one row each
+            .join(F.broadcast(coverage), F.lit(True)))  # one row beside one row
 
 
 def write_sidecar(table: DataFrame, domain: Domain, path: str) -> dict:
