@@ -16,14 +16,15 @@ ALIASES = {"valid_time": "time", "forecast_reference_time": "time",
 KEYS = ["lat", "lon", "time"]
 
 
-def normalise(rows: DataFrame, names: Sequence[str] = tuple(FIELD_SHORT_NAMES)) -> DataFrame:
+def normalise(rows: DataFrame, names: Sequence[str] = tuple(FIELD_SHORT_NAMES),
+              keep: Sequence[str] = ()) -> DataFrame:
     """Common coordinate names, known variables only, hourly key, longitude in -180..180."""
     renamed = rows.withColumnsRenamed({a: b for a, b in ALIASES.items() if a in rows.columns})
     if "time" not in renamed.columns:
         raise ValueError("no recognisable time coordinate")
     known = [c for c in renamed.columns if c in names]
     return renamed.select(
-        "lat", geo.wrap_longitude(F.col("lon")).alias("lon"),
+        *keep, "lat", geo.wrap_longitude(F.col("lon")).alias("lon"),
         clean.period(F.col("time"), "hour").alias("time"),
         *[clean.finite(F.col(c).cast("double")).alias(c) for c in known])
 

@@ -20,9 +20,9 @@ DOCUMENT = (f"STRUCT<type: STRING, features: ARRAY<{FEATURE}>, "
 
 
 def read_documents(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.json") -> DataFrame:
-    """One row per file: name and whole text."""
+    """One row per file: path and whole text."""
     return (spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
-            .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
+            .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
 def explode_series(documents: DataFrame) -> DataFrame:
