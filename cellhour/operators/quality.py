@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import SLICE_ROWS, quantile_table
 from ..model import INTENSITY, KEY, TARGET
 
 
@@ -110,11 +111,24 @@ def intensity_usable(table: DataFrame, columns: Sequence[str] = INTENSITY) -> Da
                      F.try_divide(usable, F.count_if(eventful)).alias("share"))
 
 
+def not_finite(name: str) -> Column:
+    value = F.col(name).cast("double")
+    return value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+
+
+def fit_inputs(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """What would stop a fit: values missing or not finite, and columns without quartile spread."""
+    counts = df.agg(*[F.count_if(not_finite(c)).alias(c) for c in columns])
+    long = counts.unpivot([], list(columns), "column", "n_bad")
+    spread = quantile_table(df, columns, [0.25, 0.75], slice_rows).select(
+        "column", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    return (long.join(F.broadcast(spread), "column", "left")
+            .withColumn("fits", (F.col("n_bad") == 0) & F.coalesce(F.col("iqr") > 0, F.lit(False))))
+
+
 def check_fit_inputs(df: DataFrame, columns: Sequence[str]) -> None:
     """Nothing is imputed, so a null, NaN or infinity in a fitted column is a fault."""
-    bad = lambda c: (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
-                     | (F.abs(F.col(c).cast("double")) == F.lit(float("inf"))))
-    counts = df.agg(*[F.count_if(bad(c)).alias(c) for c in columns]).first().asDict()
+    counts = df.agg(*[F.count_if(not_finite(c)).alias(c) for c in columns]).first().asDict()
     found = {c: n for c, n in counts.items() if n}
     if found:
         raise ValueError(f"values missing or not finite: {found}")
