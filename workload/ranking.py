@@ -1 +1,153 @@
-"""Queries."""
+"""Relevance, redundancy and selection of features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cellhour.operators import selection
+from cellhour.plans import screen
+from cellhour.session import scratch
+
+from .adapters import ROW_KEY, V_TABLE, Tables
+from .profiles import union
+from .registry import query
+
+FEATURES = ["T2M", "RH2M", "WS2M", "CAPE"]
+ARM_NAMES = ["T2M", "RH2M", "WS2M", "CAPE", "KX", "hour_sin", "cloud_water"]
+DECILES = "[" + ", ".join(f"0.{i}" for i in range(1, 10)) + "]"
+
+
+def bin_sql(c: str, rows: str) -> str:
+    return (f"""len(list_filter((SELECT list_distinct(quantile_cont({c}, {DECILES})) FROM {rows}), lambda e: e < {c}))""")
+
+
+def mi_sql(name: str, rows: str, label: str) -> str:
+    """feature, mi and label entropy from decile bins of each feature."""
+    cells = " UNION ALL ".join(f"""SELECT '{c}' AS feature, {bin_sql(f'"{c}"', rows)} AS bin, {label} AS y FROM {rows}"""
+                               for c in FEATURES)
+    return f"""{name}_n AS (SELECT feature, bin, y, CAST(count(*) AS DOUBLE) AS n FROM ({cells}) c GROUP BY 1, 2, 3),
+{name} AS (SELECT feature, sum(p * ln(p / (pb * pl))) AS mi, -sum(p * ln(pl)) AS h FROM (SELECT feature,
+  n / sum(n) OVER f AS p, sum(n) OVER (PARTITION BY feature, bin) / sum(n) OVER f AS pb,
+  sum(n) OVER (PARTITION BY feature, y) / sum(n) OVER f AS pl FROM {name}_n WINDOW f AS (PARTITION BY feature)) s GROUP BY feature)"""
+
+
+TRAIN = "v_train AS (SELECT * FROM v_table WHERE year <> 2001)"
+FLASHING = "v_flashing AS (SELECT *, ln(1e0 + flash_count) AS level FROM v_table WHERE year <> 2001 AND flash_count > 0)"
+OCCURRENCE = [V_TABLE, TRAIN, mi_sql("v_mi", "v_train", "CASE WHEN flash_count > 0 THEN 1 ELSE 0 END")]
+COUNT = [V_TABLE, FLASHING, mi_sql("v_mi", "v_flashing", bin_sql("level", "v_flashing"))]
+
+
+def train(t: Tables) -> DataFrame:
+    return t.table.filter("year <> 2001")
+
+
+@query("K1_relevance_occurrence", "feature:s relevance:d", "SELECT feature, mi / h AS relevance FROM v_mi", OCCURRENCE)
+def relevance_occurrence(t: Tables) -> DataFrame:
+    return selection.occurrence_relevance(train(t), selection.bin_edges(train(t), FEATURES))
+
+
+@query("K2_relevance_count", "feature:s relevance:d", "SELECT feature, mi / (SELECT max(mi) FROM v_mi) AS relevance FROM v_mi", COUNT)
+def relevance_count(t: Tables) -> DataFrame:
+    rows = train(t).filter("flash_count > 0")
+    level = rows.select(F.log1p(F.col("flash_count").cast("double")).alias("level"))
+    return selection.count_relevance(rows, selection.bin_edges(rows, FEATURES),
+                                     selection.bin_edges(level, ["level"])["level"])
+
+
+def rank_of(c: str) -> str:
+    return f'rank() OVER (ORDER BY "{c}") + (count(*) OVER (PARTITION BY "{c}") - 1) / 2e0 AS "{c}"'
+
+
+RANKS = "v_ranks AS (SELECT " + ", ".join(rank_of(c) for c in FEATURES) + " FROM v_train)"
+RHO2 = "v_rho AS (" + union(f"""SELECT '{a}' AS candidate, '{b}' AS chosen, pow(corr("{a}", "{b}"), 2) AS r2 FROM v_ranks"""
+                            for a in FEATURES for b in FEATURES if a != b) + ")"
+
+
+@query("K3_rank_redundancy", "candidate:s chosen:s r2:d", "SELECT * FROM v_rho", [V_TABLE, TRAIN, RANKS, RHO2])
+def rank_redundancy(t: Tables) -> DataFrame:
+    """With one feature chosen, the explained share is the squared rank correlation."""
+    ranks = selection.rank_moments(train(t), FEATURES, ROW_KEY)
+    rows = [(a, b, selection.rank_r2(ranks, a, [b])) for a in FEATURES for b in FEATURES if a != b]
+    return t.spark.createDataFrame(rows, "candidate STRING, chosen STRING, r2 DOUBLE")
+
+
+@query("K3b_joint_redundancy", "candidate:s chosen:s r2:d")
+def joint_redundancy(t: Tables) -> DataFrame:
+    ranks = selection.rank_moments(train(t), FEATURES, ROW_KEY)
+    rows = [(c, "+".join(x for x in FEATURES if x != c), selection.rank_r2(ranks, c, [x for x in FEATURES if x != c]))
+            for c in FEATURES]
+    return t.spark.createDataFrame(rows, "candidate STRING, chosen STRING, r2 DOUBLE")
+
+
+@query("K4_greedy_two_steps", "position:l feature:s relevance:d redundancy:d score:d",
+       """SELECT 1 AS position, feature, relevance, 0e0 AS redundancy, relevance AS score FROM first UNION ALL
+       SELECT 2, feature, relevance, r2, relevance - r2 FROM (SELECT m.feature, m.mi / m.h AS relevance, r.r2,
+       row_number() OVER (ORDER BY m.mi / m.h - r.r2 DESC) AS place FROM v_mi m, first, v_rho r
+       WHERE r.candidate = m.feature AND r.chosen = first.feature) x WHERE place = 1""",
+       [*OCCURRENCE, RANKS, RHO2, "first AS (SELECT feature, mi / h AS relevance FROM v_mi ORDER BY mi / h DESC LIMIT 1)"])
+def greedy_two_steps(t: Tables) -> DataFrame:
+    found = {r["feature"]: r["relevance"] for r in relevance_occurrence(t).collect()}
+    ranks = selection.rank_moments(train(t), FEATURES, ROW_KEY)
+    return selection.step_table(t.table, selection.greedy({f: found[f] for f in FEATURES}, ranks, 2))
+
+
+@query("K4b_greedy_order", "position:l feature:s relevance:d redundancy:d score:d")
+def greedy_order(t: Tables) -> DataFrame:
+    found = {r["feature"]: r["relevance"] for r in relevance_occurrence(t).collect()}
+    ranks = selection.rank_moments(train(t), FEATURES, ROW_KEY)
+    return selection.step_table(t.table, selection.greedy({f: found[f] for f in FEATURES}, ranks))
+
+
+def half(t: Tables) -> int:
+    return train(t).count() // 2
+
+
+@query("K5_seeded_ranking", "feature:s share_in_top_k:d mean_position:d")
+def seeded_ranking(t: Tables) -> DataFrame:
+    """Five draws of half the training rows each."""
+    rows = screen.feature_rows(train(t), ARM_NAMES, ROW_KEY)
+    ranking = selection.rank_stage(rows, ARM_NAMES, "occurrence", ROW_KEY, sample_rows=half(t))
+    return selection.stability(ranking.orders_table(t.table), 3)
+
+
+@query("K6_screen_arm", "arm:s stage:s position:l feature:s relevance:d redundancy:d score:d")
+def screen_arm(t: Tables) -> DataFrame:
+    result = screen.screen_arm(train(t), "full", ROW_KEY, ARM_NAMES, seeds=2, sample_rows=half(t))
+    return screen.steps_table(t.table, [result])
+
+
+@query("K7_screen_domain", "arm:s stage:s position:l feature:s relevance:d redundancy:d score:d")
+def screen_domain(t: Tables) -> DataFrame:
+    """All arms of one domain over every candidate the contract names."""
+    tropis = t.table.filter("domain = 'tropis'")
+    results = screen.screen_domain(tropis, 2001, key=ROW_KEY, seeds=2)
+    return screen.steps_table(t.table, list(results.values()))
+
+
+@query("K8_screen_shared", "arm:s stage:s position:l feature:s relevance:d redundancy:d score:d")
+def screen_shared(t: Tables) -> DataFrame:
+    domains = [t.table.filter(F.col("domain") == d) for d in ("tropis", "subtropis")]
+    return screen.steps_table(t.table, [screen.screen_shared(domains, 2001, key=ROW_KEY, names=ARM_NAMES, seeds=2)])
+
+
+RELEVANCE_ORDER = [V_TABLE, TRAIN, OCCURRENCE[2],
+                   """v_order AS (SELECT feature, row_number() OVER (ORDER BY mi DESC) AS position FROM v_mi)"""]
+
+
+@query("K9_stored_selection", "scope:s domain:s stage:s position:l feature:s",
+       """SELECT 'within' AS scope, domain, stage, position, feature FROM v_order,
+       (VALUES ('tropis'), ('subtropis')) d(domain), (VALUES ('occurrence'), ('count')) s(stage) WHERE position <= 3 UNION ALL
+       SELECT 'shared', NULL, stage, position, feature FROM v_order, (VALUES ('occurrence'), ('count')) s(stage)
+       WHERE position <= 3""", RELEVANCE_ORDER)
+def stored_selection(t: Tables) -> DataFrame:
+    """Top three by relevance as every set, stored and read back through the contract."""
+    order = [r["feature"] for r in relevance_occurrence(t).orderBy(F.desc("relevance")).collect()]
+    ranking = selection.Ranking([selection.Step(f, 0.0, 0.0, 0.0) for f in order], {})
+    result = screen.ArmResult("full", order, {"occurrence": ranking, "count": ranking})
+    sets = screen.feature_sets(t.spark, {"tropis": result, "subtropis": result}, result, 3)
+    path = scratch(t.spark, "sets")
+    screen.write_sets(sets, path)
+    return screen.read_sets(t.spark, path)
+
+
