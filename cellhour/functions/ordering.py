@@ -177,15 +177,17 @@ def with_ranks(df: DataFrame, columns: Sequence[str], key: Sequence[str], suffix
     frequent enough to make a hot shuffle key are broadcast there as well.
     """
     sizes = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+                   *[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c))).alias(c) for c in columns]).first()
     few = [c for c in columns if sizes[c] <= broadcast_values]
     many = [c for c in columns if c not in few]
     out = df
-    for c in few:
-        one = running_totals(df.filter(F.col(c).isNotNull()).groupBy(c)
-                             .agg(F.count(F.lit(1)).alias("n")), [], ["n"], order=c, sliced=False)
-        table = one.select(F.col(c), (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"{c}{suffix}"))
-        out = out.join(F.broadcast(table), c, "left")
+    if few:
+        # At most `broadcast_values` rows per column, read once per column below.
+        tables = average_ranks(df, few, slice_rows).persist()
+        for c in few:
+            one = tables.filter(F.col("column") == c).select(
+                F.col("value").alias(f"_{c}"), F.col("rank").alias(f"{c}{suffix}"))
+            out = out.join(F.broadcast(one), F.col(c).cast("double") == F.col(f"_{c}"), "left").drop(f"_{c}")
     if many:
         ranks = average_ranks(df, many, slice_rows)
         hot_rows = max(slice_rows, sizes["n"] // 1000)

@@ -76,7 +76,7 @@ def logistic(train: DataFrame, names: Sequence[str], target: str, c: float = 1.0
     try:
         n = rows.count()
         fit = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                                 maxIter=max_iter, tol=1e-9).fit(rows)
+                                 maxIter=max_iter, tol=1e-7).fit(rows)
     finally:
         rows.unpersist()
     return Linear(list(names), fit.coefficients.toArray().tolist(), float(fit.intercept), "logit")

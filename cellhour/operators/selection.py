@@ -63,11 +63,17 @@ def occurrence_relevance(df: DataFrame, edges: dict[str, list[float]],
     return mi.select(*by, "feature", value.alias("relevance"))
 
 
+def count_information(df: DataFrame, edges: dict[str, list[float]], count_edges: Sequence[float],
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Information each feature holds about the size of the count, where there are events."""
+    level = bin_number(F.log1p(F.col(TARGET).cast("double")), count_edges)
+    return mutual_information(contingency(df, edges, level, by), by)
+
+
 def count_relevance(df: DataFrame, edges: dict[str, list[float]], count_edges: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
-    """Information about the size of the count where there are events, relative to the best feature."""
-    level = bin_number(F.log1p(F.col(TARGET).cast("double")), count_edges)
-    mi = mutual_information(contingency(df, edges, level, by), by)
+    """Count information relative to the best feature; only the order within one table means anything."""
+    mi = count_information(df, edges, count_edges, by)
     top = F.max("mi").over(Window.partitionBy(*by))
     value = F.when(top > 0, F.col("mi") / top).otherwise(F.col("mi"))
     return mi.select(*by, "feature", value.alias("relevance"))
@@ -147,10 +153,38 @@ class Ranking:
         return df.sparkSession.createDataFrame(rows, "seed INT, feature STRING, position INT")
 
 
-def rank_stage(df: DataFrame, features: Sequence[str], stage: str, key: Sequence[str],
-               seeds: int = SEEDS, sample_rows: int = MI_ROWS, bins: int = BINS,
-               number=draw_number, **limits: int) -> Ranking:
-    """Relevance over seeded row draws, redundancy over all rows, then the greedy order.
+@dataclass(frozen=True)
+class StageStatistics:
+    """What every selection on one stage's rows starts from: information per draw, and rank moments.
+
+    Neither depends on which other features are candidates, so one computation
+    serves all arms.
+    """
+
+    stage: str
+    by_seed: dict[int, dict[str, float]]
+    ranks: Moments
+
+    def relevance(self, seed: int, names: Sequence[str]) -> dict[str, float]:
+        values = {n: self.by_seed[seed][n] for n in names}
+        top = max(values.values(), default=0.0)
+        if self.stage == "count" and top > 0:
+            return {n: v / top for n, v in values.items()}
+        return values
+
+    def select(self, names: Sequence[str]) -> Ranking:
+        """Greedy order per draw, and on the mean relevance of all draws."""
+        ranks = self.ranks.part(list(names))
+        drawn = {s: self.relevance(s, names) for s in self.by_seed}
+        orders = {s: [step.feature for step in greedy(v, ranks)] for s, v in drawn.items()}
+        mean = {n: float(np.mean([v[n] for v in drawn.values()])) for n in names}
+        return Ranking(greedy(mean, ranks), orders)
+
+
+def stage_statistics(df: DataFrame, features: Sequence[str], stage: str, key: Sequence[str],
+                     seeds: int = SEEDS, sample_rows: int = MI_ROWS, bins: int = BINS,
+                     number=draw_number, **limits: int) -> StageStatistics:
+    """Information over seeded row draws, and rank moments over all rows of the stage.
 
     `df` has the key, the features and the target; the count stage sees rows
     with events only. All draws are counted in one job with the draw as a key.
@@ -160,24 +194,29 @@ def rank_stage(df: DataFrame, features: Sequence[str], stage: str, key: Sequence
     edges = bin_edges(rows, features, bins)
     keys = [F.col(k) for k in key]
     if n <= sample_rows:
-        drawn = rows.select("*", F.explode(F.array(*[F.lit(s) for s in range(seeds)])).alias("seed"))
+        # Every draw is the whole table: count it once and read it for each seed.
+        drawn, copies = rows.withColumn("seed", F.lit(0)), range(seeds)
     else:
-        drawn = None
+        drawn, copies = None, [0]
         for s in range(seeds):
             one = seeded_sample(rows, sample_rows, number(SEED + s, *keys), key).withColumn("seed", F.lit(s))
             drawn = one if drawn is None else drawn.unionByName(one)
     if stage == "occurrence":
-        relevance = occurrence_relevance(drawn, edges, ["seed"])
+        information = occurrence_relevance(drawn, edges, ["seed"])
     else:
         level = rows.select(F.log1p(F.col(TARGET).cast("double")).alias("level"))
-        relevance = count_relevance(drawn, edges, bin_edges(level, ["level"], bins)["level"], ["seed"])
-    found = relevance.collect()  # seeds x features
-    by_seed = {s: {r["feature"]: r["relevance"] for r in found if r["seed"] == s} for s in range(seeds)}
+        information = count_information(drawn, edges, bin_edges(level, ["level"], bins)["level"], ["seed"])
+        information = information.withColumnRenamed("mi", "relevance")
+    by_seed: dict[int, dict[str, float]] = {}
+    for r in information.collect():  # seeds x features
+        for copy in copies:
+            by_seed.setdefault(r["seed"] + copy, {})[r["feature"]] = r["relevance"]
     ranks = rank_moments(rows.select(*key, *[f for f in features if f not in key]), features, key, **limits)
-    listed = lambda values: {f: values[f] for f in features}
-    orders = {s: [step.feature for step in greedy(listed(v), ranks)] for s, v in by_seed.items()}
-    mean = {f: float(np.mean([v[f] for v in by_seed.values()])) for f in features}
-    return Ranking(greedy(mean, ranks), orders)
+    return StageStatistics(stage, by_seed, ranks)
+
+
+def rank_stage(df: DataFrame, features: Sequence[str], stage: str, key: Sequence[str], **options) -> Ranking:
+    return stage_statistics(df, features, stage, key, **options).select(features)
 
 
 def compare_stages(selected: DataFrame) -> DataFrame:

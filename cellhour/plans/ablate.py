@@ -139,7 +139,7 @@ def run_widths(train: DataFrame, test: DataFrame, widths: Sequence[int] = (SELEC
     and every width reads a prefix of that order.
     """
     arms = arms or {a: None for a in screen.ARMS}
-    ranked = {arm: screen.screen_arm(train, arm, key, names, **options) for arm, names in arms.items()}
+    ranked = screen.screen_arms(train, arms, key, **options)
     out = None
     for width in sorted(set(widths)):
         results = {}

@@ -217,6 +217,11 @@ def run_grid(tables: dict[str, DataFrame], settings: Settings, path: str,
     return records.load(spark, path)
 
 
+def sweep_settings(settings: Settings) -> Settings:
+    """Sweeps compare rather than measure: fewer training rows and test days."""
+    return replace(settings, train_rows=1_000, test_days=20)
+
+
 def run_sweep(table: DataFrame, axis: str, values: Sequence, settings: Settings, path: str,
               fold: tuple[list[int], int] = FOLDS[2], stage: str = "occurrence", seed: int = 0,
               **options) -> DataFrame:

@@ -32,19 +32,27 @@ def feature_rows(table: DataFrame, names: Sequence[str], key: Sequence[str]) ->
     return features.matrix(table, names, keep)
 
 
+def screen_arms(train: DataFrame, arms: dict[str, Sequence[str] | None], key: Sequence[str] = KEY,
+                **options) -> dict[str, ArmResult]:
+    """Several arms from one pass of statistics per stage over the union of their features."""
+    names = {arm: list(given or features.arm_features(train, arm)) for arm, given in arms.items()}
+    every = list(dict.fromkeys(n for listed in names.values() for n in listed))
+    rows = feature_rows(train, every, key)
+    statistics = {stage: selection.stage_statistics(rows, every, stage, key, **options) for stage in STAGES}
+    return {arm: ArmResult(arm, listed, {stage: s.select(listed) for stage, s in statistics.items()})
+            for arm, listed in names.items()}
+
+
 def screen_arm(train: DataFrame, arm: str, key: Sequence[str] = KEY, names: Sequence[str] | None = None,
                **options) -> ArmResult:
-    names = list(names or features.arm_features(train, arm))
-    rows = feature_rows(train, names, key)
-    return ArmResult(arm, names, {
-        stage: selection.rank_stage(rows, names, stage, key, **options) for stage in STAGES})
+    return screen_arms(train, {arm: names}, key, **options)[arm]
 
 
 def screen_domain(table: DataFrame, test_year: int = TEST_YEAR, arms: Sequence[str] = ARMS,
                   **options) -> dict[str, ArmResult]:
     """All arms on the years before the held-out one; a filter on `year` prunes partitions."""
     train = table.filter(table["year"] != test_year)
-    return {arm: screen_arm(train, arm, **options) for arm in arms}
+    return screen_arms(train, {arm: None for arm in arms}, **options)
 
 
 def screen_shared(tables: Sequence[DataFrame], test_year: int = TEST_YEAR,
