@@ -1,9 +1,10 @@
 """Order statistics that never put one whole column, or one hot key, in one task.
 
 Rows first collapse to (value, count). Where the distinct values may still be
-many, a sketch cuts every column into slices of about equal size; running
+many, a small sample cuts every column into slices of about equal size; running
 totals are then taken inside a slice and shifted by the totals of the slices
-before it. Small columns have a single slice and need no sketch.
+before it. The sample only decides where the cuts lie, never a result. Small
+columns have a single slice and need no sample.
 """
 
 from __future__ import annotations
@@ -11,29 +12,40 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 2_000_000
+SLICE_ROWS = 250_000
 MAX_SLICES = 4096
+SAMPLE_PER_SLICE = 100
 BROADCAST_VALUES = 200_000
 
 Slices = dict[str, list[float]]
 
 
-def slice_bounds(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS) -> Slices:
-    """Cut points per column; columns of at most `slice_rows` rows get none."""
-    sizes = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
-    parts = {c: min(MAX_SLICES, math.ceil(sizes[c] / slice_rows)) for c in columns}
+def slice_bounds(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS,
+                 rows: int | None = None) -> Slices:
+    """Cut points per column, from the number of rows; small tables get none."""
+    rows = df.count() if rows is None else rows
+    if rows <= slice_rows:
+        return {}
+    held = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
+    parts = {c: min(MAX_SLICES, math.ceil(held[c] / slice_rows)) for c in columns}
     large = {c: p for c, p in parts.items() if p > 1}
     if not large:
         return {}
-    accuracy = F.lit(max(10_000, 4 * max(large.values())))
-    sketch = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), [i / p for i in range(1, p)], accuracy).alias(c)
-        for c, p in large.items()]).first()
-    return {c: sorted(set(sketch[c])) for c in large if sketch[c]}
+    fraction = min(1.0, SAMPLE_PER_SLICE * max(large.values()) / rows)
+    # At most MAX_SLICES * SAMPLE_PER_SLICE rows are expected here, however large the table.
+    sample = (df.select(*[F.col(c).cast("double").alias(c) for c in large])
+              .sample(fraction=fraction, seed=len(large)).toPandas())
+    bounds = {}
+    for c, p in large.items():
+        seen = sample[c].dropna().to_numpy()
+        cuts = np.quantile(seen, np.arange(1, p) / p) if len(seen) else []
+        bounds[c] = sorted({float(v) for v in cuts})
+    return {c: b for c, b in bounds.items() if b}
 
 
 def with_slices(df: DataFrame, bounds: Slices, suffix: str = "__slice") -> DataFrame:
@@ -48,23 +60,35 @@ def with_slices(df: DataFrame, bounds: Slices, suffix: str = "__slice") -> DataF
     return buckets.transform(df)
 
 
+def named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Column numbers back to their names."""
+    names = F.array(*map(F.lit, columns))
+    return df.withColumn("column", F.element_at(names, F.col("column") + 1))
+
+
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
               bounds: Slices | None = None) -> DataFrame:
-    """One row per (row, column) with a non-null value: keep..., column, value, slice."""
+    """One row per (row, column) with a non-null value: keep..., column number, value, slice.
+
+    Numbers sort and shuffle far faster than names; `named` puts the names back.
+    """
     bounds = bounds or {}
     sliced = with_slices(df, bounds)
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"),
-                 (F.col(f"{c}__slice") if c in bounds else F.lit(0)).cast("int").alias("slice"))
+        F.struct(F.lit(columns.index(c)).alias("column"), F.col(c).cast("double").alias("value"),
+                 (F.coalesce(F.col(f"{c}__slice").cast("int"), F.lit(0)) if c in bounds
+                  else F.lit(0)).alias("slice"))
         for c in columns])
     return (sliced.select(*keep, F.explode(cells).alias("cell"))
             .select(*keep, "cell.*").filter(F.col("value").isNotNull()))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS,
-                 bounds: Slices | None = None) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """column, slice, value, n — the shared input of every whole-column statistic."""
-    bounds = slice_bounds(df, columns, slice_rows) if bounds is None else bounds
+    return named(_numbered_counts(df, columns, slice_bounds(df, columns, slice_rows)), columns)
+
+
+def _numbered_counts(df: DataFrame, columns: Sequence[str], bounds: Slices) -> DataFrame:
     return (long_form(df, columns, bounds=bounds)
             .groupBy("column", "slice", "value").agg(F.count(F.lit(1)).alias("n")))
 
@@ -81,11 +105,13 @@ def running_totals(counts: DataFrame, keys: Sequence[str], sums: Sequence[str],
              .rowsBetween(Window.unboundedPreceding, -1))
     local = {f"{s}_before": F.coalesce(F.sum(s).over(ahead), F.lit(0)) for s in sums}
     if not sliced:
-        whole = Window.partitionBy(*keys)
+        whole = (Window.partitionBy(*keys).orderBy(order)
+                 .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         return counts.withColumns({**local, **{f"{s}_total": F.sum(s).over(whole) for s in sums}})
 
     slices = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    whole = (Window.partitionBy(*keys).orderBy("slice")
+             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     offsets = counts.groupBy(*inside).agg(*[F.sum(s).alias(f"{s}_here") for s in sums])
     offsets = offsets.select(*inside, *[
         F.coalesce(F.sum(f"{s}_here").over(slices), F.lit(0)).alias(f"{s}_shift") for s in sums
@@ -96,11 +122,12 @@ def running_totals(counts: DataFrame, keys: Sequence[str], sums: Sequence[str],
     }).drop(*[f"{s}_shift" for s in sums])
 
 
-def column_totals(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def column_totals(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS,
+                  rows: int | None = None) -> DataFrame:
     """value_counts with running totals: column, value, n, n_before, n_total."""
-    bounds = slice_bounds(df, columns, slice_rows)
-    counts = value_counts(df, columns, bounds=bounds)
-    return running_totals(counts, ["column"], ["n"], sliced=bool(bounds))
+    bounds = slice_bounds(df, columns, slice_rows, rows)
+    counts = _numbered_counts(df, columns, bounds)
+    return named(running_totals(counts, ["column"], ["n"], sliced=bool(bounds)), columns)
 
 
 def at_rank(position: Column, before: Column, value: Column) -> Column:
@@ -126,8 +153,9 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
         wide = df.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in columns])
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns])
         return wide.select(F.explode(cells).alias("cell")).select("cell.*")
-    totals = running_totals(value_counts(df, columns, bounds=bounds), ["column"], ["n"])
-    return totals.groupBy("column").agg(F.array(*[interpolated(p) for p in probs]).alias("q"))
+    totals = running_totals(_numbered_counts(df, columns, bounds), ["column"], ["n"])
+    found = totals.groupBy("column").agg(F.array(*[interpolated(p) for p in probs]).alias("q"))
+    return named(found, columns)
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -160,9 +188,10 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return totals.groupBy(*keys).agg(F.array(*[interpolated(p) for p in probs]).alias("q"))
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS,
+                  rows: int | None = None) -> DataFrame:
     """column, value, n, rank — tied values share the mean of their ranks."""
-    totals = column_totals(df, columns, slice_rows)
+    totals = column_totals(df, columns, slice_rows, rows)
     return totals.select("column", "value", "n",
                          (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
 
@@ -183,16 +212,16 @@ def with_ranks(df: DataFrame, columns: Sequence[str], key: Sequence[str], suffix
     out = df
     if few:
         # At most `broadcast_values` rows per column, read once per column below.
-        tables = average_ranks(df, few, slice_rows).persist()
+        tables = average_ranks(df, few, max(slice_rows, sizes["n"]), sizes["n"]).persist()
         for c in few:
             one = tables.filter(F.col("column") == c).select(
                 F.col("value").alias(f"_{c}"), F.col("rank").alias(f"{c}{suffix}"))
             out = out.join(F.broadcast(one), F.col(c).cast("double") == F.col(f"_{c}"), "left").drop(f"_{c}")
     if many:
-        ranks = average_ranks(df, many, slice_rows)
+        ranks = average_ranks(df, many, slice_rows, sizes["n"])
         hot_rows = max(slice_rows, sizes["n"] // 1000)
         hot = ranks.filter(F.col("n") > hot_rows)
-        cells = long_form(df, many, keep=key)
+        cells = named(long_form(df, many, keep=key), many)
         match = ["column", "value"]
         ranked = (cells.join(F.broadcast(hot), match)
                   .unionByName(cells.join(F.broadcast(hot.select(*match)), match, "left_anti")

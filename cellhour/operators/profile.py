@@ -14,16 +14,18 @@ from ..model import TARGET
 PROFILE_PROBS = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
 
 
-def sample_skew(col: Column) -> Column:
-    """Bias-corrected skewness, from the population value Spark computes."""
-    n = F.count(col)
-    return F.when(n > 2, F.skewness(col) * F.sqrt(n * (n - 1)) / (n - 2))
+def corrected_skew(skew: Column, n: Column) -> Column:
+    """Sample-corrected skewness from the population value."""
+    return F.when(n > 2, skew * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def corrected_kurtosis(excess: Column, n: Column) -> Column:
+    """Sample-corrected excess kurtosis from the population value."""
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6))
 
 
-def sample_kurtosis(col: Column) -> Column:
-    n = F.count(col)
-    scale = (n - 1) / ((n - 2) * (n - 3))
-    return F.when(n > 3, scale * ((n + 1) * F.kurtosis(col) + 6))
+def sample_skew(col: Column) -> Column:
+    return corrected_skew(F.skewness(col), F.count(col))
 
 
 def is_zero(col: Column) -> Column:
@@ -47,27 +49,32 @@ def zero_shares(table: DataFrame) -> DataFrame:
 def columns(table: DataFrame, names: Sequence[str], slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
     """One row per column: moments, quantiles, shares, distinct values and the largest point mass.
 
-    Moments come from one aggregate over the table. Everything about single
-    values comes from one (column, value) count. Equally frequent values
-    resolve to the smallest.
+    Everything but the means comes from one (column, value) count, so the rows
+    are unfolded and shuffled once. Equally frequent values resolve to the
+    smallest.
     """
     totals = ordering.column_totals(table, names, slice_rows)
+    centre = table.agg(*[F.avg(c).alias(c) for c in names]).unpivot([], list(names), "column", "mean")
+    totals = totals.join(F.broadcast(centre), "column")
     quantile = [ordering.interpolated(p).alias(name) for name, p in PROFILE_PROBS.items()]
-    n = F.sum("n")
-    by_value = totals.groupBy("column").agg(
-        n.alias("n"), F.min("value").alias("min"), *quantile, F.max("value").alias("max"),
-        (F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)) / n).alias("zero_share"),
-        (F.sum(F.when(F.col("value") < 0, F.col("n")).otherwise(0)) / n).alias("negative_share"),
+    n, value = F.sum("n"), F.col("value")
+    off = value - F.col("mean")
+    power = lambda k: F.sum(F.col("n") * F.pow(off, F.lit(float(k)))) / n
+    found = totals.groupBy("column").agg(
+        n.alias("n"), F.max("mean").alias("mean"), power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"),
+        F.min("value").alias("min"), *quantile, F.max("value").alias("max"),
+        (F.sum(F.when(value == 0, F.col("n")).otherwise(0)) / n).alias("zero_share"),
+        (F.sum(F.when(value < 0, F.col("n")).otherwise(0)) / n).alias("negative_share"),
         F.count(F.lit(1)).alias("n_distinct"),
-        F.max_by("value", F.struct("n", -F.col("value"))).alias("largest_point_mass_value"),
+        F.max_by("value", F.struct("n", -value)).alias("largest_point_mass_value"),
         (F.max("n") / n).alias("largest_point_mass_share"))
-    stats = table.agg(*[
-        F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"),
-                 sample_skew(F.col(c)).alias("skew"), sample_kurtosis(F.col(c)).alias("kurtosis")).alias(c)
-        for c in names])
-    by_column = stats.select(F.explode(F.array(*[F.col(c) for c in names])).alias("s")).select("s.*")
-    return (by_value.join(F.broadcast(by_column), "column")
-            .withColumn("is_constant", F.col("n_distinct") <= 1))
+    m2, rows = F.col("m2"), F.col("n")
+    skew = F.when(m2 > 0, F.col("m3") / F.pow(m2, F.lit(1.5)))
+    excess = F.when(m2 > 0, F.col("m4") / (m2 * m2) - 3)
+    return found.withColumns({
+        "sd": F.when(rows > 1, F.sqrt(m2 * rows / (rows - 1))), "skew": corrected_skew(skew, rows),
+        "kurtosis": corrected_kurtosis(excess, rows),
+        "is_constant": F.col("n_distinct") <= 1}).drop("m2", "m3", "m4")
 
 
 def missingness(table: DataFrame, names: Sequence[str]) -> DataFrame:
