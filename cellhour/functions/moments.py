@@ -73,6 +73,6 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
         full = full.reshape(k + 1, k + 1)
         n, sums, gram = int(round(full[0, 0])), full[0, 1:], full[1:, 1:]
     if n == 0:
-        raise ValueError(f"no complete rows in {names}")
+        return Moments(names, 0, np.zeros(k), np.zeros((k, k)))
     mean = sums / n
     return Moments(names, n, mean, gram / n - np.outer(mean, mean))

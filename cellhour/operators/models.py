@@ -44,6 +44,8 @@ def base_rate(train: DataFrame, target: str) -> Linear:
 
 def ridge_from(m: Moments, names: Sequence[str], target: str, alpha: float = 1.0) -> Linear:
     """Ridge with a free intercept, solved exactly from moments of the training rows."""
+    if m.n == 0:
+        raise ValueError("no complete rows to fit on")
     x, y = m.part(list(names)), m.names.index(target)
     at = [m.names.index(c) for c in names]
     gram = x.cov * m.n

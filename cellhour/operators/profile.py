@@ -163,36 +163,46 @@ def rank_correlation(table: DataFrame, names: Sequence[str], key: Sequence[str],
                      **limits: int) -> DataFrame:
     """Spearman's rho of every pair over the rows where both have a value: a, b, rho.
 
-    Columns without nulls share one ranking. A pair with gaps is ranked again on
-    its own complete rows, so the number of rankings follows the number of
-    columns with gaps.
+    Columns missing on exactly the same rows share one ranking. Columns of two
+    such classes are ranked again on the rows both have, so the number of
+    rankings follows the number of different gaps, not of columns.
     """
     names = list(names)
-    held = table.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in names]).first()
-    gappy = [c for c in names if held[c] < held["_n"]]
-    whole = [c for c in names if c not in gappy]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    here = {c: F.col(c).isNotNull() for c in names}
+    held = table.agg(*[F.count(c).alias(c) for c in names],
+                     *[F.count_if(here[a] & here[b]).alias(f"{a}|{b}") for a, b in pairs]).first()
+    classes: list[list[str]] = []
+    for c in names:
+        for known in classes:
+            if held[c] == held[known[0]] == held[f"{known[0]}|{c}"]:
+                known.append(c)
+                break
+        else:
+            classes.append([c])
     found: list[tuple[str, str, float]] = []
 
-    def correlate(rows: DataFrame, wanted: Sequence[str], anchor: Sequence[str]) -> None:
-        if len(wanted) < 2:
-            return
-        ranked = ordering.with_ranks(rows.select(*key, *[c for c in wanted if c not in key]), wanted,
-                                     key, **limits)
-        m = moments(ranked, [f"{c}__rank" for c in wanted])
+    def correlate(wanted: Sequence[str], apart: Sequence[str]) -> None:
+        """Ranks on the common rows; with `apart`, only pairs across the two classes count."""
+        listed = [*wanted, *apart]
+        rows = table.select(*key, *[c for c in listed if c not in key]).na.drop(subset=listed)
+        ranked = ordering.with_ranks(rows, listed, key, **limits)
+        m = moments(ranked, [f"{c}__rank" for c in listed])
         corr, sd = m.correlation(), m.sd
-        for i, a in enumerate(wanted):
-            for j in range(i + 1, len(wanted)):
-                b = wanted[j]
-                if (not anchor or {a, b} >= set(anchor)) and sd[i] > 0 and sd[j] > 0:
+        for i, a in enumerate(listed):
+            for j in range(i + 1, len(listed)):
+                b = listed[j]
+                if (not apart or (a in wanted) != (b in wanted)) and sd[i] > 0 and sd[j] > 0:
                     first, second = sorted((a, b), key=names.index)
                     found.append((first, second, float(corr[i, j])))
 
-    correlate(table, whole, [])
-    for c in gappy:
-        correlate(table.filter(F.col(c).isNotNull()), [*whole, c], [c])
-    for i, a in enumerate(gappy):
-        for b in gappy[i + 1:]:
-            correlate(table.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b], [a, b])
+    for i, one in enumerate(classes):
+        if len(one) > 1 and held[one[0]]:
+            correlate(one, [])
+        for other in classes[i + 1:]:
+            first, second = sorted((one[0], other[0]), key=names.index)
+            if held[f"{first}|{second}"] > 1:
+                correlate(one, other)
     return table.sparkSession.createDataFrame(found, "a STRING, b STRING, rho DOUBLE")
 
 

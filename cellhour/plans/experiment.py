@@ -91,8 +91,11 @@ def prepare(table: DataFrame, fold: tuple[list[int], int], stage: str, seed: int
     validation = split.cap(part("validation"), settings.validation_rows, draw, key)
     test = split.spaced_days(part("test"), settings.test_days)
     train = split.subsample(part("train"), settings.train_rows, draw, key, settings.zero_ratio)
+    # Capped frames are small and read by every model and metric.
     if settings.train_rows is not None:
         train = materialise(train)
+    if settings.validation_rows is not None:
+        validation = materialise(validation)
     target = encode.stage_target(F.col(TARGET), stage, settings.transform) if stage == "count" else None
     scaler = features.fit_range(train, names, settings.reduction, target)
     scaled = lambda df, clip: _model_rows(df, scaler, stage, settings, key, clip)
