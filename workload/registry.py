@@ -23,6 +23,7 @@ class Entry:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # zone-less labels must not shift
         df = self.build(Tables(spark, sf_dir))
         return df.select(*[self._spark(n, k) for n, k in self.columns])
 
