@@ -126,15 +126,16 @@ def window_start(time: Column, hours: Column | int) -> Column:
     return F.timestamp_seconds(F.floor(seconds / size) * size).cast("timestamp_ntz")
 
 
-def windows(predictions: DataFrame, hours: Sequence[int] = WINDOW_HOURS) -> DataFrame:
+def windows(predictions: DataFrame, hours: Sequence[int] = WINDOW_HOURS,
+            by: Sequence[str] = ()) -> DataFrame:
     """Predicted and observed counts per cell and window, for every window size in one job.
 
     Only rows that exist are summed; no window is invented.
     """
     sized = predictions.select(
-        "lat", "lon", "time", "area_km2", "predicted", F.col("observed").cast("double").alias("observed"),
+        *by, "lat", "lon", "time", "area_km2", "predicted", F.col("observed").cast("double").alias("observed"),
         F.explode(F.array(*[F.lit(h) for h in hours])).alias("window_h"))
-    return sized.groupBy("window_h", "lat", "lon", window_start(F.col("time"), F.col("window_h")).alias("window")).agg(
+    return sized.groupBy(*by, "window_h", "lat", "lon", window_start(F.col("time"), F.col("window_h")).alias("window")).agg(
         F.sum("predicted").alias("predicted"), F.sum("observed").alias("observed"),
         F.min("area_km2").alias("area_km2"), F.count(F.lit(1)).alias("n_hours"))
 
@@ -157,11 +158,12 @@ def calibration(windowed: DataFrame, by: Sequence[str] = ("window_h",)) -> DataF
     return windowed.groupBy(*by).agg(*[c.alias(n) for n, c in report.items()])
 
 
-def window_curve(predictions: DataFrame, hours: Sequence[int] = WINDOW_HOURS) -> DataFrame:
+def window_curve(predictions: DataFrame, hours: Sequence[int] = WINDOW_HOURS,
+                 by: Sequence[str] = ()) -> DataFrame:
     """Skill in density units, and calibration in counts, by window size."""
-    w = windows(predictions, hours)
+    w = windows(predictions, hours, by)
     density = lambda c: window_density(F.col(c), F.col("area_km2"), F.col("n_hours"))
     rows = w.withColumns({"gfd_observed": density("observed"), "gfd_predicted": density("predicted")})
     report = {**regression_columns(F.col("gfd_observed"), F.col("gfd_predicted")),
               **calibration_columns(F.col("observed"), F.col("predicted"))}
-    return rows.groupBy("window_h").agg(*[c.alias(n) for n, c in report.items()])
+    return rows.groupBy(*by, "window_h").agg(*[c.alias(n) for n, c in report.items()])

@@ -94,12 +94,13 @@ def standardised(rows: DataFrame, scale: dict[str, tuple[float, float]]) -> Data
     return rows.withColumns({n: (F.col(n) - F.lit(m)) / F.lit(s) for n, (m, s) in scale.items()})
 
 
+def bounded(score: Column, stage: str) -> Column:
+    """Occurrence scores are kept within 0..1; counts stay on the model's scale."""
+    return F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)) if stage == "occurrence" else score
+
+
 def predict(rows: DataFrame, model: Linear, stage: str = "count", output: str = "predicted") -> DataFrame:
-    """Scores on the model's scale; occurrence scores are kept within 0..1."""
-    score = model.score()
-    if stage == "occurrence":
-        score = F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
-    return rows.withColumn(output, score)
+    return rows.withColumn(output, bounded(model.score(), stage))
 
 
 def predict_foreign(rows: DataFrame, names: Sequence[str], score: Callable[[np.ndarray], np.ndarray],

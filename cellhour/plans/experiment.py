@@ -158,41 +158,61 @@ def _index_names(rows: DataFrame, scaler: features.RangeScaler) -> DataFrame:
     return rows.drop(*back.values()).withColumnsRenamed(back) if back else rows
 
 
+def predictions(fitted: Fitted, rows: DataFrame) -> DataFrame:
+    """model, predicted and the index of every row: all models of the ladder in one pass."""
+    p = fitted.prepared
+    scores = {name: models.bounded(m.score(), p.stage) for name, m in fitted.models.items()}
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), e.alias("predicted"))
+                                for n, e in scores.items()])).alias("cell")
+    index = _index_names(rows.withColumn("cell", cells), p.scaler)
+    keep = [c for c in ("time", "lat", "lon", "area_km2", TARGET) if c in index.columns]
+    return index.select(*keep, "y", "cell.*")
+
+
+def curves(fitted: Fitted, scored: DataFrame, hours: Sequence[int] = WINDOW_HOURS) -> DataFrame:
+    """model, windows, windows_raw: the corrected and the raw curve of each model, from one job."""
+    p = fitted.prepared
+    variants = F.array(*[F.struct(
+        F.lit(name).alias("model"), F.lit(curve).alias("curve"), F.lit(float(factor)).alias("factor"))
+        for name, smearing in fitted.smearing.items()
+        for curve, factor in (("windows", smearing), ("windows_raw", 1.0))])
+    counted = counts_of(scored, p).withColumn("v", F.explode(F.filter(
+        variants, lambda v: v["model"] == F.col("model"))))
+    counted = counted.select("model", F.col("v.curve").alias("curve"), "time", "lat", "lon", "area_km2",
+                             "observed", (F.col("predicted") * F.col("v.factor")).alias("predicted"))
+    curve = evaluate.window_curve(counted, hours, ["model", "curve"])
+    wanted = F.struct("window_h", "n", "rmse", "mae", "r2", "nrmse", "bias", "cal_ratio",
+                      "cal_zero_share_observed", "cal_n_windows")
+    of = lambda name: F.array_sort(F.collect_list(F.when(F.col("curve") == name, wanted))).alias(name)
+    return curve.groupBy("model").agg(of("windows"), of("windows_raw"))  # a few windows each
+
+
 def score(fitted: Fitted, rows: DataFrame, scenario: str,
           hours: Sequence[int] = WINDOW_HOURS) -> DataFrame:
     """One run record per model: nested metrics, window curves and settings."""
     p = fitted.prepared
-    out = None
-    for name, model in fitted.models.items():
-        predicted = models.predict(rows, model, p.stage)
-        if p.stage == "occurrence":
-            metrics = evaluate.classification(predicted, "y", "predicted")
-            curves: dict[str, DataFrame] = {}
-        else:
-            metrics = evaluate.regression(predicted, "y", "predicted").withColumn(
-                "smearing_factor", F.lit(fitted.smearing[name]))
-            index = _index_names(predicted, p.scaler)
-            curves = {"windows": evaluate.window_curve(counts_of(index, p, fitted.smearing[name]), hours),
-                      "windows_raw": evaluate.window_curve(counts_of(index, p), hours)}
-        record = metrics
-        for curve, frame in curves.items():
-            wanted = ["window_h", "n", "rmse", "mae", "r2", "nrmse", "bias", "cal_ratio",
-                      "cal_zero_share_observed", "cal_n_windows"]
-            packed = frame.agg(F.array_sort(F.collect_list(F.struct(*wanted))).alias(curve))
-            record = record.join(F.broadcast(packed), F.lit(True))  # one row beside one row
-        fields = [F.col(m) if m in record.columns else F.lit(None).cast("double").alias(m)
-                  for m in [*records.METRICS, "n"]]
-        lists = [F.col(c) for c in curves]
-        settings = F.create_map(*[x for k, v in p.settings.snapshot().items() for x in (F.lit(k), F.lit(v))])
-        part = record.select(
-            F.lit(scenario).alias("scenario"), F.lit(p.stage).alias("stage"), F.lit(name).alias("model"),
-            F.lit(fitted.fold).alias("fold"), F.lit(fitted.seed).alias("seed"),
-            F.lit(fitted.train_rows).cast("bigint").alias("train_rows"), F.lit(model.n_params).alias("n_params"),
-            F.lit(fitted.seconds[name]).alias("seconds"), F.lit(0).alias("epochs_run"),
-            F.lit(0).alias("best_epoch"), F.lit(False).alias("stopped_early"),
-            F.struct(*fields, *lists).alias("metrics"), settings.alias("config"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    scored = predictions(fitted, rows)
+    if p.stage == "occurrence":
+        record = evaluate.classification(scored, "y", "predicted", ["model"])
+        lists: list[str] = []
+    else:
+        factor = F.create_map(*[x for n, v in fitted.smearing.items() for x in (F.lit(n), F.lit(float(v)))])
+        record = evaluate.regression(scored, "y", "predicted", ["model"]).withColumn(
+            "smearing_factor", factor[F.col("model")])
+        record = record.join(F.broadcast(curves(fitted, scored, hours)), "model")  # one row per model
+        lists = ["windows", "windows_raw"]
+    fields = [F.col(m) if m in record.columns else F.lit(None).cast("double").alias(m)
+              for m in [*records.METRICS, "n"]]
+    facts = F.create_map(*[x for n, m in fitted.models.items() for x in (
+        F.lit(n), F.struct(F.lit(m.n_params).alias("n_params"), F.lit(fitted.seconds[n]).alias("seconds")))])
+    settings = F.create_map(*[x for k, v in p.settings.snapshot().items() for x in (F.lit(k), F.lit(v))])
+    return record.select(
+        F.lit(scenario).alias("scenario"), F.lit(p.stage).alias("stage"), "model",
+        F.lit(fitted.fold).alias("fold"), F.lit(fitted.seed).alias("seed"),
+        F.lit(fitted.train_rows).cast("bigint").alias("train_rows"),
+        facts[F.col("model")]["n_params"].alias("n_params"), facts[F.col("model")]["seconds"].alias("seconds"),
+        F.lit(0).alias("epochs_run"), F.lit(0).alias("best_epoch"), F.lit(False).alias("stopped_early"),
+        F.struct(*fields, *lists).alias("metrics"), settings.alias("config"))
 
 
 def run_grid(tables: dict[str, DataFrame], settings: Settings, path: str,
