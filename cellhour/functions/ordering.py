@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 250_000
 MAX_SLICES = 4096
 SAMPLE_PER_SLICE = 100
-BROADCAST_VALUES = 200_000
+BROADCAST_VALUES = 1_000_000
 
 Slices = dict[str, list[float]]
 
@@ -200,18 +200,22 @@ def with_ranks(df: DataFrame, columns: Sequence[str], key: Sequence[str], suffix
                broadcast_values: int = BROADCAST_VALUES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every row with the average rank of each named column.
 
-    A column with few distinct values (counted first) joins a broadcast rank
-    table. The others go through one long shuffle and come back by `key`,
+    Columns with few distinct values (counted first) join broadcast rank tables
+    of at most `broadcast_values` rows all together. The others go through one long shuffle and come back by `key`,
     which must tell rows apart up to equal values of these columns; values
     frequent enough to make a hot shuffle key are broadcast there as well.
     """
     sizes = df.agg(F.count(F.lit(1)).alias("n"),
                    *[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c))).alias(c) for c in columns]).first()
-    few = [c for c in columns if sizes[c] <= broadcast_values]
+    few, room = [], broadcast_values
+    for c in sorted(columns, key=lambda c: sizes[c]):
+        if sizes[c] <= room:
+            few.append(c)
+            room -= sizes[c]
     many = [c for c in columns if c not in few]
     out = df
     if few:
-        # At most `broadcast_values` rows per column, read once per column below.
+        # At most `broadcast_values` rows, read once per column below.
         tables = average_ranks(df, few, max(slice_rows, sizes["n"]), sizes["n"]).persist()
         for c in few:
             one = tables.filter(F.col("column") == c).select(

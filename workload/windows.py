@@ -55,7 +55,7 @@ def average_ranks(t: Tables) -> DataFrame:
            f'CASE WHEN "{c}" IS NOT NULL THEN rank() OVER (ORDER BY "{c}" NULLS LAST) + (count(*) OVER (PARTITION BY "{c}") - 1) / 2e0 END AS "{c}__rank"'
            for c in RANKED) + " FROM v_table", [V_TABLE])
 def row_ranks(t: Tables) -> DataFrame:
-    """T2M joins a broadcast rank table; the two columns with many values take the shuffled way."""
+    """The columns with few values join broadcast rank tables; CAPE takes the shuffled way."""
     return ordering.with_ranks(t.table, RANKED, ROW_KEY, broadcast_values=200)
 
 
