@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..functions.draws import draw_number
 from ..model import FOLDS, KEY, SCENARIOS, STAGES, TARGET, WINDOW_HOURS, refuse_leakage
 from ..operators import evaluate, features, models, split
 from ..session import materialise

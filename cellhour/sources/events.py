@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import clean
 from ..model import EVENT_COLUMNS, EVENT_KEY
@@ -102,7 +101,3 @@ def drop_report(before: DataFrame, kept: Column) -> DataFrame:
     """How many rows a filter keeps and drops."""
     kept = F.coalesce(kept, F.lit(False))
     return before.agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"))
-
-
-def text_schema(names: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])

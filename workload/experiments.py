@@ -112,9 +112,9 @@ def one_factor_sweep(t: Tables) -> DataFrame:
     path = scratch(t.spark, "sweep")
     small = experiment.sweep_settings(SETTINGS)
     runs = experiment.run_sweep(t.table, "hour_encoding", ("none", "raw", "cyclic"), small, path, TABLE_FOLDS[2], key=ROW_KEY)
-    return records.flatten(runs).join(
-        runs.select("scenario", "model", "n_params", F.col("config")["hour_encoding"].alias("encoding")),
-        ["scenario", "model", "n_params"])
+    metrics = [F.col(f"metrics.{m}").alias(m) for m in ("log_loss", "avg_precision")]
+    return runs.select("scenario", "stage", "model", "fold", "seed", "train_rows", "n_params",
+                       F.col("config")["hour_encoding"].alias("encoding"), *metrics)
 
 
 @query("M18c_reduction_sweep", "reduction:s model:s n_params:l log_loss:d")
