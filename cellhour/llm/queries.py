@@ -4,23 +4,145 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup, suffix_dedup
+from . import (chat, decontaminate, packing, prob_minhash, quality, substring_dedup, suffix_dedup, topk, toxicity,
+               warc)
+
+VOCABULARY = "word_bpe_49k.json"
+CAPTURED = "2024-01-01T00:00:00Z"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "n_shingles", "n_found")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffix_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substring_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.formatted(chat.in_layouts(chat.by_conversation(rows))))
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), CAPTURED))
+    return made.drop("date")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted", F.col("neighbours.doc_id").alias("evidence"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup)}
+    f.__name__: f for f in (
+        op1_decontamination, op2_suffix_array_dedup, op3_exact_topk, op4_substring_dedup, op5_minhash_near_dedup,
+        op6_chat_formatting, op7_warc_derivatives, op8_packing, op9_toxicity, op10_quality)}
+
 SQL: dict[str, str] = {}
+
+SQL["op1_decontamination"] = r"""
+WITH shingled AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents UNION ALL
+  SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+s AS (SELECT DISTINCT kind, id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) AS s
+  FROM shingled WHERE len(w) >= 5),
+n AS (SELECT id AS item_id, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY 1),
+f AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM s d JOIN s i ON d.s = i.s
+  WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shingles, n_found FROM f JOIN n USING (item_id) WHERE n_found >= n_shingles * 0.8 - 1e-9
+"""
+
+SQL["op3_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS "rank",
+  vec_id, score FROM s)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+"""
+
+_CONTROL = ["<|", "</s>", "<s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"]
+_EXTRA = " + ".join(["(length({c}) - length(replace({c}, '\\', '')))"] + [
+    f"(length({{c}}) - length(replace({{c}}, '{m}', ''))) // {len(m)}" for m in _CONTROL])
+SQL["op6_chat_formatting"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, length(role) + length(text) + {len(chat.TURN) + len(chat.END) + 1}
+  + {_EXTRA.format(c='role')} + {_EXTRA.format(c='text')} AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id
+"""
+
+
+def _plain_sql(html: str) -> str:
+    for pattern in warc.DROPPED:
+        html = f"regexp_replace({html}, '{pattern}', ' ', 'g')"
+    html = f"regexp_replace(regexp_replace({html}, '{warc.BREAKS}', chr(10), 'g'), '{warc.TAGS}', ' ', 'g')"
+    for entity, sign in warc.ENTITIES:
+        html = "replace({}, '{}', '{}')".format(html, entity, sign.replace("'", "''"))
+    html = f"regexp_replace(regexp_replace({html}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({html}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _id_sql(*parts: str) -> str:
+    h = f"sha256({' || chr(10) || '.join(parts)})"
+    return (f"('<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || "
+            f"substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>')")
+
+
+SQL["op7_warc_derivatives"] = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
+r AS (SELECT *, {_id_sql("'response'", 'CAST(page_id AS VARCHAR)', 'url', 'sha256(body)')} AS record_id,
+  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+  || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) AS headers, 'sha256:' || sha256(body) AS payload FROM p),
+m AS (SELECT page_id, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+  'sourceDigest: ' || payload || chr(13) || chr(10) || 'sourceLength: ' || strlen(body) || chr(13) || chr(10) || headers AS block,
+  record_id, url, headers, payload FROM r UNION ALL
+  SELECT page_id, 'conversion', 'text/plain', {_plain_sql('body')}, record_id, url, headers, payload FROM r)
+SELECT page_id, warc_type, {_id_sql('warc_type', 'record_id', 'sha256(block)')} AS warc_record_id,
+  record_id AS warc_refers_to, url AS target_uri, content_type, headers AS source_headers, payload AS source_digest,
+  'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block FROM m
+"""

@@ -109,3 +109,33 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np
     at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + firsts[:-1][doc]
     ends = np.where(short[doc], firsts[1:][doc], at + size)
     return span_hash(prefix_hash(words), at, ends), doc
+
+
+#: Byte classes: 0 white space and controls, 1 letters (all of UTF-8 beyond ASCII too), 2 digits, 3 the rest.
+BYTE_CLASS = np.full(256, 3, dtype=np.uint8)
+BYTE_CLASS[:0x21] = 0
+BYTE_CLASS[ord("0"):ord("9") + 1] = 2
+BYTE_CLASS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = 1
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+
+
+def class_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, classes, documents) of the runs of letters, of digits and of other signs."""
+    kind = BYTE_CLASS[data]
+    fresh = np.ones(len(data), dtype=bool)
+    fresh[1:] = kind[1:] != kind[:-1]
+    fresh[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(fresh)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    solid = kind[starts] > 0
+    starts, ends = starts[solid], ends[solid]
+    return starts, ends, kind[starts], np.searchsorted(offsets, starts, side="right") - 1
+
+
+def lower_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans without regard to the case of ASCII and Latin-1 letters."""
+    low = LOWER[data]
+    capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    low[capital] += 32
+    return span_hash(prefix_hash(low.astype(U64) + U64(1)), starts, ends)
