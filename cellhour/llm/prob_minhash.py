@@ -8,9 +8,10 @@ cost about one arrival a shingle. Two signatures agree in a register with the
 probability Jaccard similarity of the two bags.
 
 Documents of equal words fold into one first. Bands of registers give buckets;
-in a bucket, documents are compared with a leader first, and what then still
-lies in different classes of the bucket is compared pair by pair, so every link
-between documents of one bucket counts. A link is an exact Jaccard similarity
+in a bucket, documents are compared with a leader first. Pairs that then still
+lie in different classes of one bucket are compared too, but for those that what
+each holds alone and lacks of the leader rules out, so every link between
+documents of one bucket counts. A link is an exact Jaccard similarity
 of the shingle sets of `threshold` or more; classes are connected components.
 
 Defined results: one row per doc_id with class_id, the least doc_id of its
@@ -35,7 +36,6 @@ from .text import U64, mix, prefix_hash, shingle_hashes, slices, span_hash, word
 
 REGISTERS = 64
 BAND = 4
-LEADER_ROUNDS = 3
 SIZE = 5
 #: Registers that two bags of the threshold's similarity share but for one case in a million.
 SLACK = 5.0
@@ -114,19 +114,25 @@ def _sets(size: int):
     return rows
 
 
-def _links(threshold: float):
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            keep = []
-            for a, b in zip(part["set_a"], part["set_b"]):
-                x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-                if len(y) < len(x):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
-            yield part.loc[np.array(keep, dtype=bool), ["a", "b"]]
-    return rows
+def _common(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shingles that the two documents of each pair share."""
+    for part in parts:
+        common = []
+        for a, b in zip(part["set_a"], part["set_b"]):
+            x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+            if len(y) < len(x):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            common.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0)
+        yield pd.DataFrame({"a": part["a"], "b": part["b"], "common": np.array(common, dtype=np.int64)})
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, held = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("shingles").to_pylist()
+        flat = np.frombuffer(b"".join(held), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, [len(h) // 8 for h in held])), pa.array(flat)], ["doc_id", "shingle"])
 
 
 def _alike(m: int, least: int):
@@ -140,6 +146,105 @@ def _alike(m: int, least: int):
     return rows
 
 
+class Bucketed:
+    """Documents that share a bucket with others: their buckets, sizes, signatures and shingle sets."""
+
+    def __init__(self, texts: DataFrame, only: DataFrame, threshold: float, size: int, m: int):
+        self.threshold, self.m = threshold, m
+        exploded = only.select("doc_id", F.explode("bands").alias("band"))
+        shared = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        held = stored(exploded.join(shared, "band").select("band", "doc_id", "n"), "shared")
+        members = held.groupBy("doc_id").agg(F.sum("n").alias("company"))
+        self.buckets = stored(held.join(members, "doc_id").select("band", "doc_id", "n", "company"), "buckets")
+        self.sets = stored(texts.join(members, "doc_id", "left_semi").mapInArrow(
+            _sets(size), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+        self.known = stored(only.join(members, "doc_id", "left_semi").select("doc_id", "size", "signature"), "known")
+
+    def leaders(self, buckets: DataFrame) -> DataFrame:
+        """Each bucket's document that meets the most others over all its buckets: the middle of a group of copies."""
+        return buckets.groupBy("band").agg(F.min(F.struct((-F.col("company")).alias("c"), "doc_id")).alias("leader")).select(
+            "band", F.col("leader.doc_id").alias("leader"))
+
+    def common(self, pairs: DataFrame) -> DataFrame:
+        one, two = (self.sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInPandas(
+            _common, "a long, b long, common long")
+
+    def edges(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose exact similarity reaches the threshold; sizes and signatures rule most others out."""
+        t, m = self.threshold, self.m
+        one, two = (self.known.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"),
+                                      F.col("signature").alias(f"signature_{x}")) for x in "ab")
+        sure = int(t * m - SLACK * (m * t * (1 - t)) ** 0.5)
+        near = (pairs.join(one, "a").join(two, "b")
+                .where(F.least("size_a", "size_b") >= t * F.greatest("size_a", "size_b") - 1e-9)
+                .mapInPandas(_alike(m, sure), "a long, b long"))
+        sizes = [self.known.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab"]
+        return self.common(near).join(sizes[0], "a").join(sizes[1], "b").where(
+            F.col("common") >= t * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9).select("a", "b")
+
+    def star_pairs(self) -> DataFrame:
+        """Each document with the leaders of its buckets."""
+        return self.buckets.join(self.leaders(self.buckets), "band").where("doc_id <> leader").select(
+            F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+
+    def open_pairs(self, groups: DataFrame, tested: DataFrame) -> DataFrame:
+        """Pairs of one bucket, yet of two groups, that are not ruled out by what they cannot share.
+
+        For documents A, B and the bucket's leader P: the shingles that A alone
+        holds (u), and those of P that A lacks (r), give |A xor B| >= u_A + u_B +
+        |r_A - r_B|, while a link needs |A xor B| <= (|A| + |B|) (1 - t) / (1 + t).
+        The bound falls apart into one number for each document, so a document is
+        first held against the best of its bucket, by an aggregate.
+        """
+        share = (1 - self.threshold) / (1 + self.threshold)
+        group = F.coalesce("group", "doc_id").alias("group")
+        held = self.buckets.where("n > 2").join(groups, "doc_id", "left").select("band", "doc_id", "company", group)
+        split = held.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+        held = stored(held.join(split.select("band"), "band"), "open")
+        among = held.select("doc_id").distinct()
+        alone = (self.sets.join(among, "doc_id", "left_semi").mapInArrow(_exploded, "doc_id long, shingle long")
+                 .groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+                 .groupBy("doc_id").agg(F.count("*").alias("alone")))
+        led = held.join(self.leaders(held), "band")
+        pivots = stored(self.common(led.where("doc_id <> leader").select(
+            F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "pivots")
+        sizes = self.known.select("doc_id", "size")
+        numbers = (led.join(sizes, "doc_id")
+                   .join(sizes.select(F.col("doc_id").alias("leader"), F.col("size").alias("leader_size")), "leader")
+                   .join(alone, "doc_id", "left")
+                   .join(pivots.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "common"),
+                         ["leader", "doc_id"], "left"))
+        lacks = F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.col("leader_size") - F.col("common"))
+        own = F.coalesce("alone", F.lit(0)) - share * F.col("size")
+        rated = stored(numbers.select("band", "doc_id", "group", lacks.alias("lacks"), own.alias("own")), "rated")
+        best = rated.groupBy("band").agg(F.min(F.col("own") - F.col("lacks")).alias("best"))
+        far = rated.join(best, "band").where(F.col("own") + F.col("lacks") + F.col("best") <= 1e-9).select(
+            "band", "doc_id", "group", "lacks", "own")
+        other = rated.select("band", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "group", "lacks", "own")])
+        met = far.join(other, "band").where(
+            (F.col("group") != F.col("group_b")) & (F.col("lacks_b") <= F.col("lacks"))
+            & (F.col("own") + F.col("own_b") + F.col("lacks") - F.col("lacks_b") <= 1e-9))
+        return met.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")) \
+            .distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def grouped(pairs: Bucketed) -> DataFrame:
+    """(doc_id, group) of the documents with a link."""
+    tested = stored(pairs.star_pairs(), "pairs")
+    near = components(pairs.edges(tested)).select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
+    groups = stored(near, "groups")
+    more = pairs.edges(stored(pairs.open_pairs(groups, tested), "pairs"))
+    a = groups.select(F.col("doc_id").alias("a"), F.col("group").alias("ga"))
+    b = groups.select(F.col("doc_id").alias("b"), F.col("group").alias("gb"))
+    merged = components(more.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))
+    fresh = merged.select(F.col("node").alias("doc_id"), F.col("node").alias("group"))
+    known = groups.union(fresh.join(groups.select("doc_id"), "doc_id", "left_anti"))
+    return known.join(merged.withColumnRenamed("node", "group"), "group", "left").select(
+        "doc_id", F.coalesce("label", "group").alias("group"))
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, m: int = REGISTERS) -> DataFrame:
     """(doc_id, class_id) of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -151,65 +256,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, m: int =
     copies = described.select("doc_id", "high", "low").join(least_id, ["high", "low"]).select("doc_id", "first")
     only = stored(described.join(least_id, ["high", "low"]).where("doc_id = first")
                   .drop("high", "low", "first").dropDuplicates(["doc_id"]), "texts")
-    exploded = only.select("doc_id", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = stored(exploded.join(shared, "band").select("band", "doc_id"), "buckets")
-    members = buckets.select("doc_id").distinct()
-    sets = stored(texts.join(members, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary")
-                  .dropDuplicates(["doc_id"]), "sets")
-    known = stored(only.join(members, "doc_id", "left_semi").select("doc_id", "size", "signature"), "known")
-
-    sure = threshold * m - SLACK * (m * threshold * (1 - threshold)) ** 0.5
-    tested = groups = None
-    for turn in range(LEADER_ROUNDS + 1):
-        held = buckets if groups is None else buckets.join(groups, "doc_id", "left")
-        group = F.col("doc_id") if groups is None else F.coalesce("group", "doc_id")
-        held = held.select("band", "doc_id", group.alias("group"))
-        split = held.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"),
-                                         F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0),
-                                                        "doc_id", "group")).alias("leader")).where("low <> high")
-        if turn < LEADER_ROUNDS:
-            pairs = held.join(split, "band").where("group <> leader.group").select(
-                F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
-        else:
-            open_ = held.join(split.select("band"), "band")
-            other = open_.select("band", F.col("doc_id").alias("b"), F.col("group").alias("group_b"))
-            pairs = open_.join(other, "band").where("doc_id < b AND group <> group_b").select(
-                F.col("doc_id").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        one, two = (known.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"),
-                                 F.col("signature").alias(f"signature_{x}")) for x in "ab")
-        near = (pairs.join(one, "a").join(two, "b")
-                .where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
-                .mapInPandas(_alike(m, int(sure)), "a long, b long"))
-        one, two = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        edges = near.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInPandas(
-            _links(threshold), "a long, b long")
-        if groups is not None:
-            edges = (edges.join(groups.select(F.col("doc_id").alias("a"), F.col("group").alias("ga")), "a", "left")
-                     .join(groups.select(F.col("doc_id").alias("b"), F.col("group").alias("gb")), "b", "left")
-                     .select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))
-        labels = components(edges)
-        if groups is None:
-            groups = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
-        else:
-            moved = groups.join(labels.withColumnRenamed("node", "group"), "group", "left").select(
-                "doc_id", F.coalesce("label", "group").alias("group"))
-            fresh = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("group")).join(
-                groups.select("doc_id"), "doc_id", "left_anti")
-            groups = moved.union(fresh)
-        groups = stored(groups, "groups")
-
+    groups = grouped(Bucketed(texts, only, threshold, size, m))
     # Documents without words are not described; rows that repeat a doc_id take its least class.
-    first = copies.groupBy("doc_id").agg(F.min("first").alias("first"))
-    if groups is not None:
-        first = first.join(groups.withColumnRenamed("doc_id", "first"), "first", "left").select(
-            "doc_id", F.coalesce("group", "first").alias("first"))
+    first = (copies.groupBy("doc_id").agg(F.min("first").alias("first"))
+             .join(groups.withColumnRenamed("doc_id", "first"), "first", "left")
+             .select("doc_id", F.coalesce("group", "first").alias("first")))
     return (texts.select("doc_id").distinct().join(first, "doc_id", "left")
             .select("doc_id", F.coalesce("first", "doc_id").alias("class_id")))
