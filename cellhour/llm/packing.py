@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
+from .text import BYTE_CLASS, WHITE, class_runs, lower_hashes, slices
 
 CAPACITY = 4096
 END = 1
@@ -35,40 +36,109 @@ EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 12
 WELL_FILLED = 0.99
-CACHED_CHUNKS = 400_000
+#: Words that a worker keeps before it starts anew.
+CACHED = 1_000_000
 PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_tokenizers: dict[str, tuple] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str):
-    """Token ids, as bytes, of the chunks between spaces and line ends; a worker keeps what it has seen.
+class Encoder:
+    """Token ids of whole slices of text; a worker keeps those of the words it has seen.
 
-    The vocabulary never joins text over white space, so a text's ids are those of its chunks in order.
+    The vocabulary cuts a text into words: runs of letters in any case, single
+    digits, runs of other signs. Most texts hold only ASCII and Latin-1 letters,
+    where byte classes find those words; each different word then goes to the
+    library once. All other texts go to the library whole.
     """
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, seen = _tokenizers[path]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join([seen[c] for c in chunks]))
-                continue
-            except KeyError:
-                pass
-            if len(seen) > CACHED_CHUNKS:
-                seen.clear()
-            fresh = list({c for c in chunks if c not in seen})
-            for chunk, coded in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                seen[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
-            out.append(b"".join([seen[c] for c in chunks]))
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.whole, self.word = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.word.normalizer = None
+        self.word.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # sorted hashes, their words
+        self.ids, self.begin, self.size = np.zeros(1 << 20, dtype="<u4"), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.used = 0
+
+    def learn(self, codes: np.ndarray, words: list[str]) -> None:
+        """Append the words' ids; the last token of each word closes it."""
+        ids = np.array(self.word.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        n, first = len(words), len(self.codes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + n > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+        begins = np.append(0, ends[:-1])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.begin[first:first + n], self.size[first:first + n] = self.used + begins, ends - begins
+        self.used += len(ids)
+        both = np.concatenate([self.codes, codes])
+        order = np.argsort(both, kind="stable")
+        self.codes, self.number = both[order], np.append(self.number, np.arange(first, first + n))[order]
+
+    def look_up(self, codes: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those not seen."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.number[at], -1)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each document of a slice."""
+        starts, ends, kind, doc = class_runs(data, offsets)
+        digits = np.flatnonzero(kind == 2)
+        if len(digits):  # a digit is a word of its own
+            n = np.ones(len(starts), dtype=np.int64)
+            n[digits] = ends[digits] - starts[digits]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            single = np.repeat(kind == 2, n)
+            starts, ends, doc = np.repeat(starts, n) + step * single, np.repeat(ends, n), np.repeat(doc, n)
+            ends = np.where(single, starts + 1, ends)
+        codes, at, inverse = np.unique(lower_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.codes) > CACHED:
+            self.forget()
+        odd = self.odd(data, offsets)
+        raw = data.tobytes()
+        fresh = np.flatnonzero((self.look_up(codes) < 0) & ~odd[doc[at]])
+        if len(fresh):
+            spans = zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist())
+            self.learn(codes[fresh], [raw[a:b].decode().lower() for a, b in spans])
+        index = self.look_up(codes)[inverse]
+        missing = index < 0  # first seen in an odd document, but perhaps also in another
+        if missing.any():
+            odd = odd | (np.bincount(doc[missing], minlength=len(odd)) > 0)
+            index[missing] = 0
+        size = self.size[index] if len(self.codes) else np.zeros(len(index), np.int64)
+        stop = np.cumsum(size)
+        spots = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.begin[index] - stop + size, size)
+        flat, cut = self.ids[spots], np.append(0, stop)[np.searchsorted(doc, np.arange(len(offsets)))]
+        out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        strange = np.flatnonzero(odd)
+        texts = [raw[offsets[i]:offsets[i + 1]].decode() for i in strange]
+        for i, coded in zip(strange, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
+            out[i] = np.array(coded.ids, dtype="<u4")
         return out
 
-    return encode
+    @staticmethod
+    def odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Documents with anything but plain words: other letters, control bytes, the marks of special tokens, contractions."""
+        after = np.append(data[1:], 0)
+        strange = (data >= 0xC0) & ((data != 0xC3) | (after == 0x97) | (after == 0xB7))
+        strange |= (data < 0x20) & ~WHITE[data]
+        strange |= (data == ord("<")) & (after == ord("|"))
+        strange |= (data == ord("'")) & (BYTE_CLASS[after] == 1)
+        at = np.flatnonzero(strange)
+        return np.bincount(np.searchsorted(offsets, at, side="right") - 1, minlength=len(offsets) - 1) > 0
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -76,21 +146,22 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
 
     With `ids`, also the piece's token ids as little-endian 32-bit numbers.
     """
-    end = np.array([END], dtype="<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
         for batch in batches:
-            out: list[tuple] = []
-            for doc, coded in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
-                coded += end
-                for i, at in enumerate(range(0, len(coded), 4 * capacity)):
-                    held = coded[at:at + 4 * capacity]
-                    out.append((doc, i, at // 4, len(held) // 4, zlib.crc32(held)) + (held,) * ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * ids
-            columns = zip(*out) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            numbers = batch.column("doc_id").to_pylist()
+            for first, _, data, offsets in slices(batch):
+                out: list[tuple] = []
+                for row, coded in enumerate(_encoders[path].encode(data, offsets), first):
+                    raw = np.append(coded, np.uint32(END)).astype("<u4").tobytes()
+                    for i, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        held = raw[at:at + 4 * capacity]
+                        out.append((numbers[row], i, at // 4, len(held) // 4, zlib.crc32(held)) + (held,) * ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
