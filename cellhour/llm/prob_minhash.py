@@ -156,8 +156,9 @@ class Bucketed:
         held = stored(exploded.join(shared, "band").select("band", "doc_id", "n"), "shared")
         members = held.groupBy("doc_id").agg(F.sum("n").alias("company"))
         self.buckets = stored(held.join(members, "doc_id").select("band", "doc_id", "n", "company"), "buckets")
-        self.sets = stored(texts.join(members, "doc_id", "left_semi").mapInArrow(
-            _sets(size), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+        # What shares a bucket grows with the corpus, so these joins never broadcast it.
+        self.sets = stored(texts.join(members.hint("merge"), "doc_id", "left_semi").mapInArrow(
+            _sets(size), "doc_id long, shingles binary"), "sets")
         self.known = stored(only.join(members, "doc_id", "left_semi").select("doc_id", "size", "signature"), "known")
 
     def leaders(self, buckets: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ class Bucketed:
 
     def common(self, pairs: DataFrame) -> DataFrame:
         one, two = (self.sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInPandas(
+        return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "set_a", "set_b").mapInPandas(
             _common, "a long, b long, common long")
 
     def edges(self, pairs: DataFrame) -> DataFrame:
@@ -193,30 +194,37 @@ class Bucketed:
 
         For documents A, B and the bucket's leader P: the shingles that A alone
         holds (u), and those of P that A lacks (r), give |A xor B| >= u_A + u_B +
-        |r_A - r_B|, while a link needs |A xor B| <= (|A| + |B|) (1 - t) / (1 + t).
-        The bound falls apart into one number for each document, so a document is
-        first held against the best of its bucket, by an aggregate.
+        |r_A - r_B|, while a link needs |A xor B| <= (|A| + |B|) (1 - t) / (1 + t),
+        and |B| <= |A| / t. So u_A alone rules most documents out; then the bound
+        falls apart into one number for each document, which is held against the
+        best of its bucket, by an aggregate, before any pair is made.
         """
         share = (1 - self.threshold) / (1 + self.threshold)
-        group = F.coalesce("group", "doc_id").alias("group")
-        held = self.buckets.where("n > 2").join(groups, "doc_id", "left").select("band", "doc_id", "company", group)
-        split = held.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-        held = stored(held.join(split.select("band"), "band"), "open")
+        held = self.buckets.where("n > 2").join(groups, "doc_id", "left").select(
+            "band", "doc_id", "company", F.coalesce("group", "doc_id").alias("group"))
+
+        def split(rows: DataFrame) -> DataFrame:
+            kinds = rows.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+            return rows.join(kinds.where("low <> high").select("band"), "band")
+
+        held = stored(split(held), "open")
         among = held.select("doc_id").distinct()
         alone = (self.sets.join(among, "doc_id", "left_semi").mapInArrow(_exploded, "doc_id long, shingle long")
                  .groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
                  .groupBy("doc_id").agg(F.count("*").alias("alone")))
+        sizes = self.known.select("doc_id", "size")
+        able = among.join(sizes, "doc_id").join(alone, "doc_id", "left").select(
+            "doc_id", "size", F.coalesce("alone", F.lit(0)).alias("alone")).where(
+            F.col("alone") <= share * (1 + 1 / self.threshold) * F.col("size") + 1e-9)
+        held = stored(split(held.join(able, "doc_id")), "able")
         led = held.join(self.leaders(held), "band")
         pivots = stored(self.common(led.where("doc_id <> leader").select(
             F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "pivots")
-        sizes = self.known.select("doc_id", "size")
-        numbers = (led.join(sizes, "doc_id")
-                   .join(sizes.select(F.col("doc_id").alias("leader"), F.col("size").alias("leader_size")), "leader")
-                   .join(alone, "doc_id", "left")
+        numbers = (led.join(sizes.select(F.col("doc_id").alias("leader"), F.col("size").alias("leader_size")), "leader")
                    .join(pivots.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "common"),
                          ["leader", "doc_id"], "left"))
         lacks = F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.col("leader_size") - F.col("common"))
-        own = F.coalesce("alone", F.lit(0)) - share * F.col("size")
+        own = F.col("alone") - share * F.col("size")
         rated = stored(numbers.select("band", "doc_id", "group", lacks.alias("lacks"), own.alias("own")), "rated")
         best = rated.groupBy("band").agg(F.min(F.col("own") - F.col("lacks")).alias("best"))
         far = rated.join(best, "band").where(F.col("own") + F.col("lacks") + F.col("best") <= 1e-9).select(
