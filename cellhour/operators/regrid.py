@@ -28,7 +28,8 @@ def nearest(targets: DataFrame, sources: DataFrame, target: str, source: str) ->
 def regrid(rows: DataFrame, cells: DataFrame, values: Sequence[str]) -> DataFrame:
     """Each cell takes the series of the nearest source point, axis by axis.
 
-    Driven from the cells, so no cell is left without a source. Call once per
+    Every cell has a nearest point, so the cells, whose number the grid fixes,
+    are sent to the rows and the rows stay where they are. Call once per
     parameter when parameters live on different native grids.
     """
     axes = rows.select("lat", "lon").distinct()
@@ -36,7 +37,7 @@ def regrid(rows: DataFrame, cells: DataFrame, values: Sequence[str]) -> DataFram
     by_lon = nearest(cells.withColumnRenamed("lon", "cell_lon"), axes, "cell_lon", "lon")
     placed = (cells.withColumnsRenamed({"lat": "cell_lat", "lon": "cell_lon"})
               .join(F.broadcast(by_lat), "cell_lat").join(F.broadcast(by_lon), "cell_lon"))
-    joined = placed.join(rows, ["lat", "lon"], "left")
+    joined = rows.join(F.broadcast(placed), ["lat", "lon"])
     return joined.select(F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"), "time", *values)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clean
 from ..model import EVENT_COLUMNS, EVENT_KEY
@@ -20,14 +22,32 @@ SHEET_PATTERN = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 def read_text_table(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """CSV with every column read as text, header names trimmed, and the file name kept.
 
-    All files under one path share a layout.
+    Each file is read by its own header; files of one header are read together,
+    and a column that only some headers have is null elsewhere.
     """
-    reader = spark.read.option("header", True).option("inferSchema", False)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    raw = reader.csv(path)
-    renamed = raw.select("*", F.col("_metadata.file_name").alias("_file"))
-    return renamed.toDF(*[c.strip() for c in raw.columns], "_file")
+    parts = []
+    for header, files in headers(spark, path, pattern):
+        names = [name.strip() for name in next(csv.reader([header]))]
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        rows = spark.read.option("header", True).schema(schema).csv(files)
+        parts.append(rows.select("*", F.col("_metadata.file_name").alias("_file")))
+    if not parts:
+        raise FileNotFoundError(f"no event files with a header under {path}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def headers(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> list[tuple[str, list[str]]]:
+    """The different first lines under a path, each with its files, in order."""
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    lines = reader.text(path).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+    first = lines.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")) \
+        .groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    decoded = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    found = first.groupBy("header").agg(F.array_sort(F.collect_list(decoded)).alias("files")).orderBy("header").collect()
+    return [(r["header"].lstrip("\ufeff"), r["files"]) for r in found]
 
 
 def _require(df: DataFrame, names: Sequence[str]) -> None:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..model import CANDIDATES, EXCLUDE, GRID_DEG, KEY, SEED, TARGET, Domain
 
-CSV_ROW_LIMIT = 500_000
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -69,12 +68,11 @@ def read_sidecar(spark: SparkSession, path: str) -> dict:
     return json.loads("".join(r["value"] for r in spark.read.text(path).collect()))
 
 
-def csv_mirror(table: DataFrame, path: str, limit: int = CSV_ROW_LIMIT, force: bool = False) -> bool:
-    """A CSV copy for people; tables above the limit are skipped unless forced."""
-    if not force and table.count() > limit:
-        return False
+def csv_mirror(table: DataFrame, path: str, limit: int | None = None) -> None:
+    """A CSV copy of all rows for people; where a limit is given, a larger table is an error."""
+    if limit is not None and (n := table.count()) > limit:
+        raise ValueError(f"{n} rows are more than the limit of {limit} for a CSV copy")
     table.write.mode("overwrite").option("header", True).csv(path)
-    return True
 
 
 def sorted_view(table: DataFrame) -> DataFrame:

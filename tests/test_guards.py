@@ -113,6 +113,14 @@ def test_csv_rules(spark, tmp_path):
     assert rows[0]["source"] == "csv:a.csv"
 
 
+@pytest.mark.parametrize("names", ["ab", "ba"])
+def test_csv_columns_go_by_name(spark, tmp_path, names):
+    (tmp_path / f"{names[0]}.csv").write_text("Date,Time,Latitude,Longitude,Signal Strength\n01/02/2024,03:04:05.0000001,1.5,2.5,-7\n")
+    (tmp_path / f"{names[1]}.csv").write_text("Longitude,Latitude,Time,Date\n20,10,03:04:06.0000001,01/02/2024\n")
+    rows = sorted(events.read_strikes(spark, str(tmp_path)).collect(), key=lambda r: r["lat"])
+    assert [(r["lat"], r["lon"], r["peak_current_ka"]) for r in rows] == [(1.5, 2.5, -7.0), (10.0, 20.0, None)]
+
+
 def test_listing_reconciles(spark, tmp_path):
     (tmp_path / "x.json").write_text("{}")
     (tmp_path / "y.json").write_text("{}")
@@ -123,7 +131,8 @@ def test_listing_reconciles(spark, tmp_path):
 
 def test_mirror_guard_and_sidecar(spark, tables, tmp_path):
     rows = tables.table
-    assert not table.csv_mirror(rows.select("lat"), str(tmp_path / "m"), limit=10)
+    with pytest.raises(ValueError):
+        table.csv_mirror(rows.select("lat"), str(tmp_path / "m"), limit=10)
     written = table.write_sidecar(rows, model.TROPIS, str(tmp_path / "s"))
     assert table.read_sidecar(spark, str(tmp_path / "s"))["n_rows"] == written["n_rows"] == rows.count()
     assert quality.metadata_drift(rows, written) == {}

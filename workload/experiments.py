@@ -53,10 +53,10 @@ def leave_one_out(t: Tables) -> DataFrame:
 
 @query("T6_ablation_order", "dropped:s delta:d")
 def ablation_order(t: Tables) -> DataFrame:
-    """The three features whose removal costs the count model most."""
+    """All features by what their removal costs the count model."""
     found = ablate.ablate(train(t), test(t), COUNT, "count", ROW_KEY)
     table = ablate.ablation_table(t.table, {("full", "count"): found})
-    return table.filter("dropped IS NOT NULL").orderBy(F.desc("delta"), "dropped").limit(3)
+    return table.filter("dropped IS NOT NULL").orderBy(F.desc("delta"), "dropped")
 
 
 def widths(t: Tables) -> DataFrame:
