@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours and then that label's own
     label, so long chains shorten quickly; every round's labels are a written table.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
                     .select(F.col("a").alias("node"), "label"), "labels")
     while True:
