@@ -39,6 +39,8 @@ BAND = 4
 SIZE = 5
 #: Registers that two bags of the threshold's similarity share but for one case in a million.
 SLACK = 5.0
+#: Longs of a parity sketch: a bit for each class of shingles, set where a document holds an odd number of them.
+PARITY = 8
 
 
 def bags(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +102,14 @@ def _described(size: int, m: int):
     return rows
 
 
+def parities(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY) sketches. Two of them differ in no more bits than their shingle sets in shingles."""
+    bit = (mix(shingles) >> U64(32)) % U64(64 * PARITY)
+    out = np.zeros(n * PARITY, dtype=U64)
+    np.bitwise_xor.at(out, doc.astype(np.int64) * PARITY + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return out.view(np.int64).reshape(n, PARITY)
+
+
 def _sets(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +117,12 @@ def _sets(size: int):
             for first, last, data, offsets in slices(batch):
                 shingles, doc, _ = bags(*word_hashes(data, offsets), size)
                 cut = np.searchsorted(doc, np.arange(last - first + 1))
+                odd = parities(shingles, doc, last - first)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first:last].astype(np.int64)),
-                     pa.array([shingles[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-                    ["doc_id", "shingles"])
+                     pa.array([shingles[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())]
+                    + [pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)],
+                    ["doc_id", "shingles"] + [f"odd{i}" for i in range(PARITY)])
     return rows
 
 
@@ -158,7 +170,7 @@ class Bucketed:
         self.buckets = stored(held.join(members, "doc_id").select("band", "doc_id", "n", "company"), "buckets")
         # What shares a bucket grows with the corpus, so these joins never broadcast it.
         self.sets = stored(texts.join(members.hint("merge"), "doc_id", "left_semi").mapInArrow(
-            _sets(size), "doc_id long, shingles binary"), "sets")
+            _sets(size), "doc_id long, shingles binary" + "".join(f", odd{i} long" for i in range(PARITY))), "sets")
         self.known = stored(only.join(members, "doc_id", "left_semi").select("doc_id", "size", "signature"), "known")
 
     def leaders(self, buckets: DataFrame) -> DataFrame:
@@ -197,7 +209,8 @@ class Bucketed:
         |r_A - r_B|, while a link needs |A xor B| <= (|A| + |B|) (1 - t) / (1 + t),
         and |B| <= |A| / t. So u_A alone rules most documents out; then the bound
         falls apart into one number for each document, which is held against the
-        best of its bucket, by an aggregate, before any pair is made.
+        best of its bucket, by an aggregate, before any pair is made. The bits in
+        which two parity sketches differ are a lower bound of |A xor B| as well.
         """
         share = (1 - self.threshold) / (1 + self.threshold)
         held = self.buckets.where("n > 2").join(groups, "doc_id", "left").select(
@@ -216,7 +229,9 @@ class Bucketed:
         able = among.join(sizes, "doc_id").join(alone, "doc_id", "left").select(
             "doc_id", "size", F.coalesce("alone", F.lit(0)).alias("alone")).where(
             F.col("alone") <= share * (1 + 1 / self.threshold) * F.col("size") + 1e-9)
-        held = stored(split(held.join(able, "doc_id")), "able")
+        odds = [f"odd{i}" for i in range(PARITY)]
+        sketched = able.join(self.sets.select("doc_id", *odds), "doc_id")
+        held = stored(split(held.join(sketched, "doc_id")), "able")
         led = held.join(self.leaders(held), "band")
         pivots = stored(self.common(led.where("doc_id <> leader").select(
             F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()), "pivots")
@@ -225,14 +240,16 @@ class Bucketed:
                          ["leader", "doc_id"], "left"))
         lacks = F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.col("leader_size") - F.col("common"))
         own = F.col("alone") - share * F.col("size")
-        rated = stored(numbers.select("band", "doc_id", "group", lacks.alias("lacks"), own.alias("own")), "rated")
+        rated = stored(numbers.select("band", "doc_id", "group", "size", lacks.alias("lacks"), own.alias("own"), *odds), "rated")
         best = rated.groupBy("band").agg(F.min(F.col("own") - F.col("lacks")).alias("best"))
         far = rated.join(best, "band").where(F.col("own") + F.col("lacks") + F.col("best") <= 1e-9).select(
-            "band", "doc_id", "group", "lacks", "own")
-        other = rated.select("band", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "group", "lacks", "own")])
+            "band", "doc_id", "group", "size", "lacks", "own", *odds)
+        other = rated.select("band", *[F.col(c).alias(f"{c}_b") for c in rated.columns if c != "band"])
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in odds), F.lit(0))
         met = far.join(other, "band").where(
             (F.col("group") != F.col("group_b")) & (F.col("lacks_b") <= F.col("lacks"))
-            & (F.col("own") + F.col("own_b") + F.col("lacks") - F.col("lacks_b") <= 1e-9))
+            & (F.col("own") + F.col("own_b") + F.col("lacks") - F.col("lacks_b") <= 1e-9)
+            & (apart <= share * (F.col("size") + F.col("size_b")) + 1e-9))
         return met.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")) \
             .distinct().join(tested, ["a", "b"], "left_anti")
 

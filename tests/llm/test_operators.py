@@ -120,6 +120,19 @@ def test_near_duplicate_classes(spark, docs):
     assert got == brute_classes(corpus())
 
 
+def test_parity_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64))]
+    for k in (0, 1, 7, 40, 150):
+        sets.append(np.unique(np.append(sets[0][k:], rng.integers(0, 1 << 63, k).astype(np.uint64))))
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = prob_minhash.parities(np.concatenate(sets), doc, len(sets) + 1).view(np.uint64)
+    for i, one in enumerate(sets):
+        for j, two in enumerate(sets):
+            assert np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(one, two))
+    assert np.bitwise_count(odd[0] ^ odd[4]).sum() > 40 and not odd[-1].any()
+
+
 def test_a_large_group_of_near_copies_loses_no_link(spark):
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
