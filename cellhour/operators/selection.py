@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordering
-from ..functions.draws import draw_number, seeded_sample
+from ..functions.draws import SPAN, draw_number
 from ..functions.moments import Moments, moments
-from ..model import MI_ROWS, SEED, SEEDS, TARGET
+from ..model import REPEAT_SHARE, SEED, SEEDS, TARGET
 
 BINS = 10
 
@@ -55,12 +55,16 @@ def mutual_information(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (-F.sum(F.col("p") * F.log("pl"))).alias("entropy"))
 
 
+def uncertainty_removed(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, feature, relevance from a contingency table: information over the entropy of the label."""
+    value = F.when(F.col("entropy") > 0, F.col("mi") / F.col("entropy")).otherwise(F.col("mi"))
+    return mutual_information(table, by).select(*by, "feature", value.alias("relevance"))
+
+
 def occurrence_relevance(df: DataFrame, edges: dict[str, list[float]],
                          by: Sequence[str] = ()) -> DataFrame:
     """Share of the uncertainty about an event each feature removes."""
-    mi = mutual_information(contingency(df, edges, (F.col(TARGET) > 0).cast("int"), by), by)
-    value = F.when(F.col("entropy") > 0, F.col("mi") / F.col("entropy")).otherwise(F.col("mi"))
-    return mi.select(*by, "feature", value.alias("relevance"))
+    return uncertainty_removed(contingency(df, edges, (F.col(TARGET) > 0).cast("int"), by), by)
 
 
 def count_information(df: DataFrame, edges: dict[str, list[float]], count_edges: Sequence[float],
@@ -139,7 +143,7 @@ def stability(orders: DataFrame, k: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ranking:
-    """One stage's selection: its steps, and how repeated draws ordered the features."""
+    """One stage's selection: its steps, and how repetitions ordered the features."""
 
     steps: list[Step]
     orders: dict[int, list[str]]
@@ -155,64 +159,74 @@ class Ranking:
 
 @dataclass(frozen=True)
 class StageStatistics:
-    """What every selection on one stage's rows starts from: information per draw, and rank moments.
+    """What every selection on one stage's rows starts from: information, and rank moments.
 
-    Neither depends on which other features are candidates, so one computation
-    serves all arms.
+    `whole` is taken from all rows, `by_seed` from each repetition's share of
+    them. Neither depends on which other features are candidates, so one
+    computation serves all arms.
     """
 
     stage: str
+    whole: dict[str, float]
     by_seed: dict[int, dict[str, float]]
     ranks: Moments
 
-    def relevance(self, seed: int, names: Sequence[str]) -> dict[str, float]:
-        values = {n: self.by_seed[seed][n] for n in names}
+    def relevance(self, found: dict[str, float], names: Sequence[str]) -> dict[str, float]:
+        values = {n: found[n] for n in names}
         top = max(values.values(), default=0.0)
         if self.stage == "count" and top > 0:
             return {n: v / top for n, v in values.items()}
         return values
 
     def select(self, names: Sequence[str]) -> Ranking:
-        """Greedy order per draw, and on the mean relevance of all draws."""
+        """Greedy order on the relevance over all rows, and on that of each repetition."""
         ranks = self.ranks.part(list(names))
-        drawn = {s: self.relevance(s, names) for s in self.by_seed}
-        orders = {s: [step.feature for step in greedy(v, ranks)] for s, v in drawn.items()}
-        mean = {n: float(np.mean([v[n] for v in drawn.values()])) for n in names}
-        return Ranking(greedy(mean, ranks), orders)
+        orders = {s: [step.feature for step in greedy(self.relevance(found, names), ranks)]
+                  for s, found in self.by_seed.items()}
+        return Ranking(greedy(self.relevance(self.whole, names), ranks), orders)
+
+
+def repetition_mask(seeds: int, share: float, key: Sequence[str], number=draw_number) -> Column:
+    """Bit s is set where repetition s reads the row: its draw number lies below the share."""
+    keys = [F.col(k) for k in key]
+    bits = [F.when(number(SEED + s, *keys) < F.lit(share * SPAN), F.lit(1 << s)).otherwise(F.lit(0))
+            for s in range(seeds)]
+    return sum(bits[1:], bits[0]) if bits else F.lit(0)
+
+
+def repeated(table: DataFrame, seeds: int) -> DataFrame:
+    """seed, feature, bin, label, n from a contingency table by `mask`; seed -1 holds all rows."""
+    reads = F.filter(F.array(*[F.lit(s) for s in range(-1, seeds)]), lambda s: (s < 0) | (
+        F.col("mask").bitwiseAND(F.element_at(F.array(*[F.lit(1 << max(i, 0)) for i in range(-1, seeds)]), s + 2)) > 0))
+    return (table.select(F.explode(reads).alias("seed"), "feature", "bin", "label", "n")
+            .groupBy("seed", "feature", "bin", "label").agg(F.sum("n").alias("n")))
 
 
 def stage_statistics(df: DataFrame, features: Sequence[str], stage: str, key: Sequence[str],
-                     seeds: int = SEEDS, sample_rows: int = MI_ROWS, bins: int = BINS,
+                     seeds: int = SEEDS, share: float = REPEAT_SHARE, bins: int = BINS,
                      number=draw_number, **limits: int) -> StageStatistics:
-    """Information over seeded row draws, and rank moments over all rows of the stage.
+    """Information over all rows and over each repetition's share of them, and rank moments over all rows.
 
     `df` has the key, the features and the target; the count stage sees rows
-    with events only. All draws are counted in one job with the draw as a key.
+    with events only. One aggregate, with the repetitions a row belongs to as
+    part of its key, counts for all of them, however many there are.
     """
     rows = df if stage == "occurrence" else df.filter(F.col(TARGET) > 0)
-    n = rows.count()
     edges = bin_edges(rows, features, bins)
-    keys = [F.col(k) for k in key]
-    if n <= sample_rows:
-        # Every draw is the whole table: count it once and read it for each seed.
-        drawn, copies = rows.withColumn("seed", F.lit(0)), range(seeds)
-    else:
-        drawn, copies = None, [0]
-        for s in range(seeds):
-            one = seeded_sample(rows, sample_rows, number(SEED + s, *keys), key).withColumn("seed", F.lit(s))
-            drawn = one if drawn is None else drawn.unionByName(one)
+    masked = rows.withColumn("mask", repetition_mask(seeds, share, key, number))
     if stage == "occurrence":
-        information = occurrence_relevance(drawn, edges, ["seed"])
+        label = (F.col(TARGET) > 0).cast("int")
     else:
         level = rows.select(F.log1p(F.col(TARGET).cast("double")).alias("level"))
-        information = count_information(drawn, edges, bin_edges(level, ["level"], bins)["level"], ["seed"])
-        information = information.withColumnRenamed("mi", "relevance")
-    by_seed: dict[int, dict[str, float]] = {}
+        label = bin_number(F.log1p(F.col(TARGET).cast("double")), bin_edges(level, ["level"], bins)["level"])
+    counts = repeated(contingency(masked, edges, label, ["mask"]), seeds)
+    information = (uncertainty_removed(counts, ["seed"]) if stage == "occurrence" else
+                   mutual_information(counts, ["seed"]).withColumnRenamed("mi", "relevance"))
+    found: dict[int, dict[str, float]] = {s: dict.fromkeys(features, 0.0) for s in range(-1, seeds)}
     for r in information.collect():  # seeds x features
-        for copy in copies:
-            by_seed.setdefault(r["seed"] + copy, {})[r["feature"]] = r["relevance"]
+        found[r["seed"]][r["feature"]] = r["relevance"]
     ranks = rank_moments(rows.select(*key, *[f for f in features if f not in key]), features, key, **limits)
-    return StageStatistics(stage, by_seed, ranks)
+    return StageStatistics(stage, found.pop(-1), found, ranks)
 
 
 def rank_stage(df: DataFrame, features: Sequence[str], stage: str, key: Sequence[str], **options) -> Ranking:

@@ -95,19 +95,20 @@ def ablate(train: DataFrame, test: DataFrame, names: Sequence[str], stage: str,
     """Full set against every set with one feature left out; test rows stay whole.
 
     `extra` names table columns the arms leave out, such as the undefined ones.
+    `fit_rows` bounds the labelled rows of the logistic fits; ridge reads all rows.
     """
     names = list(names)
     plain = [n for n in names if n not in extra]
     rows = lambda df: features.matrix(
         df, plain, [*[k for k in key if k not in names], TARGET, *[c for c in extra if c in names]])
-    drawn = seeded_sample(rows(train), fit_rows, draw_number(SEED, *[F.col(k) for k in key])
-                          if number is None else number, key)
     subsets = [names, *[[m for m in names if m != n] for n in names]]
     if stage == "occurrence":
+        drawn = seeded_sample(rows(train), fit_rows, draw_number(SEED, *[F.col(k) for k in key])
+                              if number is None else number, key)
         scores = occurrence_scores(drawn, rows(test), subsets, names)
         values, auc = [s[0] for s in scores], scores[0][1]
     else:
-        values, auc = count_scores(drawn, rows(test), subsets, names), None
+        values, auc = count_scores(rows(train), rows(test), subsets, names), None
     return Ablation(stage, names, values[0], auc, dict(zip(names, values[1:])))
 
 

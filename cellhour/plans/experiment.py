@@ -20,16 +20,16 @@ MODELS = ("baseline_trivial", "ridge")
 
 @dataclass(frozen=True)
 class Settings:
-    """Everything a run depends on; stored with its record."""
+    """Everything a run depends on, stored with its record; all rows and days unless told otherwise."""
 
     features: tuple[str, ...]
     hour_encoding: str = "cyclic"
     transform: str = "log1p"
     reduction: str | None = None
-    train_rows: int | None = 3_000
+    train_rows: int | None = None
     zero_ratio: float | None = None
-    validation_rows: int | None = 1_000
-    test_days: int | None = 30
+    validation_rows: int | None = None
+    test_days: int | None = None
     validation_share: float = 0.15
     alpha: float = 1.0
 
@@ -239,11 +239,6 @@ def run_grid(tables: dict[str, DataFrame], settings: Settings, path: str,
     return records.load(spark, path)
 
 
-def sweep_settings(settings: Settings) -> Settings:
-    """Sweeps compare rather than measure: fewer training rows and test days."""
-    return replace(settings, train_rows=1_000, test_days=20)
-
-
 def run_sweep(table: DataFrame, axis: str, values: Sequence, settings: Settings, path: str,
               fold: tuple[list[int], int] = FOLDS[2], stage: str = "occurrence", seed: int = 0,
               **options) -> DataFrame:

@@ -104,3 +104,19 @@ def test_reduction_changes_the_model_width(tables):
                                    validation_rows=None, test_days=None)
     done = experiment.prepare(tables.table, TABLE_FOLDS[0], "occurrence", 0, settings, ROW_KEY)
     assert done.names == ["pc1", "pc2"] and {"pc1", "pc2", "y"} <= set(done.test.columns)
+
+
+def test_repetitions_count_their_share_and_the_whole_table_in_one_aggregate(spark):
+    from cellhour.functions.draws import SPAN, draw_number
+    from cellhour.model import SEED
+
+    rows = spark.range(2000).select(
+        "id", (F.col("id") % 7).cast("double").alias("x"), F.rand(3).alias("noise"),
+        (F.col("id") % 7 > 4).cast("int").alias("flash_count"))
+    found = selection.stage_statistics(rows, ["x", "noise"], "occurrence", ["id"], seeds=2, share=0.4)
+    edges = selection.bin_edges(rows, ["x", "noise"])
+    for seed, got in [(None, found.whole), *found.by_seed.items()]:
+        part = rows if seed is None else rows.filter(draw_number(SEED + seed, F.col("id")) < 0.4 * SPAN)
+        wanted = {r["feature"]: r["relevance"] for r in selection.occurrence_relevance(part, edges).collect()}
+        assert got == pytest.approx(wanted)
+    assert found.select(["x", "noise"]).order[0] == "x"

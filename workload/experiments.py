@@ -60,7 +60,7 @@ def ablation_order(t: Tables) -> DataFrame:
 
 
 def widths(t: Tables) -> DataFrame:
-    return ablate.run_widths(train(t), test(t), (2, 4), ROW_KEY, ARMS, stages=("count",), seeds=1)
+    return ablate.run_widths(train(t), test(t), (2, 4), ROW_KEY, ARMS)
 
 
 @query("K12_climatology_gap", "width:l stage:s full:d meteorology:d gap:d meteorology_share:d")
@@ -75,7 +75,7 @@ def width_sweep(t: Tables) -> DataFrame:
 
 @query("K14_complete_case", "stage:s without:d with:d cost_of_dropping:d delta_cin:d delta_cbh:d")
 def complete_case(t: Tables) -> DataFrame:
-    found = ablate.complete_case(train(t), test(t), 3, ROW_KEY, names=ARMS["full"], stages=("count",), seeds=1)
+    found = ablate.complete_case(train(t), test(t), 3, ROW_KEY, names=ARMS["full"])
     return found.withColumns({"delta_cin": F.col("deltas")["CIN"], "delta_cbh": F.col("deltas")["CBH"]})
 
 
@@ -102,16 +102,16 @@ def scenario_evaluation(t: Tables) -> DataFrame:
 
 @query("M18_experiment_grid", RUN + "log_loss:d avg_precision:d rmse:d r2:d smearing_factor:d")
 def experiment_grid(t: Tables) -> DataFrame:
+    """Both stages, domains and all folds; one seed, for without sampling all seeds give the same."""
     path = scratch(t.spark, "grid")
-    runs = experiment.run_grid(frames(t), SETTINGS, path, TABLE_FOLDS[2:], seeds=(0,), key=ROW_KEY)
+    runs = experiment.run_grid(frames(t), SETTINGS, path, TABLE_FOLDS, seeds=(0,), key=ROW_KEY)
     return records.flatten(runs)
 
 
 @query("M18b_one_factor_sweep", RUN + "encoding:s log_loss:d avg_precision:d")
 def one_factor_sweep(t: Tables) -> DataFrame:
     path = scratch(t.spark, "sweep")
-    small = experiment.sweep_settings(SETTINGS)
-    runs = experiment.run_sweep(t.table, "hour_encoding", ("none", "raw", "cyclic"), small, path, TABLE_FOLDS[2], key=ROW_KEY)
+    runs = experiment.run_sweep(t.table, "hour_encoding", ("none", "raw", "cyclic"), SETTINGS, path, TABLE_FOLDS[2], key=ROW_KEY)
     metrics = [F.col(f"metrics.{m}").alias(m) for m in ("log_loss", "avg_precision")]
     return runs.select("scenario", "stage", "model", "fold", "seed", "train_rows", "n_params",
                        F.col("config")["hour_encoding"].alias("encoding"), *metrics)
@@ -120,7 +120,6 @@ def one_factor_sweep(t: Tables) -> DataFrame:
 @query("M18c_reduction_sweep", "reduction:s model:s n_params:l log_loss:d")
 def reduction_sweep(t: Tables) -> DataFrame:
     path = scratch(t.spark, "sweep")
-    small = experiment.sweep_settings(SETTINGS)
-    runs = experiment.run_sweep(t.table, "reduction", (None, "pca3"), small, path, TABLE_FOLDS[2], key=ROW_KEY)
+    runs = experiment.run_sweep(t.table, "reduction", (None, "pca3"), SETTINGS, path, TABLE_FOLDS[2], key=ROW_KEY)
     return runs.select(F.col("config")["reduction"].alias("reduction"), "model", "n_params",
                        F.col("metrics.log_loss").alias("log_loss"))

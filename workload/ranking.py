@@ -99,36 +99,39 @@ def greedy_order(t: Tables) -> DataFrame:
     return selection.step_table(t.table, selection.greedy({f: found[f] for f in FEATURES}, ranks))
 
 
-def half(t: Tables) -> int:
-    return train(t).count() // 2
-
-
 @query("K5_seeded_ranking", "feature:s share_in_top_k:d mean_position:d")
 def seeded_ranking(t: Tables) -> DataFrame:
-    """Five draws of half the training rows each."""
+    """Five repetitions, each on its own half of the training rows."""
     rows = screen.feature_rows(train(t), ARM_NAMES, ROW_KEY)
-    ranking = selection.rank_stage(rows, ARM_NAMES, "occurrence", ROW_KEY, sample_rows=half(t))
+    ranking = selection.rank_stage(rows, ARM_NAMES, "occurrence", ROW_KEY)
     return selection.stability(ranking.orders_table(t.table), 3)
 
 
 @query("K6_screen_arm", "arm:s stage:s position:l feature:s relevance:d redundancy:d score:d")
 def screen_arm(t: Tables) -> DataFrame:
-    result = screen.screen_arm(train(t), "full", ROW_KEY, ARM_NAMES, seeds=2, sample_rows=half(t))
+    result = screen.screen_arm(train(t), "full", ROW_KEY, ARM_NAMES)
     return screen.steps_table(t.table, [result])
 
 
-@query("K7_screen_domain", "arm:s stage:s position:l feature:s relevance:d redundancy:d score:d")
+DOMAIN_NAMES = ("tropis", "subtropis")
+
+
+def domain_tables(t: Tables) -> dict[str, DataFrame]:
+    return {d: t.table.filter(F.col("domain") == d) for d in DOMAIN_NAMES}
+
+
+@query("K7_screen_domain", "domain:s arm:s stage:s position:l feature:s relevance:d redundancy:d score:d")
 def screen_domain(t: Tables) -> DataFrame:
-    """All arms of one domain over every candidate the contract names."""
-    tropis = t.table.filter("domain = 'tropis'")
-    results = screen.screen_domain(tropis, 2001, key=ROW_KEY, seeds=2)
-    return screen.steps_table(t.table, list(results.values()))
+    """All arms of each domain over every candidate the contract names."""
+    parts = [screen.steps_table(t.table, list(screen.screen_domain(rows, 2001, key=ROW_KEY).values()))
+             .withColumn("domain", F.lit(d)) for d, rows in domain_tables(t).items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("K8_screen_shared", "arm:s stage:s position:l feature:s relevance:d redundancy:d score:d")
 def screen_shared(t: Tables) -> DataFrame:
-    domains = [t.table.filter(F.col("domain") == d) for d in ("tropis", "subtropis")]
-    return screen.steps_table(t.table, [screen.screen_shared(domains, 2001, key=ROW_KEY, names=ARM_NAMES, seeds=2)])
+    pooled = screen.screen_shared(list(domain_tables(t).values()), 2001, key=ROW_KEY, names=ARM_NAMES)
+    return screen.steps_table(t.table, [pooled])
 
 
 RELEVANCE_ORDER = [V_TABLE, TRAIN, OCCURRENCE[2],
