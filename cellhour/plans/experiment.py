@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..model import FOLDS, KEY, SCENARIOS, STAGES, TARGET, WINDOW_HOURS, refuse_leakage
+from ..model import FOLDS, KEY, SCENARIOS, STAGES, TARGET, WINDOW_HOURS, require
 from ..operators import evaluate, features, models, split
 from ..session import materialise
 from ..sources import records
@@ -61,7 +61,8 @@ def encoded(table: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]
     missing = [n for n in settings.features if n not in table.columns]
     if missing:
         raise KeyError(f"features not in the table: {missing}")
-    return table.withColumns(extra) if extra else table, refuse_leakage(names)
+    require({"features": names}, {"outcome"})
+    return table.withColumns(extra) if extra else table, names
 
 
 def _model_rows(rows: DataFrame, scaler: features.RangeScaler, stage: str, settings: Settings,

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..model import (KEY, SELECT_N, STAGES, TARGET, TEST_YEAR, refuse_coordinates, refuse_leakage,
-                     refuse_raw_time, refuse_unequal_width)
+from ..model import KEY, SELECT_N, STAGES, TARGET, TEST_YEAR, require
 from ..operators import features, selection
 from ..operators.split import pooled
 
@@ -86,13 +85,11 @@ def check_sets(sets: DataFrame) -> dict[tuple[str, str | None, str], list[str]]:
     lists: dict[tuple[str, str | None, str], list[str]] = {}
     for r in sorted(sets.collect(), key=lambda r: r["position"]):
         lists.setdefault((r["scope"], r["domain"], r["stage"]), []).append(r["feature"])
-    for (scope, _, _), names in lists.items():
-        refuse_raw_time(refuse_leakage(names))
-        if scope == "shared":
-            refuse_coordinates(names)
     for stage in STAGES:
-        refuse_unequal_width({d: n for (scope, d, s), n in lists.items()
-                              if scope == "within" and s == stage})
+        of = lambda wanted: {f"{scope} {domain or 'pooled'} {s}": names
+                             for (scope, domain, s), names in lists.items() if (scope, s) == (wanted, stage)}
+        require(of("within"), {"outcome", "calendar"}, same_width=True)
+        require(of("shared"), {"outcome", "calendar", "place"})
     return lists
 
 

@@ -14,12 +14,12 @@ from cellhour.sources import events, fields, points, table
 
 
 def test_name_lists():
-    for call in (lambda: model.refuse_leakage(["CAPE", "flash_count"]), lambda: model.refuse_leakage([]),
-                 lambda: model.refuse_raw_time(["year"]), lambda: model.refuse_coordinates(["lat"]),
-                 lambda: model.refuse_unequal_width({"a": ["x"], "b": ["x", "y"]})):
+    for call in (lambda: model.require({"a": ["CAPE", "flash_count"]}, {"outcome"}), lambda: model.require({"a": []}, {"outcome"}),
+                 lambda: model.require({"a": ["year"]}, {"calendar"}), lambda: model.require({"a": ["lat"]}, {"place"}),
+                 lambda: model.require({"a": ["x"], "b": ["x", "y"]}, set(), same_width=True)):
         with pytest.raises(model.ContractError):
             call()
-    report = model.contract_report(["lat", "lon", "CAPE", "mystery"])
+    report = model.role_gaps(["lat", "lon", "CAPE", "mystery"])
     assert report["unclassified"] == ["mystery"] and "CIN" in report["missing"]
 
 
