@@ -239,7 +239,8 @@ class Bucketed:
                    .join(pivots.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "common"),
                          ["leader", "doc_id"], "left"))
         lacks = F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.col("leader_size") - F.col("common"))
-        own = F.col("alone") - share * F.col("size")
+        # What the leader alone holds, every other member lacks of it: it counts there.
+        own = F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.col("alone")) - share * F.col("size")
         rated = stored(numbers.select("band", "doc_id", "group", "size", lacks.alias("lacks"), own.alias("own"), *odds), "rated")
         best = rated.groupBy("band").agg(F.min(F.col("own") - F.col("lacks")).alias("best"))
         far = rated.join(best, "band").where(F.col("own") + F.col("lacks") + F.col("best") <= 1e-9).select(
