@@ -5,8 +5,9 @@ sequence are dealt to shards of bounded size. Every shard evolves on several
 islands: a crossover puts whole well-filled sequences of one packing into
 another, drops the sequences that hold the same pieces, and best-fits what that
 displaced. Between epochs each island's elite packing moves to the next island.
-The best island's well-filled sequences are final; what lies in the others is
-dealt anew to fewer shards, until one shard is left.
+The best island's well-filled sequences are final, or its fullest with half of all
+pieces where few are well filled; what lies in the others is dealt anew to fewer
+shards, until one shard is left.
 
 Defined results: a null text is empty, so one end token; rows that repeat a
 doc_id or text are packed one by one; a null doc_id stays null; an empty table
@@ -258,6 +259,23 @@ def _epoch(capacity: int, turn: int):
     return island
 
 
+def final_level(pieces: dict[int, int], capacity: int) -> tuple[float, int]:
+    """Least fill of the sequences that are final, and how many pieces lie in others, by the pieces of each fill.
+
+    Where most pieces lie in sequences that are not well filled, the fullest with half of all pieces are final:
+    the rest halves at least, so surpluses of different shards meet in fewer shards until one holds them all.
+    """
+    level, half = WELL_FILLED * capacity, sum(pieces.values()) / 2
+    n_well = sum(n for fill, n in pieces.items() if fill >= level)
+    if n_well < half:
+        n_well = 0
+        for fill in sorted(pieces, reverse=True):
+            level, n_well = fill, n_well + pieces[fill]
+            if n_well >= half:
+                break
+    return level, sum(pieces.values()) - n_well
+
+
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` with sequence_id and offset, in as few sequences as the search finds."""
     columns = [c for c in pieces.columns]
@@ -282,10 +300,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         dealt = stored(dealt, "packings")
         best = dealt.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("best")).select("shard", "best.island")
         chosen = dealt.join(best, ["shard", "island"])
-        well = F.col("fill") >= WELL_FILLED * capacity
+        level, n_rest = final_level({r["fill"]: r["count"] for r in chosen.groupBy("fill").count().collect()}, capacity)
+        well = F.col("fill") >= level
         rest = chosen.where(~well)
-        n_rest = rest.count()
-        last = shards == 1 or n_rest > n // 2
+        last = shards == 1
         final = chosen if last else chosen.where(well)
         done.append(final.select(*columns, ((F.lit(turn) * (1 << 56)) + F.col("shard") * (1 << 20) + F.col("bin"))
                                  .cast("long").alias("sequence_id"), "offset"))
