@@ -133,7 +133,8 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
                     a, b = int(offsets[row - first]), int(offsets[row - first + 1])
                     w0, w1 = int(words[row - first]), int(words[row - first + 1])
                     start, end = lists[row]
-                    end = np.minimum(end, w1 - w0)
+                    inside = start < w1 - w0  # another row of the doc_id can be longer
+                    start, end = start[inside], np.minimum(end[inside], w1 - w0)
                     if len(start):
                         edge = np.append(starts[w0:w1], b)
                         cuts = [a, *np.stack([edge[start], edge[end]], 1).ravel().tolist(), b]

@@ -100,6 +100,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
 
 def shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     """Spans of windows that start earlier in the shard; for split keys also the windows that do not."""
+    rows = rows.drop_duplicates(["doc_id", "start", "held"])  # rows of one doc_id hold a run once
     held = rows["held"].to_numpy()
     lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
     text = np.frombuffer(b"".join(held), dtype=np.uint8)
@@ -116,8 +117,10 @@ def shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     owner = string[sorted_windows]
     at = start[owner] + offset[sorted_windows]
     group = np.cumsum(prefix[sorted_windows] < window) - 1
+    by_age = np.lexsort((at, doc[owner]))
+    older = np.append(False, (np.diff(doc[owner][by_age]) != 0) | (np.diff(at[by_age]) != 0))[:len(at)]
     age = np.empty(len(at), dtype=np.int64)
-    age[np.lexsort((at, doc[owner]))] = np.arange(len(at))
+    age[by_age] = np.cumsum(older)  # one age for one place, whichever row of the doc_id it is from
     heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     seen = np.zeros(len(text), dtype=bool)
     seen[sorted_windows] = age > np.minimum.reduceat(age, heads)[group]
@@ -138,15 +141,17 @@ def shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def _merge(window: int):
-    """Of sorted windows, those whose first place in the order, found by binary search, is another row's."""
+    """Of sorted windows, those that start elsewhere than the first of their kind, found by binary search."""
     def later(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = b""
+        before, first = b"", (0, 0)
         for part in parts:
-            runs = part["window"].to_numpy().astype(f"S{window}")
-            place = np.searchsorted(runs, runs, side="left")
-            late = (place < np.arange(len(runs))) | (part["window"].to_numpy() == before)
-            before = part["window"].iloc[-1] if len(part) else before
-            yield part.loc[late, ["doc_id", "start", "end"]]
+            if not len(part):
+                continue
+            runs, places = part["window"].to_numpy().astype(f"S{window}"), part[["doc_id", "start"]].to_numpy(np.int64)
+            of = places[np.searchsorted(runs, runs, side="left")]
+            of[part["window"].to_numpy() == before] = first
+            before, first = part["window"].iloc[-1], tuple(of[-1])
+            yield part.loc[(places != of).any(axis=1), ["doc_id", "start", "end"]]
     return later
 
 
@@ -178,7 +183,8 @@ def dedup(docs: DataFrame, window: int = 100) -> DataFrame:
             texts = batch.column("text").fill_null("").cast(pa.large_binary())
             for text, (start, end) in zip(texts, windows.span_lists(batch)):
                 raw = text.as_buffer().to_pybytes()
-                end = np.minimum(end, len(raw))
+                inside = start < len(raw)  # another row of the doc_id can be longer
+                start, end = start[inside], np.minimum(end[inside], len(raw))
                 if len(start):
                     cuts = [0, *np.stack([start, end], 1).ravel().tolist(), len(raw)]
                     kept.append(b"".join([raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])]))
