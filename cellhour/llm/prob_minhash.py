@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash signatures.
 
-A document is a bag of five-word shingles; a shingle that occurs n times weighs
-1 + ln n. Each shingle sends arrivals of a Poisson process with its weight as
+A document is a set of five-word shingles, which all weigh the same, since a link
+is a matter of sets: how often a document repeats a passage does not change its
+buckets. Each shingle sends arrivals of a Poisson process with its weight as
 rate to random registers; a register keeps its first arrival. A shingle stops
 once its next arrival is later than all registers' arrivals, so long documents
 cost about one arrival a shingle. Two signatures agree in a register with the
-probability Jaccard similarity of the two bags.
+probability Jaccard similarity of the two sets.
 
 Documents of equal words fold into one first. Bands of registers give buckets;
 in a bucket, documents are compared with a leader first. Pairs that then still
@@ -37,20 +38,17 @@ from .text import U64, mix, prefix_hash, shingle_hashes, slices, span_hash, word
 REGISTERS = 64
 BAND = 4
 SIZE = 5
-#: Registers that two bags of the threshold's similarity share but for one case in a million.
-SLACK = 5.0
 #: Longs of a parity sketch: a bit for each class of shingles, set where a document holds an odd number of them.
 PARITY = 8
 
 
-def bags(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, document, count) of the different shingles of each document, in order."""
+def shingle_sets(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, document) of the different shingles of each document, in order."""
     shingles, doc = shingle_hashes(words, firsts, size)
     order = np.lexsort((shingles, doc))
     shingles, doc = shingles[order], doc[order]
     fresh = np.append(True, (shingles[1:] != shingles[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
-    at = np.flatnonzero(fresh)
-    return shingles[at], doc[at], np.diff(np.append(at, len(doc)))
+    return shingles[fresh], doc[fresh]
 
 
 def signatures(shingles: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -81,8 +79,8 @@ def _described(size: int, m: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, last, data, offsets in slices(batch):
                 words, firsts = word_hashes(data, offsets)
-                shingles, doc, count = bags(words, firsts, size)
-                owner = signatures(shingles, doc, 1.0 + np.log(count), last - first, m)
+                shingles, doc = shingle_sets(words, firsts, size)
+                owner = signatures(shingles, doc, np.ones(len(doc)), last - first, m)
                 some = np.diff(firsts) > 0
                 whole = [span_hash(prefix_hash(w), firsts[:-1], firsts[1:])[some].view(np.int64)
                          for w in (words, mix(words ^ U64(0xA5A5A5A5A5A5A5A5)))]
@@ -93,12 +91,10 @@ def _described(size: int, m: int):
                     bands = mix(bands * U64(0x9E3779B97F4A7C15) + joined[:, :, i])
                 flat = pa.array(bands.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * (m // BAND)), flat)
-                short = (owner >> U64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first:last][some].astype(np.int64)), pa.array(whole[0]), pa.array(whole[1]),
-                     pa.array(np.bincount(doc, minlength=last - first)[some].astype(np.int64)), lists,
-                     pa.array([s.tobytes() for s in short], pa.binary())],
-                    ["doc_id", "high", "low", "size", "bands", "signature"])
+                     pa.array(np.bincount(doc, minlength=last - first)[some].astype(np.int64)), lists],
+                    ["doc_id", "high", "low", "size", "bands"])
     return rows
 
 
@@ -115,7 +111,7 @@ def _sets(size: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, last, data, offsets in slices(batch):
-                shingles, doc, _ = bags(*word_hashes(data, offsets), size)
+                shingles, doc = shingle_sets(*word_hashes(data, offsets), size)
                 cut = np.searchsorted(doc, np.arange(last - first + 1))
                 odd = parities(shingles, doc, last - first)
                 yield pa.RecordBatch.from_arrays(
@@ -147,22 +143,11 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.repeat(ids, [len(h) // 8 for h in held])), pa.array(flat)], ["doc_id", "shingle"])
 
 
-def _alike(m: int, least: int):
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                x = np.frombuffer(b"".join(part["signature_a"]), np.uint32).reshape(len(part), m)
-                y = np.frombuffer(b"".join(part["signature_b"]), np.uint32).reshape(len(part), m)
-                part = part.loc[(x == y).sum(axis=1) >= least]
-            yield part[["a", "b"]]
-    return rows
-
-
 class Bucketed:
-    """Documents that share a bucket with others: their buckets, sizes, signatures and shingle sets."""
+    """Documents that share a bucket with others: their buckets, sizes and shingle sets."""
 
-    def __init__(self, texts: DataFrame, only: DataFrame, threshold: float, size: int, m: int):
-        self.threshold, self.m = threshold, m
+    def __init__(self, texts: DataFrame, only: DataFrame, threshold: float, size: int):
+        self.threshold = threshold
         exploded = only.select("doc_id", F.explode("bands").alias("band"))
         shared = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         held = stored(exploded.join(shared, "band").select("band", "doc_id", "n"), "shared")
@@ -171,7 +156,7 @@ class Bucketed:
         # What shares a bucket grows with the corpus, so these joins never broadcast it.
         self.sets = stored(texts.join(members.hint("merge"), "doc_id", "left_semi").mapInArrow(
             _sets(size), "doc_id long, shingles binary" + "".join(f", odd{i} long" for i in range(PARITY))), "sets")
-        self.known = stored(only.join(members, "doc_id", "left_semi").select("doc_id", "size", "signature"), "known")
+        self.known = stored(only.join(members, "doc_id", "left_semi").select("doc_id", "size"), "known")
 
     def leaders(self, buckets: DataFrame) -> DataFrame:
         """Each bucket's document that meets the most others over all its buckets: the middle of a group of copies."""
@@ -184,16 +169,12 @@ class Bucketed:
             _common, "a long, b long, common long")
 
     def edges(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose exact similarity reaches the threshold; sizes and signatures rule most others out."""
-        t, m = self.threshold, self.m
-        one, two = (self.known.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"),
-                                      F.col("signature").alias(f"signature_{x}")) for x in "ab")
-        sure = int(t * m - SLACK * (m * t * (1 - t)) ** 0.5)
-        near = (pairs.join(one, "a").join(two, "b")
-                .where(F.least("size_a", "size_b") >= t * F.greatest("size_a", "size_b") - 1e-9)
-                .mapInPandas(_alike(m, sure), "a long, b long"))
-        sizes = [self.known.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab"]
-        return self.common(near).join(sizes[0], "a").join(sizes[1], "b").where(
+        """The pairs whose exact similarity reaches the threshold; sizes rule others out before shingles are read."""
+        t = self.threshold
+        one, two = (self.known.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+        near = pairs.join(one, "a").join(two, "b").where(
+            F.least("size_a", "size_b") >= t * F.greatest("size_a", "size_b") - 1e-9).select("a", "b")
+        return self.common(near).join(one, "a").join(two, "b").where(
             F.col("common") >= t * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9).select("a", "b")
 
     def star_pairs(self) -> DataFrame:
@@ -276,13 +257,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, m: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     described = stored(texts.mapInArrow(
-        _described(size, m), "doc_id long, high long, low long, size long, bands array<long>, signature binary"),
+        _described(size, m), "doc_id long, high long, low long, size long, bands array<long>"),
         "signatures")
     least_id = described.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
     copies = described.select("doc_id", "high", "low").join(least_id, ["high", "low"]).select("doc_id", "first")
     only = stored(described.join(least_id, ["high", "low"]).where("doc_id = first")
                   .drop("high", "low", "first").dropDuplicates(["doc_id"]), "texts")
-    groups = grouped(Bucketed(texts, only, threshold, size, m))
+    groups = grouped(Bucketed(texts, only, threshold, size))
     # Documents without words are not described; rows that repeat a doc_id take its least class.
     first = (copies.groupBy("doc_id").agg(F.min("first").alias("first"))
              .join(groups.withColumnRenamed("doc_id", "first"), "first", "left")

@@ -4,6 +4,8 @@ import random
 
 from cellhour.llm import prob_minhash
 
+from .test_operators import brute_classes
+
 
 def test_a_second_leader_rules_out_no_link(spark):
     """Documents 1 and 2 are a link; 3 meets the most others, but holds too much alone to lead what is left open."""
@@ -13,8 +15,19 @@ def test_a_second_leader_rules_out_no_link(spark):
     words = {1: core + say(10), 2: core + say(10), 3: core + say(40), 4: say(50), 5: say(50)}
     bands = {1: [1], 2: [1], 3: [1, 2], 4: [2], 5: [2]}
     texts = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
-    only = spark.createDataFrame([(i, len(w) - 4, bands[i], b"") for i, w in words.items()],
-                                 "doc_id long, size long, bands array<long>, signature binary")
-    found = prob_minhash.Bucketed(texts, only, 0.8, 5, 64).open_pairs(
+    only = spark.createDataFrame([(i, len(w) - 4, bands[i]) for i, w in words.items()],
+                                 "doc_id long, size long, bands array<long>")
+    found = prob_minhash.Bucketed(texts, only, 0.8, 5).open_pairs(
         spark.createDataFrame([], "doc_id long, group long"), spark.createDataFrame([], "a long, b long"))
     assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
+def test_passages_repeated_more_often_in_one_of_two_lose_no_link(spark):
+    rng = random.Random(7)
+    say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for pair in range(20):
+        passage, rest = say(27), say(78)
+        rows += [(2 * pair + i, " ".join(passage * times + rest + say(7))) for i, times in enumerate((2, 100))]
+    got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {i: i - i % 2 for i, _ in rows}
