@@ -18,7 +18,8 @@ of the shingle sets of `threshold` or more; classes are connected components.
 Defined results: one row per doc_id with class_id, the least doc_id of its
 class; a document without words (null, empty or white space) is a class of its
 own; one of fewer than five words has one shingle, all its words; rows that share a
-doc_id are one document; rows with a null doc_id are left out.
+doc_id are one document, so all its texts are linked to each other; rows with a
+null doc_id are left out.
 """
 
 from __future__ import annotations
@@ -82,8 +83,7 @@ def _described(size: int, m: int):
                 shingles, doc = shingle_sets(words, firsts, size)
                 owner = signatures(shingles, doc, np.ones(len(doc)), last - first, m)
                 some = np.diff(firsts) > 0
-                whole = [span_hash(prefix_hash(w), firsts[:-1], firsts[1:])[some].view(np.int64)
-                         for w in (words, mix(words ^ U64(0xA5A5A5A5A5A5A5A5)))]
+                whole = [whole_hash(w, firsts)[some] for w in (words, mix(words ^ U64(0xA5A5A5A5A5A5A5A5)))]
                 owner = owner[some]
                 joined = owner.reshape(len(owner), m // BAND, BAND)
                 bands = np.full(joined.shape[:2], np.arange(m // BAND), dtype=U64)
@@ -106,17 +106,26 @@ def parities(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64).reshape(n, PARITY)
 
 
+def whole_hash(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Hash of all words of each document."""
+    return span_hash(prefix_hash(words), firsts[:-1], firsts[1:]).view(np.int64)
+
+
 def _sets(size: int):
+    """Shingle sets; of the texts of one doc_id, those of the content that the node stands for."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            high = batch.column("high").to_numpy(zero_copy_only=False)
             for first, last, data, offsets in slices(batch):
-                shingles, doc = shingle_sets(*word_hashes(data, offsets), size)
+                words, firsts = word_hashes(data, offsets)
+                meant = np.flatnonzero(whole_hash(words, firsts) == high[first:last])
+                shingles, doc = shingle_sets(words, firsts, size)
                 cut = np.searchsorted(doc, np.arange(last - first + 1))
-                odd = parities(shingles, doc, last - first)
+                odd = parities(shingles, doc, last - first)[meant]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first:last].astype(np.int64)),
-                     pa.array([shingles[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())]
+                    [pa.array(ids[first:last][meant].astype(np.int64)),
+                     pa.array([shingles[cut[i]:cut[i + 1]].tobytes() for i in meant], pa.binary())]
                     + [pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)],
                     ["doc_id", "shingles"] + [f"odd{i}" for i in range(PARITY)])
     return rows
@@ -144,7 +153,10 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bucketed:
-    """Documents that share a bucket with others: their buckets, sizes and shingle sets."""
+    """Documents that share a bucket with others: their buckets, sizes and shingle sets.
+
+    A doc_id in here is that of a node, which stands for the text of content `high` in the rows of doc_id `first`.
+    """
 
     def __init__(self, texts: DataFrame, only: DataFrame, threshold: float, size: int):
         self.threshold = threshold
@@ -154,7 +166,9 @@ class Bucketed:
         members = held.groupBy("doc_id").agg(F.sum("n").alias("company"))
         self.buckets = stored(held.join(members, "doc_id").select("band", "doc_id", "n", "company"), "buckets")
         # What shares a bucket grows with the corpus, so these joins never broadcast it.
-        self.sets = stored(texts.join(members.hint("merge"), "doc_id", "left_semi").mapInArrow(
+        named = members.join(only, "doc_id").select("doc_id", "first", "high")
+        self.sets = stored(texts.withColumnRenamed("doc_id", "first").join(named.hint("merge"), "first").select(
+            "doc_id", "high", "text").mapInArrow(
             _sets(size), "doc_id long, shingles binary" + "".join(f", odd{i} long" for i in range(PARITY))), "sets")
         self.known = stored(only.join(members, "doc_id", "left_semi").select("doc_id", "size"), "known")
 
@@ -236,10 +250,10 @@ class Bucketed:
             .distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def grouped(pairs: Bucketed) -> DataFrame:
-    """(doc_id, group) of the documents with a link."""
+def grouped(pairs: Bucketed, known: DataFrame) -> DataFrame:
+    """(doc_id, group) of the documents with a link, which may be one of `known` (a, b)."""
     tested = stored(pairs.star_pairs(), "pairs")
-    near = components(pairs.edges(tested)).select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
+    near = components(pairs.edges(tested).unionByName(known)).select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
     groups = stored(near, "groups")
     more = pairs.edges(stored(pairs.open_pairs(groups, tested), "pairs"))
     a = groups.select(F.col("doc_id").alias("a"), F.col("group").alias("ga"))
@@ -252,6 +266,17 @@ def grouped(pairs: Bucketed) -> DataFrame:
         "doc_id", F.coalesce("label", "group").alias("group"))
 
 
+def nodes(described: DataFrame) -> DataFrame:
+    """(high, low, first, node) of each content: the least doc_id that has it, and the node that stands for it.
+
+    The node is that doc_id; but of several contents with one least doc_id, all but the least have their hash.
+    """
+    firsts = described.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+    heads = firsts.groupBy("first").agg(F.min(F.struct("high", "low")).alias("head"))
+    return firsts.join(heads, "first").select(
+        "high", "low", "first", F.when(F.struct("high", "low") == F.col("head"), F.col("first")).otherwise(F.col("high")).alias("node"))
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, m: int = REGISTERS) -> DataFrame:
     """(doc_id, class_id) of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -259,14 +284,18 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, m: int =
     described = stored(texts.mapInArrow(
         _described(size, m), "doc_id long, high long, low long, size long, bands array<long>"),
         "signatures")
-    least_id = described.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
-    copies = described.select("doc_id", "high", "low").join(least_id, ["high", "low"]).select("doc_id", "first")
-    only = stored(described.join(least_id, ["high", "low"]).where("doc_id = first")
-                  .drop("high", "low", "first").dropDuplicates(["doc_id"]), "texts")
-    groups = grouped(Bucketed(texts, only, threshold, size))
-    # Documents without words are not described; rows that repeat a doc_id take its least class.
-    first = (copies.groupBy("doc_id").agg(F.min("first").alias("first"))
-             .join(groups.withColumnRenamed("doc_id", "first"), "first", "left")
-             .select("doc_id", F.coalesce("group", "first").alias("first")))
+    contents = stored(nodes(described), "contents")
+    copies = described.select("doc_id", "high", "low").join(contents, ["high", "low"]).select("doc_id", "node")
+    only = stored(described.join(contents, ["high", "low"]).where("doc_id = first").select(
+        F.col("node").alias("doc_id"), "first", "high", "size", "bands").dropDuplicates(["doc_id"]), "texts")
+    # A document's texts are one document: each is linked to that of the least node.
+    ofs = stored(copies.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("most")), "documents")
+    several = ofs.where("node <> most").select("doc_id", F.col("node").alias("a"))
+    same = copies.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    groups = stored(grouped(Bucketed(texts, only, threshold, size), same), "linked").withColumnRenamed("doc_id", "node")
+    least = groups.join(contents, "node").groupBy("group").agg(F.min("first").alias("class_id"))
+    # Documents without words are not described.
+    first = (ofs.select("doc_id", "node").join(groups.join(least, "group").select("node", "class_id"), "node", "left")
+             .select("doc_id", F.coalesce("class_id", "node").alias("first")))
     return (texts.select("doc_id").distinct().join(first, "doc_id", "left")
             .select("doc_id", F.coalesce("first", "doc_id").alias("class_id")))
