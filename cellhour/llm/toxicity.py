@@ -6,7 +6,8 @@ counted over all documents. The examples, in vectors of these words, lie in an
 inverted index cut into blocks; each word's list has the largest weight in each
 block. A document adds these bounds up, visits blocks from the largest bound
 on, and stops when no block can hold a nearer example than those it has, so the
-neighbours are exact. Votes count by nearness and by how much each label was
+neighbours are exact over these words. Most documents hold none of them and have
+no neighbour; README says how many, and what all words would cost. Votes count by nearness and by how much each label was
 thinned out in the sample, and are then calibrated on the examples themselves,
 each left out of its own neighbours.
 
