@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontaminate, packing, prob_minhash, quality, substring_dedup, suffix_dedup, topk, toxicity,
-               warc)
+from . import (chat, decontaminate, hard_negatives, packing, periodic_runs, pii, prob_minhash, quality, substring_dedup,
+               suffix_dedup, topk, toxicity, warc)
 
 VOCABULARY = "word_bpe_49k.json"
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -72,10 +72,51 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(pii.base_spans()), 256).alias("base_sha256"), pii.listed("found").alias("spans"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """In one document of ten, by a checksum of doc_id, the words from some place on repeat with one period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.greatest(F.size("words"), F.lit(1)).cast("long")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.size("words").cast("long") - 1),
+                        lambda i: F.get("words", source(i).cast("int")))
+    return (docs.withColumn("words", F.when(F.pmod(h, F.lit(10)) == 0, words)).withColumns({"a": a, "p": p})
+            .withColumn("text", F.when(F.size("words") > 0, F.array_join(again, " ")).otherwise(F.col("text")))
+            .drop("words", "a", "p"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find(docs).withColumn("best", periodic_runs.strongest())
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]),
+                                                  F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, "vec_id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_suffix_array_dedup, op3_exact_topk, op4_substring_dedup, op5_minhash_near_dedup,
-        op6_chat_formatting, op7_warc_derivatives, op8_packing, op9_toxicity, op10_quality)}
+        op6_chat_formatting, op7_warc_derivatives, op8_packing, op9_toxicity, op10_quality, op11_pii, op12_periodic_runs,
+        op13_hard_negatives)}
 
 SQL: dict[str, str] = {}
 
@@ -102,6 +143,21 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
 
+SQL["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS "rank"
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, "rank", negative_id, positive_score, negative_score FROM n WHERE "rank" <= 5
+"""
+
 _CONTROL = ["<|", "</s>", "<s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"]
 _EXTRA = " + ".join(["(length({c}) - length(replace({c}, '\\', '')))"] + [
     f"(length({{c}}) - length(replace({{c}}, '{m}', ''))) // {len(m)}" for m in _CONTROL])
