@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,17 +22,6 @@ def solar_zenith_cosine(day: Column, hour: Column, lat: Column) -> Column:
     return F.sin(phi) * F.sin(tilt) + F.cos(phi) * F.cos(tilt) * F.cos(hour_angle)
 
 
-def temporal_features() -> dict[str, Column]:
-    hour, day = F.col("hour_of_day_local"), F.col("day_of_year")
-    hour_sin, hour_cos = cyclic(hour, 24.0)
-    doy_sin, doy_cos = cyclic(day, 365.25)
-    return {
-        "hour_sin": hour_sin, "hour_cos": hour_cos,
-        "doy_sin": doy_sin, "doy_cos": doy_cos,
-        "cos_sza": solar_zenith_cosine(day, hour, F.col("lat")),
-    }
-
-
 def hour_encoding(kind: str, column: str = "hour_of_day_local") -> dict[str, Column]:
     """How the hour enters a model: not at all, as a number, or as a circle."""
     if kind == "none":
@@ -42,12 +34,39 @@ def hour_encoding(kind: str, column: str = "hour_of_day_local") -> dict[str, Col
     raise ValueError(f"unknown hour encoding {kind!r}")
 
 
-def moisture_features() -> dict[str, Column]:
-    """Total condensate, and how far the air is from saturation."""
-    return {
-        "dewpoint_depression": F.col("T2M") - (F.col("D2M") - F.lit(273.15)),
-        "cloud_water": F.col("TCLW") + F.col("TCIW"),
-    }
+@dataclass(frozen=True)
+class Derivation:
+    """A feature computed from columns of the table."""
+
+    name: str
+    family: str
+    inputs: tuple[str, ...]
+    of: Callable[..., Column]
+
+    def column(self) -> Column:
+        return self.of(*[F.col(c) for c in self.inputs]).alias(self.name)
+
+
+def _wave(name: str, column: str, cycle: float, side: int) -> Derivation:
+    return Derivation(name, "temporal", (column,), lambda value: cyclic(value, cycle)[side])
+
+
+#: Every derived feature, in contract order. Names, cycles, and kelvin at zero Celsius.
+DERIVATIONS = {d.name: d for d in (
+    _wave("hour_sin", "hour_of_day_local", 24.0, 0),
+    _wave("hour_cos", "hour_of_day_local", 24.0, 1),
+    _wave("doy_sin", "day_of_year", 365.25, 0),
+    _wave("doy_cos", "day_of_year", 365.25, 1),
+    Derivation("cos_sza", "temporal", ("day_of_year", "hour_of_day_local", "lat"), solar_zenith_cosine),
+    # How far the air is from saturation, and total condensate.
+    Derivation("dewpoint_depression", "moisture", ("T2M", "D2M"), lambda air, dew: air - (dew - F.lit(273.15))),
+    Derivation("cloud_water", "moisture", ("TCLW", "TCIW"), lambda liquid, ice: liquid + ice),
+)}
+
+
+def family(name: str) -> dict[str, Column]:
+    """All derivations of one family, by name."""
+    return {d.name: d.column() for d in DERIVATIONS.values() if d.family == name}
 
 
 def stage_target(count: Column, stage: str, transform: str = "log1p") -> Column:

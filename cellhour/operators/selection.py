@@ -15,6 +15,7 @@ from ..functions.moments import Moments, moments
 from ..model import REPEAT_SHARE, SEED, SEEDS, TARGET
 
 BINS = 10
+TIE_PLACES = 9  # scores that agree to so many places are equal: their order must not hang on how a sum was added
 
 
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS,
@@ -119,7 +120,7 @@ def greedy(relevance: dict[str, float], ranks: Moments, k: int | None = None) ->
         chosen = [s.feature for s in steps]
         options = [Step(c, relevance[c], r2, relevance[c] - r2)
                    for c in left for r2 in [rank_r2(ranks, c, chosen)]]
-        best = max(options, key=lambda s: s.score)
+        best = max(options, key=lambda s: round(s.score, TIE_PLACES))
         steps.append(best)
         left.remove(best.feature)
     return steps

@@ -5,8 +5,10 @@ from __future__ import annotations
 import time as clock
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode
@@ -215,29 +217,47 @@ def score(fitted: Fitted, rows: DataFrame, scenario: str,
         F.struct(*fields, *lists).alias("metrics"), settings.alias("config"))
 
 
+PLAN = ("fit STRING, stage STRING, source STRING, fold INT, seed INT, "
+        "targets ARRAY<STRUCT<scenario: STRING, target: STRING>>")
+
+
+def grid_plan(spark: SparkSession, settings: Settings, folds: Sequence[tuple[list[int], int]] = FOLDS,
+              seeds: Iterable[int] = (0, 1, 2), stages: Sequence[str] = STAGES,
+              scenarios: Sequence[tuple[str, str, str]] = SCENARIOS, version: str = "") -> DataFrame:
+    """One row per fit with the scenarios it serves, keyed by all that its records depend on.
+
+    `version` names the state of the tables; other tables, settings, years or scenarios give other keys.
+    """
+    given = "\n".join([version, *(f"{k}={v}" for k, v in sorted(settings.snapshot().items()))])
+    serves = {source: [(s, t) for s, o, t in scenarios if o == source] for _, source, _ in scenarios}
+    fits = [(given + f"\n{folds[i]}\n{serves[source]}", stage, source, i, seed, serves[source])
+            for stage, source, i, seed in product(stages, serves, range(len(folds)), seeds)]
+    return spark.createDataFrame(fits, PLAN).withColumn(
+        "fit", F.sha2(F.concat_ws("\n", "fit", "stage", "source", "seed"), 256))
+
+
 def run_grid(tables: dict[str, DataFrame], settings: Settings, path: str,
              folds: Sequence[tuple[list[int], int]] = FOLDS, seeds: Iterable[int] = (0, 1, 2),
              stages: Sequence[str] = STAGES, scenarios: Sequence[tuple[str, str, str]] = SCENARIOS,
-             **options) -> DataFrame:
-    """Every stage, source, fold and seed; each fit serves all scenarios of its source.
+             version: str = "", key: Sequence[str] = KEY, **options) -> DataFrame:
+    """The records of every fit of the plan; fits whose records are stored are not made again.
 
-    Records are appended as they come, so an interrupted run keeps what it finished.
+    The records of a fit are one write, which Spark publishes whole or not at
+    all, under the fit's key: a run that was stopped goes on where it was, and a
+    write that is repeated replaces itself.
     """
     spark = next(iter(tables.values())).sparkSession
-    for stage in stages:
-        for source in dict.fromkeys(s for _, s, _ in scenarios):
-            for i, fold in enumerate(folds):
-                name = f"fold{i}_{fold[0][0]}-{fold[0][-1]}_test{fold[1]}"
-                for seed in seeds:
-                    fitted = fit(tables[source], source, fold, name, stage, seed, settings, **options)
-                    for scenario, origin, target in scenarios:
-                        if origin != source:
-                            continue
-                        key = options.get("key", KEY)
-                        rows = (fitted.prepared.test if target == source
-                                else target_rows(tables[target], fold, fitted, key))
-                        records.append(score(fitted, rows, scenario), path)
-    return records.load(spark, path)
+    plan = grid_plan(spark, settings, folds, seeds, stages, scenarios, version)
+    missing = plan.join(records.stored_fits(spark, path), "fit", "left_anti").orderBy("stage", "source", "fold", "seed")
+    for run in missing.collect():  # one row per fit, not per data row
+        years, held = folds[run["fold"]]
+        fitted = fit(tables[run["source"]], run["source"], folds[run["fold"]],
+                     f"fold{run['fold']}_{years[0]}-{years[-1]}_test{held}", run["stage"], run["seed"], settings, key=key, **options)
+        parts = [score(fitted, fitted.prepared.test if target == run["source"] else
+                       target_rows(tables[target], folds[run["fold"]], fitted, key), scenario)
+                 for scenario, target in run["targets"]]
+        records.store(reduce(DataFrame.unionByName, parts), path, run["fit"])
+    return records.load(spark, path, plan.select("fit"))
 
 
 def run_sweep(table: DataFrame, axis: str, values: Sequence, settings: Settings, path: str,

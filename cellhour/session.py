@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +25,11 @@ def build_session(app: str = "cellhour", master: str | None = None, **extra: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
-
-    A temporary folder stands in only when one machine is the whole cluster.
-    """
+    """The folder every executor can reach, as the session names it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="cellhour-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return configured
 
 
 def scratch(spark: SparkSession, name: str) -> str:

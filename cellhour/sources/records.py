@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,31 @@ def append(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path)
+def store(records: DataFrame, path: str, fit: str) -> None:
+    """The records of one fit, in a folder of its key; storing them again replaces them."""
+    records.write.mode("overwrite").json(f"{path.rstrip('/')}/fit={fit}")
+
+
+def _published(spark: SparkSession, path: str) -> DataFrame:
+    """Records under their fits' keys; a folder that does not exist yet holds none."""
+    try:
+        return spark.read.schema(SCHEMA + ", fit STRING").option("basePath", path).json(path)
+    except AnalysisException as absent:
+        if absent.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA + ", fit STRING")
+
+
+def stored_fits(spark: SparkSession, path: str) -> DataFrame:
+    """Keys of the fits whose records are stored."""
+    return _published(spark, path).select("fit").distinct()
+
+
+def load(spark: SparkSession, path: str, fits: DataFrame | None = None) -> DataFrame:
+    """All records of a folder, or those of the given fits."""
+    if fits is None:
+        return spark.read.schema(SCHEMA).json(path)
+    return _published(spark, path).join(fits, "fit", "left_semi").drop("fit")
 
 
 def flatten(records: DataFrame) -> DataFrame:

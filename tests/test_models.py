@@ -120,3 +120,42 @@ def test_repetitions_count_their_share_and_the_whole_table_in_one_aggregate(spar
         wanted = {r["feature"]: r["relevance"] for r in selection.occurrence_relevance(part, edges).collect()}
         assert got == pytest.approx(wanted)
     assert found.select(["x", "noise"]).order[0] == "x"
+
+
+def test_a_stopped_grid_goes_on_and_a_finished_one_fits_nothing(tables, tmp_path, monkeypatch):
+    settings = experiment.Settings(features=("T2M", "CAPE"), train_rows=300, validation_rows=100, test_days=10)
+    frames = {d: tables.table.filter(F.col("domain") == d) for d in ("tropis", "subtropis")}
+    path, made, real = str(tmp_path / "grid"), [], experiment.fit
+    scenarios = [("tropis_in", "tropis", "tropis"), ("tropis_to_sub", "tropis", "subtropis"), ("sub_in", "subtropis", "subtropis")]
+
+    def counted(*args, **kw):
+        if len(made) == stop:
+            raise KeyboardInterrupt
+        made.append(str(args[1:6]))
+        return real(*args, **kw)
+
+    monkeypatch.setattr(experiment, "fit", counted)
+    run = lambda **kw: experiment.run_grid(frames, settings, path, TABLE_FOLDS[2:], seeds=(0,), key=ROW_KEY,
+                                           scenarios=scenarios, stages=("occurrence",), **kw).collect()
+    stop = 1
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    stop = None
+    first = run()
+    assert len(made) == 2 and len(set(made)) == 2  # the fit that was stored is not made again
+    assert sorted((r["scenario"], r["model"]) for r in first) == sorted(
+        (s, m) for s, _, _ in scenarios for m in experiment.MODELS)
+    assert sorted(map(str, run())) == sorted(map(str, first)) and len(made) == 2
+    assert len(run(version="other rows")) == 6 and len(made) == 4  # another key, beside the first
+    assert len(run()) == 6
+
+
+def test_features_are_resolved_by_what_they_need(tables):
+    from cellhour.operators import features
+
+    few = tables.table.select("T2M", "D2M", "hour_of_day_local")
+    assert features.offered(few.columns) == ["T2M", "D2M", "hour_sin", "hour_cos", "dewpoint_depression"]
+    assert features.matrix(few, ["dewpoint_depression", "T2M"]).columns == ["dewpoint_depression", "T2M"]
+    for name, word in (("cloud_water", "TCIW"), ("CAPE", "lacks"), ("other", "no feature")):
+        with pytest.raises(KeyError, match=word):
+            features.matrix(few, [name])

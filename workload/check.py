@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 import traceback
 
@@ -61,7 +62,9 @@ def main() -> int:
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
+    shared = tempfile.TemporaryDirectory()  # one machine is the whole cluster here
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8",
+                                                "spark.checkpoint.dir": shared.name,
                                                 "spark.driver.memory": "12g",
                                                 "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")

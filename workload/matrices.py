@@ -26,7 +26,7 @@ V_FEATURES = f"""v_features AS (SELECT *, sin({HOUR}) AS hour_sin, cos({HOUR}) A
 @query("F1_cyclic_encoding", ROW + "hour_sin:d hour_cos:d doy_sin:d doy_cos:d",
        f"SELECT {ROW_SQL} hour_sin, hour_cos, doy_sin, doy_cos FROM v_features", [V_TABLE, V_FEATURES])
 def cyclic_encoding(t: Tables) -> DataFrame:
-    return t.table.withColumns(encode.temporal_features())
+    return t.table.withColumns(encode.family("temporal"))
 
 
 @query("F1b_hour_encodings", ROW + "raw:l hour_sin:d hour_cos:d n_none:l",
@@ -44,13 +44,13 @@ def solar_zenith(t: Tables) -> DataFrame:
 
 @query("F4_cloud_water", ROW + "cloud_water:d", f'SELECT {ROW_SQL} "TCLW" + "TCIW" AS cloud_water FROM v_table', [V_TABLE])
 def cloud_water(t: Tables) -> DataFrame:
-    return t.table.drop("cloud_water").withColumns(encode.moisture_features())
+    return t.table.drop("cloud_water").withColumns(encode.family("moisture"))
 
 
 @query("F5_dewpoint_depression", ROW + "dewpoint_depression:d",
        f"SELECT {ROW_SQL} dewpoint_depression FROM v_features", [V_TABLE, V_FEATURES])
 def dewpoint_depression(t: Tables) -> DataFrame:
-    return t.table.withColumns(encode.moisture_features())
+    return t.table.withColumns(encode.family("moisture"))
 
 
 ARM = ["PS", "PRECTOTCORR", "T2M", "RH2M", "WS2M", "CAPE", "KX", "TCIW", "TCLW", "D2M", "hour_sin", "hour_cos",

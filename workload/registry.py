@@ -62,7 +62,7 @@ def query(name: str, columns: str, sql: str | None = None, ctes: list[str] | Non
     """Register a builder taking `Tables`. `columns` lists name:type pairs."""
     pairs = [tuple(c.rsplit(":", 1)) for c in columns.split()]
     if sql is not None and ctes:
-        sql = "WITH " + ",\n".join(ctes) + "\n--\n" + sql
+        sql = "WITH RECURSIVE " + ",\n".join(ctes) + "\n--\n" + sql
 
     def add(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         ENTRIES[name] = Entry(name, pairs, build, sql)

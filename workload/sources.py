@@ -77,7 +77,7 @@ def multi_file_union(t: Tables) -> DataFrame:
 
 
 def geojson(t: Tables) -> DataFrame:
-    """Documents of at most 200 events: collections, and every seventh a single feature."""
+    """Documents of 200 events as collections; the events of every seventh are documents of their own."""
     key = F.date_format(F.col("ts").cast("timestamp"), "yyyyMMddHH")
     value = F.when(F.col("event_id") % 11 == 0, -999.0).otherwise(F.col("value"))
     rolled = F.when(F.col("event_id") % 13 == 0, F.map_from_arrays(
@@ -87,23 +87,23 @@ def geojson(t: Tables) -> DataFrame:
         F.struct(F.array(106.25 + (F.col("event_id") % 5) * 0.625, -8.0 + (F.col("user_id") % 6) / 2.0,
                          F.lit(12.5)).alias("coordinates")).alias("geometry"),
         F.struct(F.create_map("event_type", rolled).alias("parameter")).alias("properties"))
-    doc = F.floor(F.col("event_id") / 200).alias("doc")
-    grouped = t.events.select("event_id", doc, feature.alias("f")).groupBy("doc").agg(
-        F.collect_list("f").alias("features"), F.min_by("f", "event_id").alias("one"))
-    text = F.when(F.col("doc") % 7 == 3, F.to_json("one")).otherwise(
-        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")))
-    return grouped.select("doc", text.alias("value"))
+    block = F.floor(F.col("event_id") / 200)
+    rows = t.events.select("event_id", block.alias("block"), feature.alias("f"))
+    alone = F.col("block") % 7 == 3
+    single = rows.filter(alone).select(F.to_json("f").alias("value"))
+    grouped = rows.filter(~alone).groupBy("block").agg(F.collect_list("f").alias("features"))
+    return single.unionByName(grouped.select(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")))
 
 
 @query("S4_point_json", "lat:d lon:d time:t parameter:s value:d freq:s",
        """SELECT -8e0 + (user_id % 6) / 2e0 AS lat, 106.25e0 + (event_id % 5) * 0.625e0 AS lon,
        date_trunc('hour', ts) AS "time", event_type AS parameter,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value, 'h' AS freq
-       FROM events WHERE (event_id // 200) % 7 <> 3 OR event_id % 200 = 0""")
+       FROM events""")
 def point_json(t: Tables) -> DataFrame:
     path = scratch(t.spark, "json")
-    docs = geojson(t)
-    docs.repartition("doc").write.partitionBy("doc").mode("overwrite").text(path)
+    geojson(t).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return points.read_points(t.spark, path, "*.txt")
 
 
