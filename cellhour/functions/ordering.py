@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .narrowing import order_statistics
+
 SLICE_ROWS = 250_000
 MAX_SLICES = 4096
 SAMPLE_PER_SLICE = 100
@@ -145,25 +147,10 @@ def interpolated(p: float, value: str = "value", before: str = "n_before",
     return low + (high - low) * part
 
 
-def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                   slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """column, q (one exact quantile per requested probability)."""
-    bounds = slice_bounds(df, columns, slice_rows)
-    if not bounds:
-        wide = df.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in columns])
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns])
-        return wide.select(F.explode(cells).alias("cell")).select("cell.*")
-    totals = running_totals(_numbered_counts(df, columns, bounds), ["column"], ["n"])
-    found = totals.groupBy("column").agg(F.array(*[interpolated(p) for p in probs]).alias("q"))
-    return named(found, columns)
-
-
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-              slice_rows: int = SLICE_ROWS) -> dict[str, list[float]]:
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
     """Exact quantiles on the driver: one short list per column."""
-    rows = quantile_table(df, columns, probs, slice_rows).collect()
-    found = {r["column"]: list(r["q"]) if r["q"] is not None else None for r in rows}
-    return {c: found.get(c) or [None] * len(probs) for c in columns}
+    found = order_statistics(df, columns, probs)
+    return {c: [b.value for b in found[c]] if found[c] else [None] * len(probs) for c in columns}
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = SLICE_ROWS) -> DataFrame | None:

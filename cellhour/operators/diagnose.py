@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, ordering
+from ..functions.narrowing import Between, order_statistics
 from ..model import BOUNDS, TARGET
 from .profile import share
 
@@ -24,11 +26,10 @@ def right_closed(value: Column, edges: Sequence[float]) -> Column:
     return out
 
 
-def null_rate_by_partner(table: DataFrame, column: str, partner: str,
-                         slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+def null_rate_by_partner(table: DataFrame, column: str, partner: str) -> DataFrame:
     """Null rate of a column over the deciles of its partner, where the partner is positive."""
     positive = table.filter(F.col(partner) > 0)
-    edges = sorted({e for e in ordering.quantiles(positive, [partner], DECILES, slice_rows)[partner]
+    edges = sorted({e for e in ordering.quantiles(positive, [partner], DECILES)[partner]
                     if e is not None})
     if len(edges) <= 2:
         edges = []
@@ -244,50 +245,75 @@ def busiest_cells(by_cell: DataFrame, k: int = 12) -> DataFrame:
     return by_cell.orderBy(F.desc("total_flashes"), "lat", "lon").limit(k)
 
 
-def encoding_maps(value: Column, column: str, fit: Sequence[float]) -> dict[str, Column]:
-    """Three maps of a column onto 0..1, fitted on min, p1, p25, p50, p75, p99 and max."""
-    low, q1, p25, p50, p75, q99, high = fit
-    if column in BOUNDS:
-        low, high = q1, q99 = BOUNDS[column]
+@dataclass(frozen=True)
+class UnitMap:
+    """A rising map of a column onto 0..1: linear from `a` to `b`, or bent around `a` with scale `b`."""
+
+    kind: str
+    a: float
+    b: float
+
+    @property
+    def flat(self) -> float | None:
+        """The one value of a map without extent."""
+        if self.kind == "arctan":
+            return 0.5 if self.b <= 0 else None
+        return 0.0 if self.b <= self.a else None
+
+    def column(self, value: Column) -> Column:
+        if self.flat is not None:
+            return F.when(value.isNotNull(), F.lit(self.flat))
+        if self.kind == "arctan":
+            return F.atan((value - F.lit(self.a)) / F.lit(self.b)) / F.lit(math.pi) + F.lit(0.5)
+        return F.greatest(F.least((value - F.lit(self.a)) / F.lit(self.b - self.a), F.lit(1.0)), F.lit(0.0))
+
+    def number(self, value: float) -> float:
+        if self.flat is not None:
+            return self.flat
+        if self.kind == "arctan":
+            return math.atan((value - self.a) / self.b) / math.pi + 0.5
+        return max(min((value - self.a) / (self.b - self.a), 1.0), 0.0)
 
-    def linear(a: float, b: float) -> Column:
-        if b <= a:
-            return F.lit(0.0)
-        return F.greatest(F.least((value - F.lit(float(a))) / F.lit(float(b - a)), F.lit(1.0)), F.lit(0.0))
+    def quantile(self, around: Between) -> float:
+        """A quantile of the mapped column: the map keeps the order, so the same rows surround it."""
+        low, high = self.number(around.low), self.number(around.high)
+        return low + (high - low) * around.part
 
-    spread = p75 - p25
-    bent = (F.lit(0.5) if spread <= 0
-            else F.atan((value - F.lit(float(p50))) / F.lit(float(spread))) / F.lit(math.pi) + F.lit(0.5))
-    keep = lambda mapped: F.when(value.isNotNull(), mapped)
-    return {"minmax": keep(linear(low, high)), "quantile": keep(linear(q1, q99)), "arctan": keep(bent)}
 
+ENCODING_PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
-def encoding_resolution(frames: dict[str, DataFrame], columns: Sequence[str],
-                        slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+
+def encoding_maps(column: str, fit: Sequence[float]) -> dict[str, UnitMap]:
+    """Three maps of a column onto 0..1, fitted on its quantiles at `ENCODING_PROBS`."""
+    low, q1, p25, p50, p75, q99, high = map(float, fit)
+    if column in BOUNDS:
+        low, high = q1, q99 = BOUNDS[column]
+    return {"minmax": UnitMap("minmax", low, high), "quantile": UnitMap("quantile", q1, q99),
+            "arctan": UnitMap("arctan", p50, p75 - p25)}
+
+
+def encoding_resolution(frames: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
     """Per source, target, column and map: share of the range the middle half covers, and share pinned.
 
-    All maps of all columns are applied to a target in one pass.
+    All maps rise, so a target's own quartiles, mapped, are the quartiles of the mapped column: no map is applied to
+    rows to find them. One pass over a target counts what every source's maps pin.
     """
-    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    out = None
-    for source, fitted_on in sorted(frames.items()):
-        fits = {c: f for c, f in ordering.quantiles(fitted_on, columns, probs, slice_rows).items()
-                if f[0] is not None}
-        for target, rows in sorted(frames.items()):
-            mapped = {f"{c}|{m}": e for c, f in fits.items()
-                      for m, e in encoding_maps(F.col(c).cast("double"), c, f).items()}
-            applied = rows.select(*[e.alias(name) for name, e in mapped.items()])
-            totals = ordering.column_totals(applied, list(mapped), slice_rows)
-            at_end = (F.col("value") <= 1e-12) | (F.col("value") >= 1.0 - 1e-12)
-            found = totals.groupBy("column").agg(
-                (ordering.interpolated(0.75) - ordering.interpolated(0.25)).alias("iqr_share"),
-                (F.sum(F.when(at_end, F.col("n")).otherwise(0)) / F.sum("n")).alias("pinned"))
-            part = found.select(
-                F.lit(source).alias("source"), F.lit(target).alias("target"),
-                F.split_part("column", F.lit("|"), F.lit(1)).alias("column"),
-                F.split_part("column", F.lit("|"), F.lit(2)).alias("map"), "iqr_share", "pinned")
-            out = part if out is None else out.unionByName(part)
-    return out
+    known = {name: order_statistics(rows, columns, ENCODING_PROBS) for name, rows in frames.items()}
+    maps = {(source, c, m): unit for source, found in sorted(known.items()) for c in columns if found[c]
+            for m, unit in encoding_maps(c, [b.value for b in found[c]]).items()}
+    rows = []
+    for target, frame in sorted(frames.items()):
+        ends = lambda e: F.count_if((e <= 1e-12) | (e >= 1.0 - 1e-12))
+        pinned = frame.agg(*[F.count(c).alias(f"n_{c}") for c in columns], *[
+            ends(unit.column(F.col(c).cast("double"))).alias(f"at{i}") for i, ((_, c, _), unit) in enumerate(maps.items())]).first()
+        for i, ((source, c, m), unit) in enumerate(maps.items()):
+            around = known[target][c]
+            if around:
+                q25, q75 = (unit.quantile(around[ENCODING_PROBS.index(p)]) for p in (0.25, 0.75))
+                rows.append((source, target, c, m, q75 - q25, pinned[f"at{i}"] / pinned[f"n_{c}"]))
+    like = next(iter(frames.values()))
+    return like.sparkSession.createDataFrame(
+        rows, "source STRING, target STRING, column STRING, map STRING, iqr_share DOUBLE, pinned DOUBLE")
 
 
 def resolution_means(resolution: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import SLICE_ROWS, quantile_table
+from ..functions.ordering import quantiles
 from ..model import INTENSITY, KEY, TARGET
 
 
@@ -116,14 +116,14 @@ def not_finite(name: str) -> Column:
     return value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
 
 
-def fit_inputs(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def fit_inputs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """What would stop a fit: values missing or not finite, and columns without quartile spread."""
-    counts = df.agg(*[F.count_if(not_finite(c)).alias(c) for c in columns])
-    long = counts.unpivot([], list(columns), "column", "n_bad")
-    spread = quantile_table(df, columns, [0.25, 0.75], slice_rows).select(
-        "column", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
-    return (long.join(F.broadcast(spread), "column", "left")
-            .withColumn("fits", (F.col("n_bad") == 0) & F.coalesce(F.col("iqr") > 0, F.lit(False))))
+    counts = df.agg(*[F.count_if(not_finite(c)).alias(c) for c in columns]).first()
+    rows = []
+    for c, (q1, q3) in quantiles(df, columns, [0.25, 0.75]).items():
+        iqr = None if q1 is None else q3 - q1
+        rows.append((c, counts[c], iqr, counts[c] == 0 and iqr is not None and iqr > 0))
+    return df.sparkSession.createDataFrame(rows, "column STRING, n_bad BIGINT, iqr DOUBLE, fits BOOLEAN")
 
 
 def check_fit_inputs(df: DataFrame, columns: Sequence[str]) -> None:

@@ -18,10 +18,9 @@ BINS = 10
 TIE_PLACES = 9  # scores that agree to so many places are equal: their order must not hang on how a sum was added
 
 
-def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS,
-              slice_rows: int = ordering.SLICE_ROWS) -> dict[str, list[float]]:
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
     """Distinct inner quantiles of each column; a few numbers per column."""
-    found = ordering.quantiles(df, columns, [i / bins for i in range(1, bins)], slice_rows)
+    found = ordering.quantiles(df, columns, [i / bins for i in range(1, bins)])
     return {c: sorted({e for e in q if e is not None}) for c, q in found.items()}
 
 

@@ -33,11 +33,10 @@ def time_micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def validation_cut(train: DataFrame, share: float = VALIDATION_SHARE,
-                   slice_rows: int = ordering.SLICE_ROWS) -> float:
+def validation_cut(train: DataFrame, share: float = VALIDATION_SHARE) -> float:
     """The moment after which training rows become validation rows, in microseconds."""
     moment = train.select(time_micros(F.col("time")).alias("t"))
-    return ordering.quantiles(moment, ["t"], [1.0 - share], slice_rows)["t"][0]
+    return ordering.quantiles(moment, ["t"], [1.0 - share])["t"][0]
 
 
 def split(table: DataFrame, train_years: Sequence[int], test_year: int,

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellhour.functions import draws, ordering
+from cellhour.functions import draws, narrowing, ordering
 from cellhour.functions.moments import moments
 from cellhour.operators import evaluate, profile
 
@@ -28,12 +28,34 @@ def df(spark, frame):
     return spark.createDataFrame(frame)
 
 
-@pytest.mark.parametrize("slice_rows", [200, 1_000_000])
-def test_quantiles(df, frame, slice_rows):
+@pytest.mark.parametrize("limits", [{}, {"accuracy": 20, "held_rows": 5}, {"accuracy": 200, "held_rows": 1}])
+def test_quantiles(df, frame, limits, monkeypatch):
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    found = ordering.quantiles(df, ["x", "y", "z"], probs, slice_rows)
+    rounds, real = [], narrowing._narrow
+    monkeypatch.setattr(narrowing, "_narrow", lambda *a: rounds.append(1) or real(*a))
+    found = narrowing.order_statistics(df, ["x", "y", "z"], probs, **limits)
     for c in ("x", "y", "z"):
-        assert np.allclose(found[c], frame[c].quantile(probs))
+        assert np.allclose([b.value for b in found[c]], frame[c].quantile(probs), atol=1e-12)
+    assert bool(rounds) == bool(limits)
+
+
+def test_quantiles_of_few_and_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, None, nan, 5, inf), (2.0, None, 1.0, 5, -inf), (None, None, None, None, 0.0), (4.0, None, 3.0, 6, 1.0)]
+    df = spark.createDataFrame(rows, "a double, none double, b double, c int, d double")
+    found = ordering.quantiles(df, ["a", "none", "b", "c", "d"], [0.0, 0.5, 0.75])
+    assert found == {"a": [1.0, 2.0, 3.0], "none": [None] * 3, "b": [1.0, 2.0, 2.5], "c": [5.0, 5.0, 5.5], "d": [-inf, 0.5, inf]}
+    assert ordering.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_a_sketch_that_misses_is_put_right(df, frame, monkeypatch):
+    """Brackets that hold none of their ranks are moved to where the counts say."""
+    b = [narrowing._Bracket("x", rank, low, low + 0.1, 1.0) for rank, low in ((1500, 0.0), (1501, 0.0), (2990, 0.5))]
+    rows, values = df.select("x"), None
+    while values is None:
+        values = narrowing._pick(rows, b)
+    ordered = np.sort(frame["x"].to_numpy())
+    assert values == {("x", r): ordered[r] for r in (1500, 1501, 2990)}
 
 
 def test_group_quantiles_of_a_hot_group(df, frame):
