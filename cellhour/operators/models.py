@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +68,86 @@ def linear_r2(model: Linear, test: Moments, target: str) -> float | None:
     return float(1 - error / var) if var > 0 else None
 
 
-def logistic(train: DataFrame, names: Sequence[str], target: str, c: float = 1.0,
-             max_iter: int = 200) -> Linear:
-    """L2-penalised logistic regression with a free intercept; strength 1/(C n) per row."""
-    rows = VectorAssembler(inputCols=list(names), outputCol="features").transform(train)
-    rows = rows.select("features", F.col(target).cast("double").alias("label")).persist()
-    try:
-        n = rows.count()
-        fit = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                                 maxIter=max_iter, tol=1e-7).fit(rows)
-    finally:
-        rows.unpersist()
-    return Linear(list(names), fit.coefficients.toArray().tolist(), float(fit.intercept), "logit")
+def logistic(train: DataFrame, names: Sequence[str], target: str, c: float = 1.0) -> Linear:
+    """Logistic regression with a free intercept; the penalty is half the squared weights against C times the log loss."""
+    return logistic_fits(train, [names], target, c)[0]
+
+
+@dataclass
+class _Ascent:
+    """One fit on its way: the best point so far, the way on from it, and how much of that way is tried."""
+
+    at: list[int]  # columns, the intercept last
+    best: np.ndarray
+    way: np.ndarray
+    share: float = 0.0
+    loss: float = np.inf
+    done: bool = False
+
+    @property
+    def tried(self) -> np.ndarray:
+        return self.best + self.share * self.way
+
+    def take(self, loss: float, gradient: np.ndarray, hessian: np.ndarray, c: float, tolerance: float) -> None:
+        """Accept the point tried, or halve the step; then look for the next one by Newton's rule."""
+        point, free = self.tried, np.append(np.ones(len(self.at) - 1), 0.0) / c
+        loss += 0.5 * float(point @ (free * point))
+        if loss > self.loss + 1e-12 * abs(self.loss):
+            self.share /= 2
+            self.done = self.share < 1e-9
+            return
+        self.best, self.loss, self.share = point, loss, 1.0
+        slope = gradient + free * point
+        self.way = -np.linalg.lstsq(hessian + np.diag(free), slope, rcond=None)[0]
+        self.done = float(np.abs(self.way).max()) < tolerance or -float(slope @ self.way) < 1e-18 * max(1.0, abs(loss))
+
+
+def logistic_fits(train: DataFrame, subsets: Sequence[Sequence[str]], target: str, c: float = 1.0,
+                  tolerance: float = 1e-9, max_steps: int = 60) -> list[Linear]:
+    """One logistic fit for each set of features, over the rows where all features have a value.
+
+    All fits take their Newton steps together: a step is one pass, in which every task adds up loss, gradient and
+    Hessian of every fit as matrix products of its batches. So the number of jobs depends on the steps, some ten, and
+    not on the number of fits; what a task hands on depends on the features only.
+    """
+    names = list(dict.fromkeys(n for s in subsets for n in s))
+    rows = train.select(*[F.col(n).cast("double").alias(n) for n in names], F.col(target).cast("double").alias("_target")).na.drop()
+    fits = [_Ascent([*(names.index(n) for n in s), len(names)], np.zeros(len(s) + 1), np.zeros(len(s) + 1)) for s in subsets]
+    for _ in range(max_steps):
+        live = [f for f in fits if not f.done]
+        if not live:
+            break
+        points = [(f.at, f.tried) for f in live]
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = [np.zeros((len(at) + 1, len(at))) for at, _ in points]
+            loss = np.zeros(len(points))
+            n = 0
+            for batch in batches:
+                y = batch.pop("_target").to_numpy(dtype=float)
+                x = np.column_stack([batch.to_numpy(dtype=float), np.ones(len(y))])
+                n += len(y)
+                for i, (at, weights) in enumerate(points):
+                    part = x[:, at]
+                    z = part @ weights
+                    p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+                    loss[i] += float((np.logaddexp(0.0, z) - y * z).sum())
+                    total[i][0] += part.T @ (p - y)
+                    total[i][1:] += part.T @ (part * (p * (1 - p))[:, None])
+            flat = np.concatenate([[n], loss, *[t.ravel() for t in total]])
+            yield pd.DataFrame({"at": np.arange(len(flat)), "v": flat})
+
+        found = rows.mapInPandas(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        flat = found.sort_values("at")["v"].to_numpy()
+        if not len(flat) or flat[0] == 0:
+            raise ValueError("no complete rows to fit on")
+        place = 1 + len(live)
+        for i, f in enumerate(live):
+            k = len(f.at)
+            block = flat[place:place + (k + 1) * k].reshape(k + 1, k)
+            place += (k + 1) * k
+            f.take(float(flat[1 + i]), block[0], block[1:], c, tolerance)
+    return [Linear(list(s), f.best[:-1].tolist(), float(f.best[-1]), "logit") for s, f in zip(subsets, fits)]
 
 
 def standardiser(train: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_number, seeded_sample
 from ..functions.moments import Moments, moments
-from ..model import FIT_ROWS, KEY, SEED, SELECT_N, STAGES, SWEEP_WIDTHS, TARGET, UNDEFINED_COLUMNS
+from ..model import KEY, SEED, SELECT_N, STAGES, SWEEP_WIDTHS, TARGET, UNDEFINED_COLUMNS
 from ..operators import evaluate, features, models
 from ..session import materialise
 from . import screen
@@ -65,13 +65,13 @@ def occurrence_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Seque
                       names: Sequence[str]) -> list[tuple[float, float]]:
     """Average precision and ROC area per feature subset on the whole test year.
 
-    Fits are distributed and run one after another on one stored frame; all of
-    them are scored in a single pass over the test rows.
+    All fits take their steps together on one stored frame, and all of them are
+    scored in a single pass over the test rows.
     """
     scale = models.standardiser(train, names)
     rows = materialise(models.standardised(train, scale).select(
         *names, (F.col(TARGET) > 0).cast("int").alias("flashed")))
-    fits = [models.logistic(rows, s, "flashed") for s in subsets]
+    fits = models.logistic_fits(rows, subsets, "flashed")
     scored = models.standardised(test, scale).select(
         (F.col(TARGET) > 0).cast("int").alias("flashed"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("fit"), m.score().alias("score"))
@@ -90,12 +90,12 @@ def fit_score(train: DataFrame, test: DataFrame, names: Sequence[str], stage: st
 
 
 def ablate(train: DataFrame, test: DataFrame, names: Sequence[str], stage: str,
-           key: Sequence[str] = KEY, extra: Sequence[str] = (), fit_rows: int = FIT_ROWS,
+           key: Sequence[str] = KEY, extra: Sequence[str] = (), fit_rows: int | None = None,
            number: Column | None = None) -> Ablation:
     """Full set against every set with one feature left out; test rows stay whole.
 
     `extra` names table columns the arms leave out, such as the undefined ones.
-    `fit_rows` bounds the labelled rows of the logistic fits; ridge reads all rows.
+    Fits read all rows; `fit_rows` draws so many for the logistic fits instead.
     """
     names = list(names)
     plain = [n for n in names if n not in extra]
@@ -103,8 +103,9 @@ def ablate(train: DataFrame, test: DataFrame, names: Sequence[str], stage: str,
         df, plain, [*[k for k in key if k not in names], TARGET, *[c for c in extra if c in names]])
     subsets = [names, *[[m for m in names if m != n] for n in names]]
     if stage == "occurrence":
-        drawn = seeded_sample(rows(train), fit_rows, draw_number(SEED, *[F.col(k) for k in key])
-                              if number is None else number, key)
+        drawn = rows(train)
+        if fit_rows is not None:
+            drawn = seeded_sample(drawn, fit_rows, draw_number(SEED, *[F.col(k) for k in key]) if number is None else number, key)
         scores = occurrence_scores(drawn, rows(test), subsets, names)
         values, auc = [s[0] for s in scores], scores[0][1]
     else:
@@ -132,7 +133,7 @@ def climatology_gap(scores: DataFrame) -> DataFrame:
 
 def run_widths(train: DataFrame, test: DataFrame, widths: Sequence[int] = (SELECT_N, *SWEEP_WIDTHS),
                key: Sequence[str] = KEY, arms: dict[str, Sequence[str] | None] | None = None,
-               stages: Sequence[str] = STAGES, leave_one_out: bool = True, fit_rows: int = FIT_ROWS,
+               stages: Sequence[str] = STAGES, leave_one_out: bool = True, fit_rows: int | None = None,
                **options) -> DataFrame:
     """Scores per width, arm and stage.
 
@@ -161,7 +162,7 @@ def run_widths(train: DataFrame, test: DataFrame, widths: Sequence[int] = (SELEC
 
 def complete_case(train: DataFrame, test: DataFrame, k: int = SELECT_N, key: Sequence[str] = KEY,
                   undefined: Sequence[str] = UNDEFINED_COLUMNS, names: Sequence[str] | None = None,
-                  stages: Sequence[str] = STAGES, fit_rows: int = FIT_ROWS, **options) -> DataFrame:
+                  stages: Sequence[str] = STAGES, fit_rows: int | None = None, **options) -> DataFrame:
     """Price of leaving out the undefined columns, on rows where all of them exist."""
     tr, te = train.na.drop(subset=list(undefined)), test.na.drop(subset=list(undefined))
     ranked = screen.screen_arm(tr, "full", key, names, **options)

@@ -12,6 +12,7 @@ from cellhour.sources import records
 from .adapters import ROW_KEY, TABLE_FOLDS, V_TABLE, Tables
 from .registry import query
 from .scoring import RIDGE, test, train
+from .solving import ablation_ctes, area_of, linear, logistic_ctes, precision_of, standard
 
 OCCURRENCE = ["T2M", "RH2M", "CAPE"]
 COUNT = ["T2M", "RH2M", "CAPE", "KX"]
@@ -34,7 +35,13 @@ def fit_score_count(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(score["r2"], n)], "r2 DOUBLE, n BIGINT")
 
 
-@query("K10b_fit_score_occurrence", "pr_auc:d roc_auc:d")
+V_ALL = "v_derived AS (SELECT * FROM v_table)"
+LOGIT = [V_TABLE, V_ALL, *standard("v_zo", OCCURRENCE), *logistic_ctes("v_logit", "v_zo_train", OCCURRENCE, "hit"),
+         f"v_scored_zo AS (SELECT hit, 1e0 / (1e0 + exp(-({linear(OCCURRENCE)}))) AS p FROM v_zo_test, v_logit)"]
+
+
+@query("K10b_fit_score_occurrence", "pr_auc:d roc_auc:d",
+       f"SELECT ({precision_of('SELECT * FROM v_scored_zo')}) AS pr_auc, ({area_of('SELECT * FROM v_scored_zo')}) AS roc_auc", LOGIT)
 def fit_score_occurrence(t: Tables) -> DataFrame:
     score = ablate.fit_score(train(t), test(t), OCCURRENCE, "occurrence")
     return t.spark.createDataFrame([(score["pr_auc"], score["roc_auc"])], "pr_auc DOUBLE, roc_auc DOUBLE")
@@ -46,12 +53,20 @@ def ablations(t: Tables) -> DataFrame:
     return ablate.ablation_table(t.table, found)
 
 
-@query("K11_leave_one_out", SCORES)
+ABLATED = [*ablation_ctes("v_o", "occurrence", OCCURRENCE, "v_ablated_occurrence"), *ablation_ctes("v_c", "count", COUNT, "v_ablated_count")]
+DELTA = "CASE WHEN dropped IS NOT NULL THEN (SELECT score FROM {0} WHERE dropped IS NULL) - score END AS delta"
+
+
+@query("K11_leave_one_out", SCORES, " UNION ALL ".join(
+    f"SELECT 'full' AS arm, '{stage}' AS stage, dropped, score, {DELTA.format(f'v_ablated_{stage}')} FROM v_ablated_{stage}"
+    for stage in ("occurrence", "count")), [V_TABLE, V_ALL, *ABLATED])
 def leave_one_out(t: Tables) -> DataFrame:
     return ablations(t)
 
 
-@query("T6_ablation_order", "dropped:s delta:d")
+@query("T6_ablation_order", "dropped:s delta:d",
+       f"SELECT dropped, {DELTA.format('v_ablated_count')} FROM v_ablated_count WHERE dropped IS NOT NULL",
+       [V_TABLE, V_ALL, *ablation_ctes("v_c", "count", COUNT, "v_ablated_count")])
 def ablation_order(t: Tables) -> DataFrame:
     """All features by what their removal costs the count model."""
     found = ablate.ablate(train(t), test(t), COUNT, "count", ROW_KEY)

@@ -10,6 +10,7 @@ from cellhour.operators import evaluate, models
 
 from .adapters import ROW_KEY, V_SCORED, V_TABLE, Tables
 from .registry import query
+from .solving import linear, logistic_ctes, standard
 
 ROW = "l_orderkey:l l_linenumber:l "
 ROW_SQL = "l_orderkey, l_linenumber, "
@@ -49,12 +50,17 @@ def ridge(t: Tables) -> DataFrame:
                                    "name STRING, weight DOUBLE")
 
 
-@query("M3_logistic", ROW + "predicted:d")
+LOGISTIC = ["T2M", "RH2M", "CAPE"]
+V_ALL = "v_derived AS (SELECT * FROM v_table)"
+
+
+@query("M3_logistic", ROW + "predicted:d",
+       f"SELECT {ROW_SQL} 1e0 / (1e0 + exp(-({linear(LOGISTIC)}))) AS predicted FROM v_z_test, v_logit",
+       [V_TABLE, V_ALL, *standard("v_z", LOGISTIC), *logistic_ctes("v_logit", "v_z_train", LOGISTIC, "hit")])
 def logistic(t: Tables) -> DataFrame:
-    names = ["T2M", "RH2M", "CAPE"]
-    scale = models.standardiser(train(t), names)
+    scale = models.standardiser(train(t), LOGISTIC)
     rows = models.standardised(train(t), scale).withColumn("y", (F.col("flash_count") > 0).cast("int"))
-    fitted = models.logistic(rows, names, "y")
+    fitted = models.logistic(rows, LOGISTIC, "y")
     return models.predict(models.standardised(test(t), scale), fitted, "occurrence")
 
 
