@@ -40,13 +40,17 @@ class Moments:
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments over the rows where every column has a value.
 
-    Narrow column sets are plain sums in the JVM. Beyond `MAX_SUM_COLUMNS` sums
-    the partial products are matrix products per Arrow batch, one short row per
-    task; both add up on Spark.
+    Columns are taken relative to the values of one row, so that sums of squares
+    do not cancel where a column lies far from zero. Narrow column sets are plain
+    sums in the JVM. Beyond `MAX_SUM_COLUMNS` sums the partial products are matrix
+    products per Arrow batch, one short row per task; both add up on Spark.
     """
     names = list(columns)
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop()
     k = len(names)
+    given = df.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop()
+    some = given.first()
+    origin = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in some or [0.0] * k])
+    rows = given.select(*[(F.col(c) - F.lit(float(o))).alias(c) for c, o in zip(names, origin)])
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     if len(pairs) + k <= MAX_SUM_COLUMNS:
         values = rows.agg(
@@ -75,4 +79,4 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     if n == 0:
         return Moments(names, 0, np.zeros(k), np.zeros((k, k)))
     mean = sums / n
-    return Moments(names, n, mean, gram / n - np.outer(mean, mean))
+    return Moments(names, n, mean + origin, gram / n - np.outer(mean, mean))

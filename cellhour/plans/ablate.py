@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -89,28 +90,37 @@ def fit_score(train: DataFrame, test: DataFrame, names: Sequence[str], stage: st
     return {"r2": count_scores(train, test, [list(names)], names)[0]}
 
 
-def ablate(train: DataFrame, test: DataFrame, names: Sequence[str], stage: str,
-           key: Sequence[str] = KEY, extra: Sequence[str] = (), fit_rows: int | None = None,
-           number: Column | None = None) -> Ablation:
-    """Full set against every set with one feature left out; test rows stay whole.
+def subset_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]], stage: str,
+                  key: Sequence[str] = KEY, extra: Sequence[str] = (), fit_rows: int | None = None,
+                  number: Column | None = None) -> list[tuple[float | None, float | None]]:
+    """Primary score and ROC area (occurrence only) of every feature subset, from one matrix and one run of fits.
 
     `extra` names table columns the arms leave out, such as the undefined ones.
     Fits read all rows; `fit_rows` draws so many for the logistic fits instead.
     """
-    names = list(names)
+    names = list(dict.fromkeys(n for s in subsets for n in s))
     plain = [n for n in names if n not in extra]
-    rows = lambda df: features.matrix(
+    rows = lambda df: features.matrix(
         df, plain, [*[k for k in key if k not in names], TARGET, *[c for c in extra if c in names]])
-    subsets = [names, *[[m for m in names if m != n] for n in names]]
-    if stage == "occurrence":
-        drawn = rows(train)
-        if fit_rows is not None:
-            drawn = seeded_sample(drawn, fit_rows, draw_number(SEED, *[F.col(k) for k in key]) if number is None else number, key)
-        scores = occurrence_scores(drawn, rows(test), subsets, names)
-        values, auc = [s[0] for s in scores], scores[0][1]
-    else:
-        values, auc = count_scores(rows(train), rows(test), subsets, names), None
-    return Ablation(stage, names, values[0], auc, dict(zip(names, values[1:])))
+    if stage == "count":
+        return [(r2, None) for r2 in count_scores(rows(train), rows(test), subsets, names)]
+    drawn = rows(train)
+    if fit_rows is not None:
+        drawn = seeded_sample(drawn, fit_rows, draw_number(SEED, *[F.col(k) for k in key]) if number is None else number, key)
+    return occurrence_scores(drawn, rows(test), subsets, names)
+
+
+def without_each(names: Sequence[str]) -> list[list[str]]:
+    """The whole set, then the set without each of its features."""
+    return [list(names), *[[m for m in names if m != n] for n in names]]
+
+
+def ablate(train: DataFrame, test: DataFrame, names: Sequence[str], stage: str, key: Sequence[str] = KEY,
+           extra: Sequence[str] = (), fit_rows: int | None = None, number: Column | None = None) -> Ablation:
+    """Full set against every set with one feature left out; test rows stay whole."""
+    names = list(names)
+    (full, auc), *rest = subset_scores(train, test, without_each(names), stage, key, extra, fit_rows, number)
+    return Ablation(stage, names, full, auc, {n: score for n, (score, _) in zip(names, rest)})
 
 
 def ablation_table(like: DataFrame, results: dict[tuple[str, str], Ablation]) -> DataFrame:
@@ -138,26 +148,24 @@ def run_widths(train: DataFrame, test: DataFrame, widths: Sequence[int] = (SELEC
     """Scores per width, arm and stage.
 
     A greedy order does not depend on where it stops, so each arm is ranked once
-    and every width reads a prefix of that order.
+    and every width reads a prefix of that order. Fits see the rows where all
+    selected features have a value.
     """
-    arms = arms or {a: None for a in screen.ARMS}
-    ranked = screen.screen_arms(train, arms, key, **options)
-    out = None
-    for width in sorted(set(widths)):
-        results = {}
-        for arm, r in ranked.items():
-            for stage in stages:
-                names = r.selected(stage, width)
-                if leave_one_out:
-                    results[arm, stage] = ablate(train, test, names, stage, key, fit_rows=fit_rows)
-                else:
-                    score = fit_score(features.matrix(train, names, [TARGET]),
-                                      features.matrix(test, names, [TARGET]), names, stage)
-                    results[arm, stage] = Ablation(stage, [], score[PRIMARY[stage]],
-                                                   score.get("roc_auc"), {})
-        part = ablation_table(train, results).withColumn("width", F.lit(width))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ranked = screen.screen_arms(train, arms or {a: None for a in screen.ARMS}, key, **options)
+    chosen = {(width, arm, stage): r.selected(stage, width)
+              for width in sorted(set(widths)) for arm, r in ranked.items() for stage in stages}
+    results: dict[int, dict[tuple[str, str], Ablation]] = {}
+    for stage in stages:  # all widths and arms of a stage are fitted together
+        sets = {k: names for k, names in chosen.items() if k[2] == stage}
+        subsets = {k: without_each(names) if leave_one_out else [names] for k, names in sets.items()}
+        different = list(dict.fromkeys(tuple(s) for listed in subsets.values() for s in listed))
+        found = dict(zip(different, subset_scores(train, test, different, stage, key, fit_rows=fit_rows)))
+        for (width, arm, _), listed in subsets.items():
+            (full, auc), *rest = [found[tuple(s)] for s in listed]
+            names = sets[width, arm, stage] if leave_one_out else []
+            results.setdefault(width, {})[arm, stage] = Ablation(stage, names, full, auc, {n: r[0] for n, r in zip(names, rest)})
+    parts = [ablation_table(train, found).withColumn("width", F.lit(width)) for width, found in results.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def complete_case(train: DataFrame, test: DataFrame, k: int = SELECT_N, key: Sequence[str] = KEY,

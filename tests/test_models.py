@@ -1,6 +1,7 @@
 """Fits, selection and the experiment grid against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,18 @@ def test_features_are_resolved_by_what_they_need(tables):
     for name, word in (("cloud_water", "TCIW"), ("CAPE", "lacks"), ("other", "no feature")):
         with pytest.raises(KeyError, match=word):
             features.matrix(few, [name])
+
+
+@pytest.mark.parametrize("most", [80, 0])
+def test_moments_far_from_zero(spark, monkeypatch, most):
+    from cellhour.functions import moments as module
+
+    monkeypatch.setattr(module, "MAX_SUM_COLUMNS", most)
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=2000)
+    x = np.column_stack([1e9 + a, -1e9 + 0.5 * a + rng.normal(size=2000), rng.normal(size=2000)])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"])).repartition(5)
+    found = module.moments(df, ["a", "b", "c"])
+    exact = np.cov((x - [1e9, -1e9, 0]).T, bias=True)
+    assert np.allclose(found.cov, exact, rtol=1e-6, atol=1e-7) and np.allclose(found.mean, x.mean(0), rtol=1e-12)
+    assert module.moments(df.limit(0), ["a"]).n == 0

@@ -74,13 +74,14 @@ def ablation_order(t: Tables) -> DataFrame:
     return table.filter("dropped IS NOT NULL").orderBy(F.desc("delta"), "dropped")
 
 
-def widths(t: Tables) -> DataFrame:
-    return ablate.run_widths(train(t), test(t), (2, 4), ROW_KEY, ARMS)
+def widths(t: Tables, **options) -> DataFrame:
+    """Both arms over every candidate the contract names, at all widths of the sweep."""
+    return ablate.run_widths(train(t), test(t), key=ROW_KEY, seeds=0, **options)
 
 
 @query("K12_climatology_gap", "width:l stage:s full:d meteorology:d gap:d meteorology_share:d")
 def climatology_gap(t: Tables) -> DataFrame:
-    return ablate.climatology_gap(widths(t))
+    return ablate.climatology_gap(widths(t, leave_one_out=False))
 
 
 @query("K13_width_sweep", "width:l " + SCORES)
