@@ -11,7 +11,8 @@ functions are used.
 Words are runs of letters and digits, in lower case. Defined results: null and
 empty texts hold nothing; items of fewer than `size` words have no shingle and
 match nothing; rows with a null doc_id or item_id are left out; rows that repeat
-an id count together, with the best containment; other columns are not read.
+an id are compared one by one, and a pair of ids keeps the counts of its best
+containment, of equal ones those of the larger text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,6 +73,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: i
         small(sketch.select("item_id", "shingles", "n"), n_rows), "item_id").select(
         "doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"),
         F.size(F.array_intersect("shingles", "held")).cast("long").alias("n_found"))
-    return (found.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * threshold - 1e-9))
-            .groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
-            .withColumn("containment", F.col("n_found") / F.col("n_shingles")))
+    met = found.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * threshold - 1e-9))
+    best = F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_found")).alias("best")
+    return met.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shingles", "best.n_found", "best.containment")

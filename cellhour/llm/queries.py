@@ -54,8 +54,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), CAPTURED))
-    return made.drop("date")
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), CAPTURED))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +121,17 @@ SQL: dict[str, str] = {}
 
 SQL["op1_decontamination"] = r"""
 WITH shingled AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
-  FROM documents UNION ALL
-  SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
-s AS (SELECT DISTINCT kind, id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) AS s
+  SELECT 'd' AS kind, doc_id AS id, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL UNION ALL
+  SELECT 'i', item_id, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark
+  WHERE item_id IS NOT NULL),
+s AS (SELECT DISTINCT kind, id, text, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) AS s
   FROM shingled WHERE len(w) >= 5),
-n AS (SELECT id AS item_id, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY 1),
-f AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM s d JOIN s i ON d.s = i.s
-  WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
-SELECT doc_id, item_id, n_shingles, n_found FROM f JOIN n USING (item_id) WHERE n_found >= n_shingles * 0.8 - 1e-9
+n AS (SELECT id AS item_id, text AS item, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY 1, 2),
+f AS (SELECT d.id AS doc_id, d.text AS body, i.id AS item_id, i.text AS item, count(*) AS n_found FROM s d JOIN s i ON d.s = i.s
+  WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2, 3, 4)
+SELECT doc_id, item_id, n_shingles, n_found FROM f JOIN n USING (item_id, item) WHERE n_found >= n_shingles * 0.8 - 1e-9
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_found / n_shingles DESC, n_shingles DESC) = 1
 """
 
 SQL["op3_exact_topk"] = """
@@ -173,16 +174,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 """
 
 
+_ENTITY_SQL = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+_NAMES_SQL = ("['" + "', '".join(f"&{n};" for n in warc.NAMED) + "']", "['" + "', '".join(
+    " " if v == "\u00a0" else v.replace("'", "''") for v in warc.NAMED.values()) + "']")
+
+
+def _sign_sql(e: str) -> str:
+    """What an entity stands for; itself if nothing."""
+    code = f"""CASE WHEN {e}[3] IN ('x', 'X') THEN CAST('0x' || {e}[4:-2] AS BIGINT) ELSE CAST({e}[3:-2] AS BIGINT) END"""
+    return (f"CASE WHEN {e}[2] <> '#' THEN coalesce({_NAMES_SQL[1]}[list_position({_NAMES_SQL[0]}, {e})], {e}) "
+            f"WHEN {code} = 160 THEN ' ' WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 "
+            f"THEN chr(CAST({code} AS INT)) ELSE {e} END")
+
+
 def _plain_sql(html: str) -> str:
-    for pattern in warc.DROPPED:
-        html = f"regexp_replace({html}, '{pattern}', ' ', 'g')"
-    html = f"regexp_replace(regexp_replace({html}, '{warc.BREAKS}', chr(10), 'g'), '{warc.TAGS}', ' ', 'g')"
-    for entity, sign in warc.ENTITIES:
-        html = "replace({}, '{}', '{}')".format(html, entity, sign.replace("'", "''"))
+    """Comments, scripts and styles first, then line breaks, tags, entities and white space."""
+    html = (f"regexp_replace({html}, '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)', ' ', 'g')")
+    html = f"regexp_replace({html}, '(?i)<(?:br|/p|/h[1-6]|/li|/div|/article|/tr|/title)\\b[^>]*>', chr(10), 'g')"
+    html = f"regexp_replace({html}, '(?s)<[^>]*>', ' ', 'g')"
+    parts = f"list_zip(string_split_regex({html}, '{_ENTITY_SQL}'), regexp_extract_all({html}, '{_ENTITY_SQL}'))"
+    html = f"array_to_string(list_transform({parts}, lambda t: coalesce(t[1], '') || coalesce({_sign_sql('t[2]')}, '')), '')"
     html = f"regexp_replace(regexp_replace({html}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({html}, '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
+_URL_SQL = """array_to_string(list_transform(string_split(coalesce(url, ''), ''),
+  lambda c: CASE WHEN c <> '' AND (ord(c) < 32 OR ord(c) = 127) THEN printf('%%%02X', ord(c)) ELSE c END), '')"""
+
+
 def _id_sql(*parts: str) -> str:
     h = f"sha256({' || chr(10) || '.join(parts)})"
     return (f"('<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || "
@@ -190,7 +209,7 @@ def _id_sql(*parts: str) -> str:
 
 
 SQL["op7_warc_derivatives"] = f"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
+WITH p AS (SELECT page_id, {_URL_SQL} AS url, coalesce(html, '') AS body FROM pages),
 r AS (SELECT *, {_id_sql("'response'", 'CAST(page_id AS VARCHAR)', 'url', 'sha256(body)')} AS record_id,
   'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
   || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) AS headers, 'sha256:' || sha256(body) AS payload FROM p),
@@ -199,6 +218,6 @@ m AS (SELECT page_id, 'metadata' AS warc_type, 'application/warc-fields' AS cont
   record_id, url, headers, payload FROM r UNION ALL
   SELECT page_id, 'conversion', 'text/plain', {_plain_sql('body')}, record_id, url, headers, payload FROM r)
 SELECT page_id, warc_type, {_id_sql('warc_type', 'record_id', 'sha256(block)')} AS warc_record_id,
-  record_id AS warc_refers_to, url AS target_uri, content_type, headers AS source_headers, payload AS source_digest,
+  record_id AS warc_refers_to, url AS target_uri, '{CAPTURED}' AS "date", content_type, headers AS source_headers, payload AS source_digest,
   'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block FROM m
 """

@@ -6,7 +6,8 @@ the source's headers and payload digest; each has its own block digest and
 length. Identifiers are made from content, so a rerun makes the same ones. Only
 DataFrame functions are used, and each page is handled by itself.
 
-Defined results: a null url is an empty target, a null body an empty body; rows
+Defined results: a null url is an empty target, a null body an empty body;
+control characters of a url are percent-encoded; rows
 that repeat give repeated records, told apart by nothing but their place; an
 empty table gives no records; other columns are not read.
 """
@@ -19,11 +20,19 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 # Fixed values of the format.
 VERSION = "WARC/1.1"
-# In SQL and in Spark alike: what is cut from HTML, in order, and the entities that are resolved.
-DROPPED = [r"(?is)<!--.*?-->", r"(?is)<(script|style)\b.*?</(script|style)\s*>"]
+DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 BREAKS = r"(?i)<(br|/p|/h[1-6]|/li|/div|/article|/tr|/title)\b[^>]*>"
 TAGS = r"(?s)<[^>]*>"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+#: Names of the signs from U+00A0 to U+00FF in order, and of some others.
+LATIN = """nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro para
+middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc
+Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig
+agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc
+otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml""".split()
+NAMED = {**{name: chr(160 + i) for i, name in enumerate(LATIN)}, "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&",
+         "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
+         "bull": "\u2022", "hellip": "\u2026", "euro": "\u20ac", "trade": "\u2122", "OElig": "\u0152", "oelig": "\u0153"}
 
 
 def digest(block: Column) -> Column:
@@ -38,20 +47,46 @@ def record_id(*parts: Column) -> Column:
                     cut(18, 3), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
+def character(code: Column) -> Column:
+    """The sign of a code point; null for what is none."""
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def without_entities(html: Column) -> Column:
+    """Named and numeric entities as the signs they stand for, each once; unknown ones stay. A no-break space is a space."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def piece(text: Column) -> Column:
+        name = F.regexp_extract(text, "^" + ENTITY, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8))
+        sign = F.coalesce(character(code.cast("long")), F.try_element_at(names, name))
+        known = (name != "") & sign.isNotNull()
+        return F.when(known, F.concat(F.when(sign == "\u00a0", " ").otherwise(sign),
+                                      F.substring(text, F.length(name) + 3, F.length(text)))).otherwise(text)
+
+    return F.when(html.contains("&"), F.array_join(F.transform(F.split(html, "(?=&)"), piece), "")).otherwise(html)
+
+
 def plain_text(html: Column) -> Column:
-    for pattern in DROPPED:
-        html = F.regexp_replace(html, pattern, " ")
-    html = F.regexp_replace(F.regexp_replace(html, BREAKS, "\n"), TAGS, " ")
-    for entity, sign in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(sign))
+    """Text without comments, scripts, styles and tags. What is opened and never closed reaches to the end."""
+    html = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, " "), BREAKS, "\n"), TAGS, " ")
+    html = without_entities(html)
     html = F.regexp_replace(F.regexp_replace(html, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(html, r"^[ \n]+|[ \n]+$", "")
 
 
+def one_line(url: Column) -> Column:
+    """The url with its control characters percent-encoded, so that it cannot end its header line."""
+    signs = F.transform(F.split(url, ""), lambda c: F.when(
+        c.rlike(r"^[\x00-\x1F\x7F]$"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), F.array_join(signs, "")).otherwise(url)
+
+
 def responses(pages: DataFrame, date: str) -> DataFrame:
     """(page_id, url, record_id, http_headers, body, payload_digest, date) of pages seen as responses."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    url = one_line(F.coalesce(F.col("url").cast("string"), F.lit("")))
     held = pages.select("page_id", url.alias("url"), body.alias("body"))
     headers = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                        F.octet_length("body").cast("string"), F.lit(CRLF))
