@@ -23,7 +23,7 @@ VERSION = "WARC/1.1"
 DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 BREAKS = r"(?i)<(br|/p|/h[1-6]|/li|/div|/article|/tr|/title)\b[^>]*>"
 TAGS = r"(?s)<[^>]*>"
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 #: Names of the signs from U+00A0 to U+00FF in order, and of some others.
 LATIN = """nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro para
 middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc
@@ -57,15 +57,23 @@ def without_entities(html: Column) -> Column:
     """Named and numeric entities as the signs they stand for, each once; unknown ones stay. A no-break space is a space."""
     names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
-    def piece(text: Column) -> Column:
-        name = F.regexp_extract(text, "^" + ENTITY, 1)
+    def named(text: Column, place: Column) -> Column:
+        return F.struct(text.alias("text"), place.alias("place"), F.regexp_extract(text, ENTITY, 1).alias("name"))
+
+    def signed(piece: Column) -> Column:
+        name = piece["name"]
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8))
-        sign = F.coalesce(character(code.cast("long")), F.try_element_at(names, name))
-        known = (name != "") & sign.isNotNull()
-        return F.when(known, F.concat(F.when(sign == "\u00a0", " ").otherwise(sign),
-                                      F.substring(text, F.length(name) + 3, F.length(text)))).otherwise(text)
+        sign = F.when(name != "", F.coalesce(F.try_element_at(names, name), character(code.cast("long"))))
+        return F.struct(piece["text"].alias("text"), piece["place"].alias("place"), name.alias("name"), sign.alias("sign"))
+
+    def joined(piece: Column) -> Column:
+        rest = F.substring(piece["text"], F.length(piece["name"]) + 2, F.length(piece["text"]))
+        return (F.when(piece["place"] == 0, piece["text"]).when(piece["sign"].isNull(), F.concat(F.lit("&"), piece["text"]))
+                .otherwise(F.concat(F.when(piece["sign"] == "\u00a0", " ").otherwise(piece["sign"]), rest)))
 
-    return F.when(html.contains("&"), F.array_join(F.transform(F.split(html, "(?=&)"), piece), "")).otherwise(html)
+    # The html is cut at every ampersand once; an entity opens all pieces but the first.
+    pieces = F.transform(F.transform(F.split(html, "&"), named), signed)
+    return F.array_join(F.transform(pieces, joined), "")
 
 
 def plain_text(html: Column) -> Column:
