@@ -71,10 +71,14 @@ def _narrow(df: DataFrame, brackets: Sequence[_Bracket], accuracy: int) -> None:
 
 def _place(value: Column, ends: Sequence[float]) -> Column:
     """2i for values between the ends i - 1 and i, 2i + 1 for values equal to end i."""
-    out = F.lit(0)
-    for e in ends:
-        out = out + (value >= F.lit(e)).cast("int") + (value > F.lit(e)).cast("int")
-    return out
+    def among(first: int, last: int) -> Column:  # a search by halves
+        if first == last:
+            return F.lit(2 * first)
+        at = (first + last) // 2
+        end = F.lit(ends[at])
+        return F.when(value < end, among(first, at)).when(value > end, among(at + 1, last)).otherwise(F.lit(2 * at + 1))
+
+    return among(0, len(ends))
 
 
 def _pick(df: DataFrame, brackets: Sequence[_Bracket]) -> dict[tuple[str, int], float] | None:
@@ -88,11 +92,13 @@ def _pick(df: DataFrame, brackets: Sequence[_Bracket]) -> dict[tuple[str, int],
     names = list(ends)
 
     def cell(at: int, c: str) -> Column:
-        place = _place(F.col(c), ends[c])
+        place = F.col(f"_place{at}")
         held = F.when(place.isin(*open_at[c]), F.col(c)) if open_at[c] else F.lit(None).cast("double")
-        return F.struct(F.lit(at).alias("column"), F.when(F.col(c).isNotNull(), place).alias("place"), held.alias("value"))
+        return F.struct(F.lit(at).alias("column"), place.alias("place"), held.alias("value"))
 
-    cells = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(names)])).alias("c")).select("c.*")
+    # A place is a long expression: it is worked out once, below the cells that use it.
+    placed = df.select(*names, *[F.when(F.col(c).isNotNull(), _place(F.col(c), ends[c])).alias(f"_place{i}") for i, c in enumerate(names)])
+    cells = placed.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(names)])).alias("c")).select("c.*")
     found = cells.where("place IS NOT NULL").groupBy("column", "place", "value").agg(F.count(F.lit(1)).alias("n"))
     counted: dict[str, list[tuple[int, float | None, int]]] = {c: [] for c in names}
     for r in found.collect():  # places, and the few values inside the brackets
