@@ -5,8 +5,10 @@ Within a block, documents are taken in order of doc_id: each run is factored
 greedily against what earlier documents of the block hold, found by an index of
 their windows and extended word by word. A factor of a whole window or more is a
 duplicate span. The windows that straddle the end of a factor are each looked up
-before parsing goes on. Keys with very many runs are split over several blocks;
-windows that are new in such a block are compared with those of the other blocks.
+before parsing goes on. Of runs with one content, the first is parsed for all: later
+documents lose the whole, its own document's other places what it loses itself. Keys
+with very many runs are split over several blocks; windows that are new in such a
+block are compared with those of the other blocks.
 
 Defined results: a null text has no words and stays null; rows with a null
 doc_id keep all words; rows that share a doc_id count as one document, so what
@@ -32,11 +34,16 @@ from .text import U64, mix, prefix_hash, slices, span_hash, word_spans
 RUNS_PER_BLOCK = 4_096
 RUNS_PER_KEY = 8_192
 ADDED = ["n_words", "n_removed", "removed"]
-FOUND = "doc_id long, start long, end long, high long, low long"
+FOUND = "kind int, key long, content long, begin long, doc_id long, start long, end long, high long, low long"
+REMOVED, NEW, ANSWER = range(3)  # kinds of a block's rows
 
 
 def parse_block(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Duplicate spans of a block; for split keys also the windows that are new in it."""
+    """Duplicate spans of a block; for split keys also the windows that are new in it.
+
+    `begin` is where a row's run begins. A run that stands for others is also given
+    whole: each of its words is now in a factor or in the index.
+    """
     rows = rows.sort_values(["doc_id", "start"], kind="stable")
     held = rows["held"].to_numpy()
     n = rows["n"].to_numpy(np.int64)
@@ -72,7 +79,7 @@ def parse_block(rows: pd.DataFrame, window: int) -> pd.DataFrame:
                 if length < window:
                     i += 1
                     continue
-                spans.append((doc[r], start[r] + i, start[r] + i + length))
+                spans.append((r, start[r] + i, start[r] + i + length))
                 fresh[base + i:base + i + length - window + 1] = False
                 i += length - window + 1  # the first window over the factor's end
         for r in range(row, after):
@@ -81,37 +88,50 @@ def parse_block(rows: pd.DataFrame, window: int) -> pd.DataFrame:
                 if fresh[w]:
                     index.setdefault(codes[w], (places[w], limit))
         row = after
-    out = pd.DataFrame(spans, columns=["doc_id", "start", "end"], dtype="int64").assign(high=None, low=None)
+    told = rows[["key", "content", "doc_id", "start", "n", "others", "split"]].reset_index(drop=True)
+
+    def of_runs(kind: int, at_rows, begin, end, **more) -> pd.DataFrame:
+        run = told.iloc[at_rows]
+        return pd.DataFrame({"kind": kind, "key": run["key"].to_numpy(), "content": run["content"].to_numpy(),
+                             "begin": run["start"].to_numpy(), "doc_id": run["doc_id"].to_numpy(),
+                             "start": begin, "end": end, "high": None, "low": None} | more)
+
+    stands = np.flatnonzero(told["others"].to_numpy(bool))
+    opens = told["start"].to_numpy(np.int64)
+    found = np.array(spans, dtype=np.int64).reshape(-1, 3)
+    out = pd.concat([of_runs(REMOVED, found[:, 0], found[:, 1], found[:, 2]),
+                     of_runs(ANSWER, stands, opens[stands], opens[stands] + n[stands] + window - 1)])
     of = np.repeat(np.arange(len(n)), n)
-    new = np.flatnonzero(fresh & rows["split"].to_numpy(bool)[of])
+    new = np.flatnonzero(fresh & told["split"].to_numpy(bool)[of])
     if not len(new):
         return out
     other = span_hash(prefix_hash(mix(words ^ U64(0xA5A5A5A5A5A5A5A5))), at[new], at[new] + window)
-    begin = rows["start"].to_numpy(np.int64)[of[new]] + offset[new]
-    return pd.concat([out, pd.DataFrame({
-        "doc_id": rows["doc_id"].to_numpy(np.int64)[of[new]], "start": begin, "end": begin + window,
-        "high": code[new].view(np.int64), "low": other.view(np.int64)})])
+    begin = opens[of[new]] + offset[new]
+    return pd.concat([out, of_runs(NEW, of[new], begin, begin + window,
+                                   high=code[new].view(np.int64), low=other.view(np.int64))])
 
 
 def duplicate_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, start, end) of word spans made of windows that also start in a document with a smaller doc_id."""
     shape = windows.Shape(windows.words_of, window, 8 if window >= 16 else 2)
     found = windows.repeated(docs, shape)
-    copies = (found.copies.where("doc_id > first_doc")
-              .select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end")))
-    again = (found.copies.where("doc_id = first_doc").join(found.kinds, "key")
-             .select("key", "content", "kinds", "doc_id", "start", "n"))
-    firsts = found.firsts.unionByName(again)
-    dealt, any_split = windows.sharded(firsts, RUNS_PER_BLOCK, RUNS_PER_KEY)
+    dealt, any_split = windows.sharded(found.firsts, RUNS_PER_BLOCK, RUNS_PER_KEY)
     held = windows.with_content(docs, dealt, shape, raw=False)
-    local = held.groupBy("shard").applyInPandas(lambda rows: parse_block(rows, window), FOUND)
-    if not any_split:
-        return copies.unionByName(local.drop("high", "low"))
-    local = stored(local, "blocks")
-    new = local.where("high IS NOT NULL")
-    first = new.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc"))
-    across = new.join(first, ["high", "low"]).where("doc_id > first_doc").select("doc_id", "start", "end")
-    return copies.unionByName(local.where("high IS NULL").drop("high", "low")).unionByName(across)
+    local = stored(held.groupBy("shard").applyInPandas(lambda rows: parse_block(rows, window), FOUND), "blocks")
+    told = ["key", "content", "begin", "doc_id", "start", "end"]
+    spans = local.where(F.col("kind") == REMOVED).select(*told)
+    if any_split:
+        new = local.where(F.col("kind") == NEW).select(*told, "high", "low")
+        first = new.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc"))
+        spans = spans.unionByName(new.join(first, ["high", "low"]).where("doc_id > first_doc").select(*told))
+    others = found.others(local.where(F.col("kind") == ANSWER))
+    later = others.where("doc_id > first_doc").select(
+        "doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
+    same = (others.where("doc_id = first_doc").select("key", "content", "doc_id", F.col("start").alias("place"))
+            .join(spans.drop("doc_id"), ["key", "content"])
+            .select("doc_id", (F.col("place") + F.col("start") - F.col("begin")).alias("start"),
+                    (F.col("place") + F.col("end") - F.col("begin")).alias("end")))
+    return spans.select("doc_id", "start", "end").unionByName(later).unionByName(same)
 
 
 def dedup(docs: DataFrame, window: int = 50) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Runs of windows that can repeat are dealt to shards by content. Each shard sorts
 the suffixes of its runs by Larsson-Sadakane refinement, gets the common
-prefixes of neighbours by Kasai's rule and so groups equal windows. Keys with
-very many runs are split over several shards; the windows that such shards still
-hold as new are merged across shards in sorted order by binary search.
+prefixes of neighbours by Kasai's rule and so groups equal windows. Of runs with one
+content, the first stands for all: every window of the others is one that it has
+earlier. Keys with very many runs are split over several shards; the windows that such
+shards still hold as new are merged across shards in sorted order by binary search.
 
 Defined results: a null text is empty; rows with a null doc_id keep all bytes;
 rows that share a doc_id count as one document, so what one of them loses all of
@@ -29,7 +30,8 @@ from .shared import stored
 RUNS_PER_SHARD = 16_384
 RUNS_PER_KEY = 8_192
 ADDED = ["kept", "n_bytes", "n_removed", "n_spans", "removed"]
-FOUND = "doc_id long, start long, end long, window binary"
+FOUND = "kind int, key long, content long, doc_id long, start long, end long, window binary"
+REMOVED, NEW, ANSWER = range(3)  # kinds of a shard's rows
 
 
 def suffix_array(text: np.ndarray, string: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -99,7 +101,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
 
 
 def shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Spans of windows that start earlier in the shard; for split keys also the windows that do not."""
+    """Spans of windows that start earlier in the shard; for split keys also the windows that do not.
+
+    Of a run that stands for others, also its whole: what a later place of its class loses.
+    """
     rows = rows.drop_duplicates(["doc_id", "start", "held"])  # rows of one doc_id hold a run once
     held = rows["held"].to_numpy()
     lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
@@ -128,15 +133,22 @@ def shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     fresh = np.append(True, (hit[1:] != hit[:-1] + 1) | (string[hit[1:]] != string[hit[:-1]])) if len(hit) else hit
     first = hit[fresh.astype(bool)] if len(hit) else hit
     last = hit[np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)] if len(hit) else hit
-    spans = pd.DataFrame({"doc_id": doc[string[first]], "start": start[string[first]] + offset[first],
+    spans = pd.DataFrame({"kind": REMOVED, "key": None, "content": None, "doc_id": doc[string[first]],
+                          "start": start[string[first]] + offset[first],
                           "end": start[string[first]] + offset[last] + window, "window": None})
+    sorted_in = np.bincount(owner, minlength=len(held))  # a run is answered by the windows that stand in the order
+    stands = np.flatnonzero(rows["others"].to_numpy(bool) & (sorted_in == counts))
+    spans = pd.concat([spans, pd.DataFrame({
+        "kind": ANSWER, "key": rows["key"].to_numpy()[stands], "content": rows["content"].to_numpy()[stands],
+        "doc_id": doc[stands], "start": start[stands], "end": start[stands] + counts[stands] + window - 1,
+        "window": None})])
     split = rows["split"].to_numpy(bool)
     new = np.flatnonzero(is_window & ~seen & split[string])
     if not len(new):
         return spans
     blob = text.tobytes()
     return pd.concat([spans, pd.DataFrame({
-        "doc_id": doc[string[new]], "start": start[string[new]] + offset[new],
+        "kind": NEW, "key": None, "content": None, "doc_id": doc[string[new]], "start": start[string[new]] + offset[new],
         "end": start[string[new]] + offset[new] + window, "window": [blob[i:i + window] for i in new]})])
 
 
@@ -159,17 +171,18 @@ def duplicate_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     """(doc_id, start, end) of byte spans made of windows that start in a smaller doc_id, or earlier in the same."""
     shape = windows.Shape(windows.bytes_of, window, 32 if window > 48 else 8, within=True)
     found = windows.repeated(docs, shape)
-    copies = found.copies.select("doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
     dealt, any_split = windows.sharded(found.firsts, RUNS_PER_SHARD, RUNS_PER_KEY)
     held = windows.with_content(docs, dealt, shape, raw=True)
-    local = held.groupBy("shard").applyInPandas(lambda rows: shard_spans(rows, window), FOUND)
+    local = stored(held.groupBy("shard").applyInPandas(lambda rows: shard_spans(rows, window), FOUND), "shards")
+    others = found.others(local.where(F.col("kind") == ANSWER)).select(
+        "doc_id", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
+    spans = local.where(F.col("kind") == REMOVED).select("doc_id", "start", "end").unionByName(others)
     if not any_split:
-        return copies.unionByName(local.drop("window"))
-    local = stored(local, "shards")
-    across = (local.where("window IS NOT NULL").repartitionByRange("window")
-              .sortWithinPartitions("window", "doc_id", "start")
+        return spans
+    across = (local.where(F.col("kind") == NEW).select("doc_id", "start", "end", "window")
+              .repartitionByRange("window").sortWithinPartitions("window", "doc_id", "start")
               .mapInPandas(_merge(window), "doc_id long, start long, end long"))
-    return copies.unionByName(local.where("window IS NULL").drop("window")).unionByName(across)
+    return spans.unionByName(across)
 
 
 def dedup(docs: DataFrame, window: int = 100) -> DataFrame:

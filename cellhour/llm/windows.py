@@ -5,8 +5,12 @@ least hash over the `gram`-item strings inside it is its key: equal windows have
 equal keys wherever they stand, and neighbouring windows mostly share one, so a
 document falls into runs of windows with one key. Only runs whose key occurs
 again anywhere can hold a repeated window. Runs of equal content fold into one
-class by an aggregate before any text moves; of a class, only the first run can
-hold a window that is new.
+class by an aggregate, so that only the first run of a class moves: the method that
+looks for windows decides that run, and its other places take their spans from the answer.
+
+Runs are of one class if the 64-bit hashes of their key and of their whole content
+are equal: among n runs, with at most k contents to a key, n * k / 2^65 pairs of
+different runs are expected to be taken for one. Inside a class nothing else is compared.
 """
 
 from __future__ import annotations
@@ -136,13 +140,16 @@ def _run_rows(shape: Shape):
 
 @dataclass(frozen=True)
 class Repeats:
-    """`copies`: runs whose whole content starts earlier, with that document.
-    `firsts`: first runs of classes that share a key with another class or repeat inside.
-    `kinds`: the keys of those, with the number of classes."""
+    """`runs`: all runs whose key occurs again, with the hash of their content.
+    `firsts`: the first run of every class, the classes of its key, and whether it has `others`."""
 
-    copies: DataFrame
+    runs: DataFrame
     firsts: DataFrame
-    kinds: DataFrame
+
+    def others(self, answers: DataFrame) -> DataFrame:
+        """The places of an answered class besides its first, which `answers` has as doc_id and start."""
+        first = answers.select("key", "content", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"))
+        return self.runs.join(first, ["key", "content"]).where("doc_id <> first_doc OR start <> first_start")
 
 
 def repeated(docs: DataFrame, shape: Shape) -> Repeats:
@@ -154,47 +161,44 @@ def repeated(docs: DataFrame, shape: Shape) -> Repeats:
              .join(keys, "key"))
     found = stored(found, "runs")
     classes = found.groupBy("key", "content").agg(
-        F.min(F.struct("doc_id", "start", "n")).alias("first"), F.count("*").alias("occurs"),
-        F.max(F.col("twice").cast("int")).alias("twice"))
+        F.min(F.struct("doc_id", "start", "n")).alias("first"), (F.count("*") > 1).alias("others"))
     classes = stored(classes, "classes")
-    copies = (found.join(classes.where("occurs > 1").select("key", "content", "first"), ["key", "content"])
-              .where("doc_id <> first.doc_id OR start <> first.start")
-              .select("key", "content", "doc_id", "start", "n", F.col("first.doc_id").alias("first_doc")))
-    kinds = (classes.groupBy("key").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice"))
-             .where("kinds > 1 OR twice > 0").drop("twice"))
-    firsts = classes.join(kinds, "key").select("key", "content", "kinds", "first.*")
-    return Repeats(copies, firsts, kinds)
+    kinds = classes.groupBy("key").agg(F.count("*").alias("kinds"))
+    return Repeats(found, classes.join(kinds, "key").select("key", "content", "kinds", "others", "first.*"))
 
 
 def with_content(docs: DataFrame, firsts: DataFrame, shape: Shape, raw: bool) -> DataFrame:
-    """The runs with what they hold: their bytes, or their items' hashes (`raw` false)."""
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "split", "start", "n")).alias("wanted"))
+    """The runs with what they hold: their bytes, or their items' hashes (`raw` false).
+
+    Of rows that share a doc_id, only those that hold the run at its place count.
+    """
+    told = ["shard", "split", "key", "content", "others", "start", "n"]
+    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct(*told)).alias("wanted"))
     joined = _numbered(docs).join(wanted, "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             lists = batch.column("wanted")
             ends = lists.offsets.to_numpy()
-            inner = lists.values
-            shard, split, start, n = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            runs_ = {c: lists.values.field(i).to_numpy(zero_copy_only=False) for i, c in enumerate(told)}
             for first, last, data, offsets in slices(batch):
-                items, firsts_ = (data, offsets) if raw else shape.items(data, offsets)
-                out = ([], [], [], [], [], [])
-                for row in range(first, last):
-                    base, limit = firsts_[row - first], firsts_[row - first + 1]
-                    for i in range(ends[row], ends[row + 1]):
-                        a, b = base + start[i], base + start[i] + n[i] + shape.window - 1
-                        if b <= limit:
-                            for o, v in zip(out, (shard[i], split[i], ids[row], start[i], n[i], items[a:b].tobytes())):
-                                o.append(v)
+                items, bounds = shape.items(data, offsets)
+                row = np.repeat(np.arange(first, last), np.diff(ends[first:last + 1]))
+                of = np.arange(ends[first], ends[last])
+                a = bounds[row - first] + runs_["start"][of]
+                b = a + runs_["n"][of] + shape.window - 1
+                held = np.flatnonzero(b <= bounds[row - first + 1])
+                inner = span_hash(prefix_hash(items), a[held], b[held]).view(np.int64)
+                held = held[inner == runs_["content"][of[held]]]
+                of, blob = of[held], data if raw else items
+                texts = [blob[x:y].tobytes() for x, y in zip(a[held].tolist(), b[held].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()),
-                     pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())],
-                    ["shard", "split", "doc_id", "start", "n", "held"])
+                    [*[pa.array(runs_[c][of]) for c in told], pa.array(ids[row[held]].astype(np.int64)),
+                     pa.array(texts, pa.binary())], [*told, "doc_id", "held"])
 
     return joined.select("doc_id", "text", "wanted").mapInArrow(
-        cut, "shard long, split boolean, doc_id long, start long, n int, held binary")
+        cut, "shard long, split boolean, key long, content long, others boolean, start long, n int, doc_id long, held binary")
 
 
 def sharded(firsts: DataFrame, per_shard: int, per_key: int) -> tuple[DataFrame, bool]:
