@@ -1,14 +1,15 @@
 """Chat formatting by schema fingerprints.
 
 Records of many layouts lie in one table with the union of their fields. The
-nested paths of a record's fields that are not null are hashed; that
-fingerprint selects a declarative mapping from the layout to canonical turns
-(role, text). Turns are written with a template whose marks cannot occur in a
+nested paths that are not null inside a record are hashed, as far as any layout
+names them; that fingerprint selects a declarative mapping from the layout to
+canonical turns (role, text). Turns are written with a template whose marks cannot occur in a
 text: control strings inside texts are escaped, reversibly. Only DataFrame
 functions are used.
 
 Defined results: a null or missing text is an empty text, a null role an empty
-role; a record with no known layout has no turns and the fingerprint 0; a
+role; a record with no known layout has no turns and the fingerprint 0; fields that
+no layout names, in a record or inside its lists, change nothing; a
 record may have any other columns, which stay; columns with the name of an
 added column are replaced; rows are formatted one by one, repeated or not. A whole
 conversation is one output string, so its turns meet in one row.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +55,19 @@ def unescape(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """A layout by the paths of its fields; `turns` makes an array of (role, text) from the columns."""
+    """A layout by the paths that its records hold, and those they may hold; `[]` is a list, empty or not.
+
+    `turns` makes an array of (role, text) from the columns.
+    """
 
     paths: tuple[str, ...]
     turns: Callable[[], Column]
+    optional: tuple[str, ...] = ()
+
+    def fingerprints(self) -> list[tuple[str, ...]]:
+        """The sets of paths that select this layout."""
+        return [tuple(sorted((*self.paths, *more))) for k in range(len(self.optional) + 1)
+                for more in combinations(self.optional, k)]
 
 
 def _turn(role, text) -> Column:
@@ -65,8 +76,12 @@ def _turn(role, text) -> Column:
                     F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _of_list(column: str, role: str, text: str) -> Callable[[], Column]:
-    return lambda: F.transform(F.col(column), lambda m: _turn(m[role], m[text]))
+def list_layout(column: str, role: str, text: str, required: tuple[str, ...] = ()) -> Layout:
+    """A list of turns; a turn may lack its role or text, but for the `required` fields, which some turn holds."""
+    field = lambda name: f"{column}[].{name}"
+    return Layout((f"{column}[]", *map(field, required)),
+                  lambda: F.transform(F.col(column), lambda m: _turn(m[role], m[text])),
+                  tuple(field(name) for name in (role, text) if name not in required))
 
 
 def _of_fields(*pairs: tuple[str, str]) -> Callable[[], Column]:
@@ -79,9 +94,9 @@ def _of_instruction(answer: str, given: bool) -> Callable[[], Column]:
 
 
 LAYOUTS = [
-    Layout(("messages[].content", "messages[].role"), _of_list("messages", "role", "content")),
-    Layout(("conversations[].from", "conversations[].value"), _of_list("conversations", "from", "value")),
-    Layout(("turns[].speaker", "turns[].text"), _of_list("turns", "speaker", "text")),
+    list_layout("messages", "role", "content"),
+    list_layout("conversations", "from", "value"),
+    list_layout("turns", "speaker", "text"),
     Layout(("completion", "prompt"), _of_fields(("user", "prompt"), ("assistant", "completion"))),
     Layout(("prompt", "response"), _of_fields(("user", "prompt"), ("assistant", "response"))),
     Layout(("prompt", "response", "system"), _of_fields(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -90,23 +105,20 @@ LAYOUTS = [
 ]
 
 
-def field_paths(schema: T.StructType, fields: set[str]) -> list[tuple[str, str]]:
-    """(path, its column) of the scalar fields below the columns that layouts use."""
-    out = []
+def held_paths(kind: T.DataType) -> list[tuple[str, Callable[[Column], Column]]]:
+    """(path below a value of this type, whether the value holds anything there)."""
+    def inside(name: str, holds: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda value: holds(value[name])
 
-    def walk(kind: T.DataType, path: str, column: str) -> None:
-        if isinstance(kind, T.StructType):
-            for f in kind:
-                walk(f.dataType, f"{path}.{f.name}", column)
-        elif isinstance(kind, T.ArrayType):
-            walk(kind.elementType, f"{path}[]", column)
-        else:
-            out.append((path, column))
+    def anywhere(holds: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda value: F.exists(value, lambda item: holds(item))
 
-    for field in schema:
-        if field.name in fields:
-            walk(field.dataType, field.name, field.name)
-    return sorted(out)
+    if isinstance(kind, T.StructType):
+        return [(f".{f.name}{path}", inside(f.name, holds)) for f in kind for path, holds in held_paths(f.dataType)]
+    whole = lambda value: value.isNotNull()
+    if isinstance(kind, T.ArrayType):
+        return [("[]", whole), *[(f"[]{path}", anywhere(holds)) for path, holds in held_paths(kind.elementType) if path]]
+    return [("", whole)]
 
 
 def path_hash(paths: list[Column]) -> Column:
@@ -115,17 +127,16 @@ def path_hash(paths: list[Column]) -> Column:
 
 def canonical(records: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """`records` with the layout's fingerprint and its turns."""
-    roots = {p.split(".")[0].split("[")[0] for layout in layouts for p in layout.paths}
-    paths = field_paths(records.schema, roots)
-    present = {p for p, _ in paths}
-    marks = [F.when(F.col(f"`{c}`").isNotNull(), F.lit(p)) for p, c in paths]
-    shown = path_hash(marks) if marks else F.lit(0).cast("long")
-    held = records.withColumn("fingerprint", shown)
-    known = [x for x in layouts if set(x.paths) <= present]
+    named = {p for layout in layouts for p in (*layout.paths, *layout.optional)}
+    holds = {f"{f.name}{path}": is_held(F.col(f"`{f.name}`")) for f in records.schema
+             for path, is_held in held_paths(f.dataType) if f"{f.name}{path}" in named}
+    marks = [F.when(holds[p], F.lit(p)) for p in sorted(holds)]
+    held = records.withColumn("fingerprint", path_hash(marks) if marks else F.lit(0).cast("long"))
+    known = [x for x in layouts if {*x.paths, *x.optional} <= set(holds)]
     chosen = F.lit(None).cast(TURNS)
     for layout in known:
-        own = path_hash([F.lit(p) for p in sorted(layout.paths)])
-        chosen = F.when(F.col("fingerprint") == own, layout.turns().cast(TURNS)).otherwise(chosen)
+        own = [F.col("fingerprint") == path_hash([F.lit(p) for p in paths]) for paths in layout.fingerprints()]
+        chosen = F.when(reduce(lambda a, b: a | b, own), layout.turns().cast(TURNS)).otherwise(chosen)
     held = held.withColumn("turns", chosen)
     return held.withColumn("fingerprint", F.when(F.col("turns").isNotNull(), F.col("fingerprint")).otherwise(0)) \
         .withColumn("turns", F.coalesce("turns", F.array().cast(TURNS)))
@@ -173,21 +184,34 @@ def by_conversation(rows: DataFrame) -> DataFrame:
 
 
 def in_layouts(conversations: DataFrame) -> DataFrame:
-    """The same conversations in the layouts that can hold them, chosen by their shape, as one table."""
+    """The same conversations in the eight layouts, as far as their shape allows, as one table.
+
+    An instruction with a blank line becomes an instruction and an input.
+    """
     roles = F.transform("messages", lambda m: m["role"])
-    two = F.array(F.lit("user"), F.lit("assistant"))
-    said = lambda i: F.col("messages")[i]["content"]
+    like = lambda *names: roles == F.array(*map(F.lit, names))
+    said = lambda i: F.get("messages", F.lit(i))["content"]
+    blank = F.instr(said(0), "\n\n")
+    turn = F.pmod("conv_id", F.lit(12))
+    pick = F.when(like("system", "user", "assistant"), "system").when(
+        ~like("user", "assistant"), F.element_at(F.array(*map(F.lit, ["messages", "from", "speaker"])), (turn % 3 + 1).cast("int"))
+    ).when(turn % 3 == 0, "completion").when(turn % 3 == 1, "prompt").when(blank > 0, "input").otherwise("instruction")
+    rows = conversations.withColumn("layout_", F.when(turn.isNull(), "messages").otherwise(pick))
+    only = lambda names, value: F.when(F.col("layout_").isin(names), value)
     renamed = lambda role, text: F.transform(
         "messages", lambda m: F.struct(m["role"].alias(role), m["content"].alias(text)))
-    pick = F.when(roles == two, F.when(F.pmod("conv_id", F.lit(2)) == 0, "prompt").otherwise("instruction")).when(
-        F.pmod("conv_id", F.lit(3)) == 1, "from").otherwise("messages")
-    rows = conversations.withColumn("layout_", F.coalesce(pick, F.lit("messages")))
-    only = lambda name, value: F.when(F.col("layout_") == name, value)
+    answer = F.element_at("messages", -1)["content"]
     return rows.select(
-        "conv_id", only("messages", F.col("messages")).alias("messages"),
-        only("from", renamed("from", "value")).alias("conversations"),
-        only("prompt", said(0)).alias("prompt"), only("prompt", said(1)).alias("response"),
-        only("instruction", said(0)).alias("instruction"), only("instruction", said(1)).alias("output"))
+        "conv_id", only(["messages"], F.col("messages")).alias("messages"),
+        only(["from"], renamed("from", "value")).alias("conversations"),
+        only(["speaker"], renamed("speaker", "text")).alias("turns"),
+        only(["system"], said(0)).alias("system"),
+        only(["system", "prompt", "completion"], F.when(F.col("layout_") == "system", said(1)).otherwise(said(0))).alias("prompt"),
+        only(["system", "prompt"], answer).alias("response"), only(["completion"], answer).alias("completion"),
+        only(["instruction", "input"], F.when(F.col("layout_") == "input", F.substring(said(0), F.lit(1), blank - 1))
+             .otherwise(said(0))).alias("instruction"),
+        only(["input"], F.substring(said(0), blank + 2, F.length(said(0)))).alias("input"),
+        only(["instruction", "input"], answer).alias("output"))
 
 
 def digests(output: DataFrame) -> DataFrame:
