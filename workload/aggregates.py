@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellhour.functions import clean
 from cellhour.model import DAILY_STATISTIC
-from cellhour.operators import grid, profile
+from cellhour.operators import grid, periods, profile
 from cellhour.sources import fields, points
 
 from .adapters import DENSE, JANUARY, V_FIELD, V_POINTS, V_STRIKES, V_TABLE, Tables
@@ -49,6 +49,38 @@ def hot_cell_statistics(t: Tables) -> DataFrame:
     return grid.event_statistics(labelled, hot_rows=1000)
 
 
+def period_sql(unit: str, times: str, days: str) -> str:
+    """Dense statistics of a period, from the events themselves."""
+    return f"""WITH a AS (SELECT floor(lat / 0.5e0) * 0.5e0 + 0.25e0 AS lat, floor(lon / 0.5e0) * 0.5e0 + 0.25e0 AS lon,
+       date_trunc('{unit}', "timestamp") AS "time", count(*) AS flash_count, avg(peak_current_ka) AS mean_peak_current_ka,
+       avg(CASE WHEN polarity = 'positive' THEN 1e0 ELSE 0e0 END) AS positive_share,
+       quantile_cont(abs(peak_current_ka), 0.5) AS median_abs_peak_current_ka, max(abs(peak_current_ka)) AS max_abs_peak_current_ka,
+       quantile_cont(abs(peak_current_ka), 0.95) AS p95_abs_peak_current_ka FROM v_strikes GROUP BY 1, 2, 3),
+       h AS (SELECT -7.75e0 + i / 2e0 AS lat, 106.25e0 + j / 2e0 AS lon, "time", 55.287e0 * 55.66e0 * cos(radians(-7.75e0 + i / 2e0)) AS area_km2
+       FROM range(5) x(i), range(6) y(j), (SELECT {times} AS "time") z)
+       SELECT h.lat, h.lon, h."time", date_trunc('month', h."time") AS "month", h.area_km2, {days} AS period_days,
+       c.observed_days, c.coverage, coalesce(a.flash_count, 0) AS flash_count,
+       coalesce(a.flash_count, 0) / h.area_km2 / {days} AS gfd_per_km2_per_day, mean_peak_current_ka, positive_share,
+       median_abs_peak_current_ka, max_abs_peak_current_ka, p95_abs_peak_current_ka
+       FROM h LEFT JOIN a ON h.lat = a.lat AND h.lon = a.lon AND h."time" = CAST(a."time" AS TIMESTAMP), v_coverage c"""
+
+
+PERIOD_COLUMNS = ("lat:d lon:d time:t month:t area_km2:d period_days:d observed_days:l coverage:d gfd_per_km2_per_day:d "
+                  + STATISTICS)
+
+
+@query("A1d_cell_day", PERIOD_COLUMNS,
+       period_sql("day", "unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY))", "1e0"), DENSE)
+def cell_day(t: Tables) -> DataFrame:
+    return periods.tables(t.strikes, JANUARY, ["day"])["day"]
+
+
+@query("A1e_cell_month", PERIOD_COLUMNS, period_sql("month", "TIMESTAMP '2024-01-01'", "nullif(c.observed_days * 1e0, 0)"), DENSE)
+def cell_month(t: Tables) -> DataFrame:
+    """Months hold many different peaks: with this limit their percentiles come from sliced totals."""
+    return periods.tables(t.strikes, JANUARY, ["month"], hot_values=20)["month"]
+
+
 @query("A2_observed_months", "month:t observed_days:l days_in_month:l coverage:d",
        """SELECT m AS "month", count(DISTINCT CAST(ts AS DATE)) AS observed_days, day(last_day(m)) AS days_in_month,
        count(DISTINCT CAST(ts AS DATE)) / CAST(day(last_day(m)) AS DOUBLE) AS coverage
