@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellhour.model import FIELD_REQUESTED, Domain
 from cellhour.operators import evaluate
 from cellhour.session import scratch
-from cellhour.sources import events, fields, points, records
+from cellhour.sources import events, fields, manifest, points, records
 from cellhour.sources import table as tables
 
 from .adapters import V_FIELD, V_POINTS, V_SCORED, V_STRIKES, V_TABLE, Tables
@@ -224,6 +224,97 @@ def inventory_reconcile(t: Tables) -> DataFrame:
     return points.reconcile(points.expected_files(t.spark, INVENTORY), found)
 
 
+ACQUIRED = Domain("tropis", -8.0, -5.5, 106.0, 109.0, "2023-07", "2025-06")
+COARSE = {"PS": "h", "PRECTOTCORR": "h", "T2M": "D", "RH2M": "M"}
+
+
+def differences(expected: str, found: str) -> str:
+    return f"""SELECT name, 'missing' AS status FROM {expected} WHERE name NOT IN (SELECT name FROM {found})
+       UNION ALL SELECT DISTINCT name, 'extra' FROM {found} WHERE name NOT IN (SELECT name FROM {expected})"""
+
+
+@query("S14b_strike_manifest", "name:s status:s", differences("v_expected", "v_found"),
+       ["""v_expected AS (SELECT 'merlin_' || strftime(d, '%Y%m%d') || '_' ||
+       strftime(least(d + 29, DATE '2025-06-30'), '%Y%m%d') || '.csv' AS name
+       FROM (SELECT DATE '2023-07-01' + CAST(30 * k AS INT) AS d FROM range(25) r(k)) w)""",
+        """v_found AS (SELECT 'merlin_' || strftime(d, '%Y%m%d') || '_' || strftime(d + CASE WHEN user_id % 10 = 3
+       THEN 14 ELSE 29 END, '%Y%m%d') || '.csv' AS name
+       FROM (SELECT user_id, DATE '2023-07-01' + CAST(30 * (event_id % 20) AS INT) AS d FROM events) e)"""])
+def strike_manifest(t: Tables) -> DataFrame:
+    """The event archive in windows of 30 days, the last one shorter; some found files stop half way."""
+    first = F.date_add(F.lit("2023-07-01").cast("date"), (30 * (F.col("event_id") % 20)).cast("int"))
+    last = F.date_add(first, F.when(F.col("user_id") % 10 == 3, 14).otherwise(29))
+    found = t.events.select(F.concat(F.lit("merlin_"), manifest.compact(first), F.lit("_"),
+                                     manifest.compact(last), F.lit(".csv")).alias("name"))
+    return points.reconcile(manifest.strike_manifest(t.spark, ACQUIRED), found)
+
+
+@query("S14c_point_manifest", "name:s status:s", differences("v_expected", "v_found"),
+       [V_POINTS,
+        """v_tagged AS (SELECT parameter, lon, 'm' || lpad(CAST(CAST(floor(-lat) AS INT) AS VARCHAR), 3, '0') || 'p' ||
+        CASE WHEN -lat > floor(-lat) THEN '500' ELSE '000' END || '_p' || CAST(CAST(floor(lon) AS INT) AS VARCHAR) || 'p' ||
+        lpad(CAST(CAST(round((lon - floor(lon)) * 1000) AS INT) AS VARCHAR), 3, '0') AS place,
+        CAST(2023 + event_id % 2 AS VARCHAR) AS y FROM v_points)""",
+        """v_expected AS (SELECT 'power_tropis_hourly_m' || lpad(CAST(i // 2 AS VARCHAR), 3, '0') || 'p' ||
+        CASE WHEN i % 2 = 1 THEN '500' ELSE '000' END || '_p' || CAST(j * 625 // 1000 AS VARCHAR) || 'p' ||
+        lpad(CAST(j * 625 % 1000 AS VARCHAR), 3, '0') || '_' || y || '0101_' || y || '1231.json' AS name
+        FROM range(11, 17) a(i), range(170, 175) b(j), range(2023, 2026) c(y)
+        UNION ALL SELECT 'power_tropis_T2M_daily_' || y || '0101_' || y || '1231.json' FROM range(2023, 2026) c(y)
+        UNION ALL SELECT 'power_tropis_RH2M_monthly_2023_2025.json')""",
+        """v_found AS (SELECT DISTINCT CASE parameter WHEN 'T2M' THEN 'power_tropis_T2M_daily_' || y || '0101_' || y || '1231.json'
+        WHEN 'RH2M' THEN 'power_tropis_RH2M_monthly_' || y || '_2025.json'
+        ELSE 'power_tropis_hourly_' || place || '_' || y || '0101_' || y || '1231.json' END AS name
+        FROM v_tagged WHERE lon > 107)"""])
+def point_manifest(t: Tables) -> DataFrame:
+    """Hourly parameters by point and year, daily ones by year, monthly ones in one file."""
+    year = (2023 + F.col("event_id") % 2).cast("string")
+    days = F.concat(F.lit("_"), year, F.lit("0101_"), year, F.lit("1231.json"))
+    place = F.concat(points.coordinate_tag(F.col("lat")), F.lit("_"), points.coordinate_tag(F.col("lon")))
+    name = (F.when(F.col("parameter") == "T2M", F.concat(F.lit("power_tropis_T2M_daily"), days))
+            .when(F.col("parameter") == "RH2M", F.concat(F.lit("power_tropis_RH2M_monthly_"), year, F.lit("_2025.json")))
+            .otherwise(F.concat(F.lit("power_tropis_hourly_"), place, days)))
+    found = t.points.filter("lon > 107").select(name.alias("name"))
+    return points.reconcile(manifest.point_manifest(t.spark, ACQUIRED, COARSE), found)
+
+
+@query("S14d_field_manifest", "name:s status:s", differences("v_expected", "v_found"),
+       ["""v_expected AS (SELECT 'era5_tropis_hourly_' || strftime(m, '%Y%m') || tag || '.nc' AS name
+       FROM (SELECT DATE '1995-01-01' + to_months(CAST(k AS INT)) AS m FROM range(84) r(k)) w,
+       (VALUES (''), ('_tier_1'), ('_cin')) v(tag))""",
+        """v_found AS (SELECT 'era5_tropis_hourly_' || strftime(o_orderdate, '%Y%m') || CASE o_orderstatus
+       WHEN 'F' THEN '_tier_1' WHEN 'O' THEN '.part' ELSE '' END || '.nc' AS name FROM orders)"""])
+def field_manifest(t: Tables) -> DataFrame:
+    """A main file and two supplements a month, against names of three kinds."""
+    suffix = F.when(F.col("o_orderstatus") == "F", "_tier_1").when(F.col("o_orderstatus") == "O", ".part").otherwise("")
+    month = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyyMM")
+    found = t.read("orders").select(
+        F.concat(F.lit("era5_tropis_hourly_"), month, suffix, F.lit(".nc")).alias("name"))
+    years = Domain("tropis", -8.0, -5.5, 106.0, 109.0, "1995-01", "2001-12")
+    return points.reconcile(manifest.field_manifest(t.spark, years, ["tier_1", "cin"]), found)
+
+
+@query("S14e_point_gaps", "lat:d lon:d first:t last:t n_days:l",
+       """SELECT lat, lon, min(d) AS "first", max(d) AS "last", count(*) AS n_days
+       FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY lat, lon ORDER BY d) AS INT) AS island FROM v_open) o
+       GROUP BY lat, lon, island""",
+       ["""v_windows AS (SELECT -8e0 + (user_id % 6) / 2e0 AS lat, 106.25e0 + (event_id % 4) * 0.625e0 AS lon,
+       DATE '2023-06-20' + CAST(15 * (event_id // 20 % 50) AS INT) AS a,
+       CAST(event_id % 12 + CASE WHEN user_id % 6 = 2 THEN 20 ELSE 0 END AS INT) AS more FROM events)""",
+        """v_days AS (SELECT -8e0 + i / 2e0 AS lat, 106.25e0 + j * 0.625e0 AS lon, DATE '2023-07-01' + CAST(k AS INT) AS d
+       FROM range(6) x(i), range(5) y(j), range(731) z(k))""",
+        """v_open AS (SELECT * FROM v_days s WHERE NOT EXISTS (SELECT 1 FROM v_windows w
+       WHERE w.lat = s.lat AND w.lon = s.lon AND s.d BETWEEN w.a AND w.a + w.more))"""])
+def point_gaps(t: Tables) -> DataFrame:
+    """Days of native points that no file covers: files overlap, cross years and stick out; a fifth of the points have none."""
+    first = F.date_add(F.lit("2023-06-20").cast("date"), (15 * (F.floor(F.col("event_id") / 20) % 50)).cast("int"))
+    more = (F.col("event_id") % 12 + F.when(F.col("user_id") % 6 == 2, 20).otherwise(0)).cast("int")
+    names = t.events.select(F.concat(F.concat_ws(
+        "_", F.lit("power_tropis_hourly"), points.coordinate_tag(-8.0 + (F.col("user_id") % 6) / 2.0),
+        points.coordinate_tag(106.25 + (F.col("event_id") % 4) * 0.625), manifest.compact(first),
+        manifest.compact(F.date_add(first, more))), F.lit(".json")).alias("name"))
+    return manifest.point_gaps(t.spark, ACQUIRED, names)
+
+
 FOUND = ["cape", "cbh", "cin", "event_id", "expver", "file", "kx", "number", "oddity", "tciw", "tclw"]
 
 
