@@ -8,8 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 SPAN = 2 ** 31 - 1
 BUCKET_ROWS = 100_000
+HELD_ROWS = 100_000
+CUTS = 32
+SAMPLE_PER_CUT = 20
+MOST_TURNS = 100
 
 
 def draw_number(seed: int | Column, *key: Column) -> Column:
@@ -18,22 +24,70 @@ def draw_number(seed: int | Column, *key: Column) -> Column:
     return F.pmod(F.xxhash64(seed, *key), F.lit(SPAN))
 
 
-def allocate(sizes: DataFrame, keys: Sequence[str], n: int, size: str = "size") -> DataFrame:
+def kth_row(rows: DataFrame, names: Sequence[str], k: int, held_rows: int = HELD_ROWS) -> tuple:
+    """The values of the k-th row (from 1) in ascending order of `names`, nulls first.
+
+    No row is shuffled while more than `held_rows` can still be it: a small
+    sample cuts the rows, one pass counts those up to each cut, and the search
+    goes on between the two cuts around k. The sample only decides where the
+    cuts lie. `names` must tell rows apart.
+    """
+    inside, here, turn = rows.select(*names), rows.count(), 0
+    if not 1 <= k <= here:
+        raise ValueError(f"no row {k} among {here}")
+    while here > held_rows:
+        turn += 1
+        if turn > MOST_TURNS:
+            raise ValueError(f"{list(names)} do not tell rows apart")
+        share = min(1.0, CUTS * SAMPLE_PER_CUT / here)
+        seen = [tuple(r) for r in inside.sample(fraction=share, seed=turn).orderBy(*names).collect()]
+        cuts = [seen[i * len(seen) // CUTS] for i in range(CUTS)] if seen else [tuple(inside.first())]
+        cuts = list(dict.fromkeys(cuts))
+        counts = inside.agg(*[F.count_if(up_to(inside, names, c)) for c in cuts]).first()
+        low = max((i for i, n in enumerate(counts) if n < k), default=None)
+        high = min((i for i, n in enumerate(counts) if n >= k), default=None)
+        before = counts[low] if low is not None else 0
+        bounds = F.lit(True)
+        if low is not None:
+            bounds = ~up_to(inside, names, cuts[low])
+        if high is not None:
+            bounds = bounds & up_to(inside, names, cuts[high])
+        inside, here, k = inside.filter(bounds), (counts[high] if high is not None else here) - before, k - before
+    held = inside.orderBy(*names).limit(k)
+    return tuple(held.agg(F.max(F.struct(*names)).alias("row")).first()["row"])
+
+
+def up_to(rows: DataFrame, names: Sequence[str], values: tuple) -> Column:
+    """Rows that come no later than the given one."""
+    types = [rows.schema[n].dataType for n in names]
+    return F.struct(*names) <= F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(names, values, types)])
+
+
+def allocate(sizes: DataFrame, keys: Sequence[str], n: int, size: str = "size",
+             held_rows: int = HELD_ROWS) -> DataFrame:
     """Share n rows over strata by largest remainder; adds `take`.
 
-    `sizes` has one row per stratum. Equal remainders go by stratum key, so
-    the result is the same on every run.
+    `sizes` has one row per stratum; it is read several times, so it is written
+    once. Equal remainders go by stratum key, so the result is the same on
+    every run. The last stratum to get a row for its remainder is found by
+    counts; the strata themselves stay where they are.
     """
-    # One row per stratum: strata are cells by months, not data rows.
-    whole = Window.partitionBy()
-    exact = sizes.withColumn("exact", F.col(size) / F.sum(size).over(whole) * n)
-    exact = exact.withColumn("floor", F.floor("exact")).withColumns({
-        "fraction": F.col("exact") - F.col("floor"),
-        "left": F.lit(n) - F.sum("floor").over(whole)})
-    order = Window.orderBy(F.desc("fraction"), *[F.asc(k) for k in keys])
-    given = exact.withColumn("place", F.row_number().over(order))
-    take = F.col("floor") + (F.col("place") <= F.col("left")).cast("bigint")
-    return given.select(*keys, F.col(size), F.least(take, F.col(size)).alias("take"))
+    keys = list(keys)
+    sizes = materialise(sizes.select(*keys, F.col(size)))
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    exact = F.col(size) / F.lit(total) * n
+    # Floor less value: ascending, the largest remainder comes first.
+    shares = sizes.withColumns({"floor": F.floor(exact), "lacks": F.floor(exact) - exact})
+    left = n - (shares.agg(F.sum("floor")).first()[0] or 0)
+    order = ["lacks", *keys]
+    if left <= 0 or total == 0:
+        more = F.lit(False)
+    elif left >= shares.count():
+        more = F.lit(True)
+    else:
+        more = up_to(shares, order, kth_row(shares, order, left, held_rows))
+    take = F.col("floor") + more.cast("bigint")
+    return shares.select(*keys, F.col(size), F.least(take, F.col(size)).alias("take"))
 
 
 def stratified_draw(df: DataFrame, strata: Sequence[str], n: int, number: Column,

@@ -100,6 +100,29 @@ def test_allocation_sums_to_n(spark, sizes, n):
     assert all(r["take"] <= r["size"] for r in rows)
 
 
+@pytest.mark.parametrize("held", [1, 7, 10_000])
+def test_allocation_by_counts(spark, held):
+    rng = np.random.default_rng(5)
+    named = [(None if i == 40 else f"k{i % 9}", i // 9, int(v)) for i, v in enumerate(rng.integers(1, 5, 180))]
+    table = spark.createDataFrame(named, "a STRING, b INT, size BIGINT").repartition(5)
+    total, n = sum(s for *_, s in named), 101
+    share = {(a, b): s / total * n for a, b, s in named}
+    order = sorted(share, key=lambda k: (np.floor(share[k]) - share[k], k[0] is not None, k[0] or "", k[1]))
+    left = n - sum(int(v) for v in share.values())
+    expected = {k: int(share[k]) + (i < left) for i, k in enumerate(order)}
+    rows = draws.allocate(table, ["a", "b"], n, held_rows=held)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert {(r["a"], r["b"]): r["take"] for r in rows.collect()} == expected
+
+
+def test_allocation_of_nothing(spark):
+    none = spark.createDataFrame([], "a STRING, size BIGINT")
+    assert draws.allocate(none, ["a"], 5).isEmpty()
+    with pytest.raises(ValueError):
+        draws.kth_row(none, ["a"], 1)
+
+
 def test_draws_do_not_depend_on_layout(df):
     number = draws.draw_number(7, F.col("id"))
     one = draws.stratified_draw(df, ["g"], 500, number, ["id"], bucket_rows=40)
