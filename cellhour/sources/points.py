@@ -19,8 +19,16 @@ DOCUMENT = (f"STRUCT<type: STRING, features: ARRAY<{FEATURE}>, "
             + FEATURE.removeprefix("STRUCT<"))
 
 
-def read_documents(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.json") -> DataFrame:
-    """One row per file: path and whole text."""
+def read_documents(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.json",
+                   lines: bool = False) -> DataFrame:
+    """One row per file: path and whole text. With `lines` one row per line that is not blank, told apart by its digest.
+
+    Files of lines hold any number of documents and are split between tasks.
+    """
+    if lines:
+        kept = spark.read.option("pathGlobFilter", pattern).text(path).filter(F.trim("value") != "")
+        return kept.select(F.concat_ws("#", F.col("_metadata.file_path"), F.sha2("value", 256)).alias("file"),
+                           F.col("value").alias("text"))
     return (spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
             .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
@@ -56,8 +64,9 @@ def file_problems(documents: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select("file", problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
-def read_points(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.json") -> DataFrame:
-    documents = read_documents(spark, path, pattern)
+def read_points(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.json",
+                lines: bool = False) -> DataFrame:
+    documents = read_documents(spark, path, pattern, lines)
     rows = explode_series(documents)
     bad = file_problems(documents, rows).limit(5).collect()
     if bad:

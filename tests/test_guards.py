@@ -144,3 +144,13 @@ def test_stored_sets_are_checked(spark, tmp_path):
     bad = spark.createDataFrame([("shared", None, "count", 1, "lat")], screen.SET_SCHEMA)
     with pytest.raises(model.ContractError):
         screen.write_sets(bad, str(tmp_path / "sets"))
+
+
+def test_lines_are_documents_of_their_own(spark, tmp_path):
+    feature = '{"type": "Feature", "geometry": {"coordinates": [106.25, %s]}, "properties": {"parameter": {"T2M": {"%s": 1.0}}}}'
+    (tmp_path / "a.json").write_text("\n".join([feature % (lat, "2024010100") for lat in (-8.0, -7.5)] + ["", feature % (-7.0, "2024010101")]))
+    rows = points.read_points(spark, str(tmp_path), lines=True).collect()
+    assert sorted(r["lat"] for r in rows) == [-8.0, -7.5, -7.0]
+    (tmp_path / "b.json").write_text(feature % (-8.0, "2024010100") + "\n{}")
+    with pytest.raises(ValueError, match="no dated values"):
+        points.read_points(spark, str(tmp_path), lines=True)
