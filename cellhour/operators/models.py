@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.moments import Moments, moments
 
+START_ROWS = 50_000
+
 
 @dataclass(frozen=True)
 class Linear:
@@ -103,51 +106,71 @@ class _Ascent:
 
 
 def logistic_fits(train: DataFrame, subsets: Sequence[Sequence[str]], target: str, c: float = 1.0,
-                  tolerance: float = 1e-9, max_steps: int = 60) -> list[Linear]:
+                  tolerance: float = 1e-9, max_steps: int = 60, start_rows: int = START_ROWS) -> list[Linear]:
     """One logistic fit for each set of features, over the rows where all features have a value.
 
     All fits take their Newton steps together: a step is one pass, in which every task adds up loss, gradient and
     Hessian of every fit as matrix products of its batches. So the number of jobs depends on the steps, some ten, and
     not on the number of fits; what a task hands on depends on the features only.
+
+    Above some `start_rows` rows the steps set out from the fits of a sample of about so many, whose penalty is as strong
+    beside the loss of a row. It only saves steps: the fits end where all rows put them.
     """
     names = list(dict.fromkeys(n for s in subsets for n in s))
     rows = train.select(*[F.col(n).cast("double").alias(n) for n in names], F.col(target).cast("double").alias("_target")).na.drop()
-    fits = [_Ascent([*(names.index(n) for n in s), len(names)], np.zeros(len(s) + 1), np.zeros(len(s) + 1)) for s in subsets]
+    at = [[*(names.index(n) for n in s), len(names)] for s in subsets]
+    start, total = [np.zeros(len(places)) for places in at], rows.count()
+    if total > 4 * start_rows:
+        share = start_rows / total
+        sample = rows.sample(fraction=share, seed=len(names)).persist()
+        if sample.count():
+            start = [f.best for f in _ascend(sample, at, start, c * total / sample.count(), 1e-3, max_steps)]
+        sample.unpersist()
+    fits = _ascend(rows, at, start, c, tolerance, max_steps)
+    return [Linear(list(s), f.best[:-1].tolist(), float(f.best[-1]), "logit") for s, f in zip(subsets, fits)]
+
+
+def _ascend(rows: DataFrame, places: Sequence[list[int]], start: Sequence[np.ndarray], c: float,
+            tolerance: float, max_steps: int) -> list[_Ascent]:
+    """The fits after their Newton steps from `start`; the target is the last column of `rows`."""
+    width = len(rows.columns)
+    fits = [_Ascent(at, point, np.zeros(len(at))) for at, point in zip(places, start)]
+    first, second = np.triu_indices(width)
     for _ in range(max_steps):
         live = [f for f in fits if not f.done]
         if not live:
             break
-        points = [(f.at, f.tried) for f in live]
+        points = np.zeros((len(live), width))
+        for i, f in enumerate(live):
+            points[i, f.at] = f.tried
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = [np.zeros((len(at) + 1, len(at))) for at, _ in points]
-            loss = np.zeros(len(points))
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, slopes, bends = np.zeros(len(points)), np.zeros((len(points), width)), np.zeros((len(points), len(first)))
             n = 0
             for batch in batches:
-                y = batch.pop("_target").to_numpy(dtype=float)
-                x = np.column_stack([batch.to_numpy(dtype=float), np.ones(len(y))])
+                columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+                y = columns[-1]
+                x = np.vstack([*columns[:-1], np.ones(len(y))])
                 n += len(y)
-                for i, (at, weights) in enumerate(points):
-                    part = x[:, at]
-                    z = part @ weights
-                    p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
-                    loss[i] += float((np.logaddexp(0.0, z) - y * z).sum())
-                    total[i][0] += part.T @ (p - y)
-                    total[i][1:] += part.T @ (part * (p * (1 - p))[:, None])
-            flat = np.concatenate([[n], loss, *[t.ravel() for t in total]])
-            yield pd.DataFrame({"at": np.arange(len(flat)), "v": flat})
-
-        found = rows.mapInPandas(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+                z = points @ x
+                small = np.exp(-np.abs(z))  # at most 1, so nothing overflows
+                loss += np.maximum(z, 0.0).sum(axis=1) + np.log1p(small).sum(axis=1) - z @ y
+                p = np.where(z >= 0, 1.0, small) / (1.0 + small)
+                slopes += (p - y) @ x.T
+                bends += (small / (1.0 + small) ** 2) @ (x[first] * x[second]).T
+            flat = np.concatenate([[n], loss, slopes.ravel(), bends.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "v"])
+
+        found = rows.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
         flat = found.sort_values("at")["v"].to_numpy()
         if not len(flat) or flat[0] == 0:
             raise ValueError("no complete rows to fit on")
-        place = 1 + len(live)
+        losses, slopes, bends = np.split(flat[1:], np.cumsum([len(live), len(live) * width]))
         for i, f in enumerate(live):
-            k = len(f.at)
-            block = flat[place:place + (k + 1) * k].reshape(k + 1, k)
-            place += (k + 1) * k
-            f.take(float(flat[1 + i]), block[0], block[1:], c, tolerance)
-    return [Linear(list(s), f.best[:-1].tolist(), float(f.best[-1]), "logit") for s, f in zip(subsets, fits)]
+            hessian = np.zeros((width, width))
+            hessian[first, second] = hessian[second, first] = bends.reshape(len(live), -1)[i]
+            f.take(float(losses[i]), slopes.reshape(len(live), -1)[i, f.at], hessian[np.ix_(f.at, f.at)], c, tolerance)
+    return fits
 
 
 def standardiser(train: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -160,6 +183,31 @@ def standardised(rows: DataFrame, scale: dict[str, tuple[float, float]]) -> Data
     return rows.withColumns({n: (F.col(n) - F.lit(m)) / F.lit(s) for n, (m, s) in scale.items()})
 
 
+def scores(rows: DataFrame, fits: Sequence[Linear], label: str) -> DataFrame:
+    """label, fit (its number) and score of every row by every logistic fit; null where a feature is."""
+    names = list(dict.fromkeys(n for f in fits for n in f.names))
+    terms = [(float(f.intercept), [(names.index(n), float(w)) for n, w in zip(f.names, f.weights)]) for f in fits]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+            gone = [batch.column(i).is_null().to_numpy(zero_copy_only=False) for i in range(len(names))]
+            for i, (intercept, weights) in enumerate(terms):
+                z = np.full(batch.num_rows, intercept)  # summed in order, so that equal rows score alike
+                absent = np.zeros(batch.num_rows, dtype=bool)
+                for at, w in weights:
+                    z = z + columns[at] * w
+                    absent |= gone[at]
+                with np.errstate(over="ignore"):
+                    score = 1.0 / (1.0 + np.exp(-z))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(len(names)), pa.array(np.full(batch.num_rows, i, dtype=np.int32)), pa.array(score, mask=absent)],
+                    names=[label, "fit", "score"])
+
+    return rows.select(*[F.col(n).cast("double").alias(n) for n in names], label).mapInArrow(
+        run, f"{label} int, fit int, score double")
+
+
 def bounded(score: Column, stage: str) -> Column:
     """Occurrence scores are kept within 0..1; counts stay on the model's scale."""
     return F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)) if stage == "occurrence" else score

@@ -73,10 +73,8 @@ def occurrence_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Seque
     rows = materialise(models.standardised(train, scale).select(
         *names, (F.col(TARGET) > 0).cast("int").alias("flashed")))
     fits = models.logistic_fits(rows, subsets, "flashed")
-    scored = models.standardised(test, scale).select(
-        (F.col(TARGET) > 0).cast("int").alias("flashed"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("fit"), m.score().alias("score"))
-                            for i, m in enumerate(fits)])).alias("s")).select("flashed", "s.*")
+    scored = models.scores(models.standardised(test, scale).select(
+        *names, (F.col(TARGET) > 0).cast("int").alias("flashed")), fits, "flashed")
     curve = evaluate.ranking_curve(scored, "flashed", "score", ["fit"])
     found = {r["fit"]: (r["average_precision"], r["roc_auc"])
              for r in evaluate.ranking_scores(curve, ["fit"]).collect()}

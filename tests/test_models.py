@@ -195,3 +195,22 @@ def test_moments_far_from_zero(spark, monkeypatch, most):
     exact = np.cov((x - [1e9, -1e9, 0]).T, bias=True)
     assert np.allclose(found.cov, exact, rtol=1e-6, atol=1e-7) and np.allclose(found.mean, x.mean(0), rtol=1e-12)
     assert module.moments(df.limit(0), ["a"]).n == 0
+
+
+def test_a_sampled_start_changes_no_fit(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 3))
+    hit = (x @ [1.0, -2.0, 0.5] + rng.logistic(size=4000) > 0.3).astype(int)
+    rows = spark.createDataFrame([(*map(float, v), int(h)) for v, h in zip(x, hit)], "a DOUBLE, b DOUBLE, c DOUBLE, hit INT")
+    sets = [["a", "b", "c"], ["c", "a"], []]
+    plain, started = models.logistic_fits(rows, sets, "hit"), models.logistic_fits(rows, sets, "hit", start_rows=300)
+    for p, s in zip(plain, started):
+        assert np.allclose([*p.weights, p.intercept], [*s.weights, s.intercept], atol=1e-8)
+    scored = models.scores(rows, started, "hit").groupBy("fit").count().collect()
+    assert {r["fit"]: r["count"] for r in scored} == {0: 4000, 1: 4000, 2: 4000}
+
+
+def test_contingency_counts_every_cell(spark):
+    rows = spark.createDataFrame([("p", 1.0, 0), ("p", 3.0, 1), (None, 3.0, None), ("p", None, 1), ("p", 2.0, 1)], "g STRING, x DOUBLE, y INT")
+    got = {(r["g"], r["bin"], r["label"]): r["n"] for r in selection.contingency(rows, {"x": [1.0, 2.0]}, F.col("y"), ["g"]).collect()}
+    assert got == {("p", 0, 0): 1, ("p", 2, 1): 1, (None, 2, None): 1, ("p", None, 1): 1, ("p", 1, 1): 1}
