@@ -10,14 +10,17 @@ columns have a single slice and need no sample.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .narrowing import order_statistics
+from .moments import Moments
+from .narrowing import Between, order_statistics
 
 SLICE_ROWS = 250_000
 MAX_SLICES = 4096
@@ -183,6 +186,110 @@ def average_ranks(df: DataFrame, columns: Sequence[str], slice_rows: int = SLICE
                          (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
+@dataclass(frozen=True)
+class Counted:
+    """Sorted values of each column that has few of them, and how many rows hold each; `many` names the other columns."""
+
+    values: dict[str, np.ndarray]
+    counts: dict[str, np.ndarray]
+    many: list[str]
+    rows: int
+
+    def ranks(self, column: str) -> np.ndarray:
+        """The average rank of each value."""
+        n = self.counts[column]
+        return np.cumsum(n) - (n - 1) / 2
+
+    def quantiles(self, column: str, probs: Sequence[float]) -> list[float | None]:
+        """Exact quantiles, as `quantiles` finds them; NaN is no value."""
+        known = ~np.isnan(self.values[column])
+        values, upto = self.values[column][known], np.cumsum(self.counts[column][known])
+        if not len(values):
+            return [None] * len(probs)
+        at = lambda rank: float(values[np.searchsorted(upto, rank, side="right")])
+        places = [p * (int(upto[-1]) - 1) for p in probs]
+        return [Between(at(math.floor(x)), at(math.ceil(x)), x - math.floor(x)).value for x in places]
+
+
+def counted_values(df: DataFrame, columns: Sequence[str], broadcast_values: int = BROADCAST_VALUES) -> Counted:
+    """Values and counts of the columns with few distinct ones: at most `broadcast_values` of them all together, estimated first."""
+    sizes = df.agg(F.count(F.lit(1)).alias("n"),
+                   *[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c))).alias(c) for c in columns]).first()
+    few, room = [], broadcast_values
+    for c in sorted(columns, key=lambda c: sizes[c]):
+        if sizes[c] <= room:
+            few.append(c)
+            room -= sizes[c]
+    values, counts = {}, {}
+    if few:
+        found = _numbered_counts(df.select(*few), few, {}).select("column", "value", "n").toArrow()
+        column, value, n = (found.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((value, column))
+        ends = np.searchsorted(column[order], np.arange(len(few) + 1))
+        for i, c in enumerate(few):
+            at = order[ends[i]:ends[i + 1]]
+            values[c], counts[c] = value[at], n[at]
+    return Counted(values, counts, [c for c in columns if c not in few], sizes["n"])
+
+
+def _with_joined_ranks(rows: DataFrame, df: DataFrame, column: str, total: int, slice_rows: int) -> DataFrame:
+    """The column's values replaced by their average ranks in `df`: very frequent ones by broadcast, the others by one join."""
+    ranks = average_ranks(df.select(column), [column], slice_rows, total)
+    hot_rows = max(slice_rows, total // 1000)
+    hot = ranks.filter(F.col("n") > hot_rows).select(F.col("value").alias("_value"), F.col("rank").alias("_hot"))
+    rest = ranks.filter(F.col("n") <= hot_rows).select(
+        F.col("value").alias("_value"), F.lit(0).alias("_salt"), F.col("rank").alias("_rank"))
+    # Rows that have their rank already meet no partner; the salt deals them over all tasks.
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(997))).cast("int")
+    known = (rows.join(F.broadcast(hot), F.col(column) == F.col("_value"), "left").drop("_value")
+             .withColumn("_dealt", spread))
+    return (known.join(rest, (F.col(column) == F.col("_value")) & (F.col("_dealt") == F.col("_salt")), "left")
+            .select(*[c for c in rows.columns if c != column], F.coalesce("_hot", "_rank").alias(column)))
+
+
+def rank_moments(df: DataFrame, columns: Sequence[str], counted: Counted | None = None,
+                 broadcast_values: int = BROADCAST_VALUES, slice_rows: int = SLICE_ROWS) -> Moments:
+    """Moments of the average ranks over the rows where every column has a value; ranks are those in the whole column.
+
+    Ranks of columns with few distinct values are looked up in each batch; every
+    other column costs one join by its value. Rows need no key.
+    """
+    names = list(dict.fromkeys(columns))
+    counted = counted or counted_values(df, names, broadcast_values)
+    many = [c for c in names if c in counted.many]
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    rows = numbers.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in names))
+    for c in many:
+        rows = _with_joined_ranks(rows, numbers, c, counted.rows, slice_rows)
+    known = {c: (counted.values[c], counted.ranks(c)) for c in names if c not in many}
+    k, origin = len(names), (counted.rows + 1) / 2
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            x = np.ones((k + 1, batch.num_rows))
+            for i, c in enumerate(names):
+                found = batch.column(i).to_numpy(zero_copy_only=False)
+                if c in known:
+                    values, ranks = known[c]
+                    found = ranks[np.searchsorted(values, found)]
+                x[i + 1] = found - origin
+            total += x @ x.T
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "v"])
+
+    cells = (rows.select(*names).mapInArrow(products, "at bigint, v double")
+             .groupBy("at").agg(F.sum("v").alias("v")).collect())
+    full = np.zeros((k + 1) ** 2)
+    for cell in cells:
+        full[cell["at"]] = cell["v"]
+    full = full.reshape(k + 1, k + 1)
+    n = int(round(full[0, 0]))
+    if n == 0:
+        return Moments(names, 0, np.zeros(k), np.zeros((k, k)))
+    mean = full[0, 1:] / n
+    return Moments(names, n, mean + origin, full[1:, 1:] / n - np.outer(mean, mean))
+
+
 def with_ranks(df: DataFrame, columns: Sequence[str], key: Sequence[str], suffix: str = "__rank",
                broadcast_values: int = BROADCAST_VALUES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every row with the average rank of each named column.

@@ -185,9 +185,7 @@ def rank_correlation(table: DataFrame, names: Sequence[str], key: Sequence[str],
     def correlate(wanted: Sequence[str], apart: Sequence[str]) -> None:
         """Ranks on the common rows; with `apart`, only pairs across the two classes count."""
         listed = [*wanted, *apart]
-        rows = table.select(*key, *[c for c in listed if c not in key]).na.drop(subset=listed)
-        ranked = ordering.with_ranks(rows, listed, key, **limits)
-        m = moments(ranked, [f"{c}__rank" for c in listed])
+        m = ordering.rank_moments(table.select(*listed).na.drop(), listed, **limits)
         corr, sd = m.correlation(), m.sd
         for i, a in enumerate(listed):
             for j in range(i + 1, len(listed)):

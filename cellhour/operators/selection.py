@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordering
 from ..functions.draws import SPAN, draw_number
-from ..functions.moments import Moments, moments
+from ..functions.moments import Moments
 from ..model import REPEAT_SHARE, SEED, SEEDS, TARGET
 
 BINS = 10
 TIE_PLACES = 9  # scores that agree to so many places are equal: their order must not hang on how a sum was added
 
 
-def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
-    """Distinct inner quantiles of each column; a few numbers per column."""
-    found = ordering.quantiles(df, columns, [i / bins for i in range(1, bins)])
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS,
+              counted: ordering.Counted | None = None) -> dict[str, list[float]]:
+    """Distinct inner quantiles of each column; a few numbers per column.
+
+    Columns with few distinct values have them from the counts of those, given
+    or taken here; only the others are narrowed down.
+    """
+    probs = [i / bins for i in range(1, bins)]
+    counted = counted or ordering.counted_values(df, columns)
+    found = ordering.quantiles(df, [c for c in columns if c in counted.many], probs)
+    found |= {c: counted.quantiles(c, probs) for c in columns if c not in counted.many}
+    found = {c: found[c] for c in columns}
     return {c: sorted({e for e in q if e is not None}) for c, q in found.items()}
 
 
@@ -34,11 +44,55 @@ def bin_number(value: Column, edges: Sequence[float]) -> Column:
 
 def contingency(df: DataFrame, edges: dict[str, list[float]], label: Column,
                 by: Sequence[str] = ()) -> DataFrame:
-    """by, feature, bin, label, n: every feature counted against the label in one job."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_number(F.col(c), e).alias("bin"))
-                      for c, e in edges.items()])
-    return (df.select(*by, label.alias("label"), F.explode(cells).alias("cell"))
-            .groupBy(*by, "cell.feature", "cell.bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    """by, feature, bin, label, n: every feature counted against the label in one job.
+
+    A task counts its batches into one table per feature, so what it hands on
+    depends on the bins, labels and groups it met, not on its rows.
+    """
+    names, ends = list(edges), [np.array(e, dtype=float) for e in edges.values()]
+    width, outer = max((len(e) for e in ends), default=0) + 2, [*by, "label"]
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)], *by, label.alias("label"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[tuple, int] = {}
+        counts, fields = np.zeros((len(names), 0, width), dtype=np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fields = [batch.schema.field(len(names) + i) for i in range(len(outer))]
+            coded, parts = np.zeros(batch.num_rows, dtype=np.int64), []
+            for i in range(len(outer)):
+                part = batch.column(len(names) + i).dictionary_encode(null_encoding="encode")
+                parts.append(part.dictionary.to_pylist())
+                coded = coded * len(parts[-1]) + part.indices.to_numpy(zero_copy_only=False)
+            met, group = np.unique(coded, return_inverse=True)
+            place = []
+            for code in met.tolist():
+                found = []
+                for values in reversed(parts):
+                    code, at = divmod(code, len(values))
+                    found.append(values[at])
+                place.append(slots.setdefault(tuple(reversed(found)), len(slots)))
+            counts = np.pad(counts, ((0, 0), (0, len(slots) - counts.shape[1]), (0, 0)))
+            slot = np.array(place)[group] * width
+            for i, e in enumerate(ends):
+                column = batch.column(i)
+                bins = np.searchsorted(e, column.to_numpy(zero_copy_only=False)) + 1
+                if column.null_count:
+                    bins[column.is_null().to_numpy(zero_copy_only=False)] = 0
+                counts[i] += np.bincount(slot + bins, minlength=counts[i].size).reshape(-1, width)
+        if fields:
+            feature, slot, bins = np.nonzero(counts)
+            keys = list(slots)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([keys[s][i] for s in slot], type=f.type) for i, f in enumerate(fields)],
+                 pa.array([names[f] for f in feature], type=pa.string()),
+                 pa.array(bins - 1, mask=bins == 0, type=pa.int32()), pa.array(counts[feature, slot, bins])],
+                names=[*outer, "feature", "bin", "n"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[len(names):])
+    return (rows.mapInArrow(count, f"{schema}, feature string, bin int, n bigint")
+            .groupBy(*by, "feature", "bin", "label").agg(F.sum("n").alias("n"))
             .select(*by, "feature", "bin", "label", "n"))
 
 
@@ -83,11 +137,10 @@ def count_relevance(df: DataFrame, edges: dict[str, list[float]], count_edges: S
     return mi.select(*by, "feature", value.alias("relevance"))
 
 
-def rank_moments(df: DataFrame, features: Sequence[str], key: Sequence[str], **limits: int) -> Moments:
-    """Covariance of the average ranks: everything redundancy needs, from one ranking."""
-    ranked = ordering.with_ranks(df, features, key, **limits)
-    found = moments(ranked, [f"{c}__rank" for c in features])
-    return Moments(list(features), found.n, found.mean, found.cov)
+def rank_moments(df: DataFrame, features: Sequence[str], key: Sequence[str],
+                 counted: ordering.Counted | None = None, **limits: int) -> Moments:
+    """Covariance of the average ranks: everything redundancy needs, from one ranking. The key is not read."""
+    return ordering.rank_moments(df, features, counted, **limits)
 
 
 def rank_r2(ranks: Moments, candidate: str, chosen: Sequence[str]) -> float:
@@ -212,20 +265,23 @@ def stage_statistics(df: DataFrame, features: Sequence[str], stage: str, key: Se
     part of its key, counts for all of them, however many there are.
     """
     rows = df if stage == "occurrence" else df.filter(F.col(TARGET) > 0)
-    edges = bin_edges(rows, features, bins)
+    level = F.log1p(F.col(TARGET).cast("double")).alias("_level")
+    columns = [F.col(f) for f in features] + ([level] if stage != "occurrence" else [])
+    counted = ordering.counted_values(rows.select(*columns), [*features, *(["_level"] if stage != "occurrence" else [])],
+                                      limits.get("broadcast_values", ordering.BROADCAST_VALUES))
+    edges = bin_edges(rows, features, bins, counted)
     masked = rows.withColumn("mask", repetition_mask(seeds, share, key, number))
     if stage == "occurrence":
         label = (F.col(TARGET) > 0).cast("int")
     else:
-        level = rows.select(F.log1p(F.col(TARGET).cast("double")).alias("level"))
-        label = bin_number(F.log1p(F.col(TARGET).cast("double")), bin_edges(level, ["level"], bins)["level"])
+        label = bin_number(F.log1p(F.col(TARGET).cast("double")), bin_edges(rows.select(level), ["_level"], bins, counted)["_level"])
     counts = repeated(contingency(masked, edges, label, ["mask"]), seeds)
     information = (uncertainty_removed(counts, ["seed"]) if stage == "occurrence" else
                    mutual_information(counts, ["seed"]).withColumnRenamed("mi", "relevance"))
     found: dict[int, dict[str, float]] = {s: dict.fromkeys(features, 0.0) for s in range(-1, seeds)}
     for r in information.collect():  # seeds x features
         found[r["seed"]][r["feature"]] = r["relevance"]
-    ranks = rank_moments(rows.select(*key, *[f for f in features if f not in key]), features, key, **limits)
+    ranks = rank_moments(rows, features, key, counted, **limits)
     return StageStatistics(stage, found.pop(-1), found, ranks)
 
 

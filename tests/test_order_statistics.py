@@ -172,3 +172,21 @@ def test_ranking_scores(spark, rows):
         got = evaluate.ranking_scores(evaluate.ranking_curve(df, "y", "p", slice_rows=7)).first()
         assert got["average_precision"] == pytest.approx(brute_average_precision(y, p))
         assert got["roc_auc"] == pytest.approx(sum(pairs) / len(pairs))
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_values": 3, "slice_rows": 200}])
+def test_rank_moments_need_no_key(spark, frame, limits):
+    """Keys that repeat or are missing lose no row; rows without a value are left out, ranks are those of whole columns."""
+    gaps = frame.assign(x=frame["x"].where(frame["id"] % 10 != 0))
+    rows = spark.createDataFrame(gaps[["x", "y", "z"]]).withColumn("x", F.nanvl("x", F.lit(None)))
+    found = ordering.rank_moments(rows, ["x", "y", "z"], **limits)
+    ranks = gaps[["x", "y", "z"]].rank().dropna()
+    assert found.n == len(ranks)
+    assert np.allclose(found.mean, ranks.mean()) and np.allclose(found.cov, ranks.cov(ddof=0))
+
+
+def test_counted_values_give_exact_quantiles(spark, frame, df):
+    probs = [i / 10 for i in range(1, 10)]
+    counted = ordering.counted_values(df, ["x", "z"])
+    for c in ("x", "z"):
+        assert counted.quantiles(c, probs) == pytest.approx(list(frame[c].quantile(probs)))
