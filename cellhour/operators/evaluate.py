@@ -111,11 +111,12 @@ def r_squared(scored: DataFrame, observed: str, predicted: str) -> DataFrame:
     return regression(scored, observed, predicted).select("r2", "n")
 
 
-def smearing_factor(validation: DataFrame, observed: str = "observed", predicted: str = "predicted") -> DataFrame:
+def smearing_factor(validation: DataFrame, observed: str = "observed", predicted: str = "predicted",
+                    by: Sequence[str] = ()) -> DataFrame:
     """Mean observed over mean predicted count; 1 where that is not a usable number."""
-    means = validation.agg(F.avg(observed).alias("o"), F.avg(predicted).alias("p"))
+    means = validation.groupBy(*by).agg(F.avg(observed).alias("o"), F.avg(predicted).alias("p"))
     usable = (F.col("p") > 1e-12) & (F.col("o") > 0) & (F.col("p") < F.lit(float("inf")))
-    return means.select(F.when(usable, F.col("o") / F.col("p")).otherwise(1.0).alias("factor"))
+    return means.select(*by, F.when(usable, F.col("o") / F.col("p")).otherwise(1.0).alias("factor"))
 
 
 def window_start(time: Column, hours: Column | int) -> Column:

@@ -39,17 +39,27 @@ def validation_cut(train: DataFrame, share: float = VALIDATION_SHARE) -> float:
     return ordering.quantiles(moment, ["t"], [1.0 - share])["t"][0]
 
 
+def validation_cuts(table: DataFrame, train_years: Sequence[Sequence[int]], share: float = VALIDATION_SHARE) -> list[float | None]:
+    """The cut of every list of training years, from the same passes; None where no training row has a time."""
+    moment = time_micros(F.col("time"))
+    names = [f"t{i}" for i in range(len(train_years))]
+    of = table.select(*[F.when(F.col("year").isin(*years), moment).alias(n) for n, years in zip(names, train_years)])
+    found = ordering.quantiles(of, names, [1.0 - share])
+    return [found[n][0] for n in names]
+
+
 def split(table: DataFrame, train_years: Sequence[int], test_year: int,
-          share: float = VALIDATION_SHARE) -> DataFrame:
+          share: float = VALIDATION_SHARE, cuts: dict[tuple[int, ...], float | None] | None = None) -> DataFrame:
     """Adds `split`: train, validation (the latest part of the training years) or test.
 
     Rows of other years are left out. Filters on `year` and prunes partitions.
+    `cuts` gives the validation cut by training years, where it is known already.
     """
     rows = table.filter(F.col("year").isin(*train_years, test_year))
     train = rows.filter(F.col("year").isin(*train_years))
     if train.isEmpty() or rows.filter(F.col("year") == test_year).isEmpty():
         raise ValueError(f"no rows to train on {list(train_years)} or to test on {test_year}")
-    cut = validation_cut(train, share)
+    cut = validation_cut(train, share) if cuts is None else cuts[tuple(train_years)]
     late = time_micros(F.col("time")) > F.lit(cut)
     label = F.when(F.col("year") == test_year, "test").when(late, "validation").otherwise("train")
     return rows.withColumn("split", label)

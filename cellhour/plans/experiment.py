@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import encode
 from ..model import FOLDS, KEY, SCENARIOS, STAGES, TARGET, WINDOW_HOURS, require
 from ..operators import evaluate, features, models, split
-from ..session import materialise
+from ..session import materialise, scratch
 from ..sources import records
 
 MODELS = ("baseline_trivial", "ridge")
@@ -81,13 +81,14 @@ def _model_rows(rows: DataFrame, scaler: features.RangeScaler, stage: str, setti
 
 def prepare(table: DataFrame, fold: tuple[list[int], int], stage: str, seed: int, settings: Settings,
             key: Sequence[str] = KEY,
-            number: Callable[[int, Sequence[str]], Column] = split.default_number) -> Prepared:
+            number: Callable[[int, Sequence[str]], Column] = split.default_number,
+            cuts: dict[tuple[int, ...], float | None] | None = None) -> Prepared:
     """Encode, guard, split, filter by stage, cap, sample, scale — in that order.
 
     Only training rows are reshaped, and only training rows are fitted on.
     """
     rows, names = encoded(table, settings)
-    labelled = split.split(rows, *fold, share=settings.validation_share)
+    labelled = split.split(rows, *fold, share=settings.validation_share, cuts=cuts)
     part = lambda name: split.stage_rows(labelled.filter(F.col("split") == name), stage)
     draw = number(seed, key)
     validation = split.cap(part("validation"), settings.validation_rows, draw, key)
@@ -127,9 +128,9 @@ def counts_of(scored: DataFrame, fitted: Prepared, factor: float = 1.0) -> DataF
 
 def fit(table: DataFrame, source: str, fold: tuple[list[int], int], fold_name: str, stage: str, seed: int,
         settings: Settings, ladder: Sequence[str] = MODELS, key: Sequence[str] = KEY, **options) -> Fitted:
-    """Every model of the ladder on one prepared frame; smearing comes from validation rows."""
+    """Every model of the ladder on one prepared frame; smearing comes from validation rows, of all models in one pass."""
     prepared = prepare(table, fold, stage, seed, settings, key, **options)
-    fitted, seconds, smearing = {}, {}, {}
+    fitted, seconds = {}, {}
     for name in ladder:
         started = clock.perf_counter()
         if name == "baseline_trivial":
@@ -139,10 +140,12 @@ def fit(table: DataFrame, source: str, fold: tuple[list[int], int], fold_name: s
         else:
             raise ValueError(f"unknown model {name!r}")
         seconds[name] = clock.perf_counter() - started
-        if stage == "count":
-            held = counts_of(models.predict(prepared.validation, fitted[name], stage), prepared)
-            smearing[name] = float(evaluate.smearing_factor(held).first()["factor"])
-    return Fitted(source, fold_name, seed, prepared, fitted, smearing, seconds, prepared.train.count())
+    done = Fitted(source, fold_name, seed, prepared, fitted, {}, seconds, prepared.train.count())
+    if stage != "count":
+        return done
+    held = counts_of(predictions(done, prepared.validation), prepared)
+    found = {r["model"]: float(r["factor"]) for r in evaluate.smearing_factor(held, by=["model"]).collect()}  # one row a model
+    return replace(done, smearing={name: found.get(name, 1.0) for name in ladder})
 
 
 def target_rows(table: DataFrame, fold: tuple[list[int], int], fitted: Fitted,
@@ -236,6 +239,27 @@ def grid_plan(spark: SparkSession, settings: Settings, folds: Sequence[tuple[lis
         "fit", F.sha2(F.concat_ws("\n", "fit", "stage", "source", "seed"), 256))
 
 
+def stored_rows(table: DataFrame, years: Iterable[int], settings: Sequence[Settings], key: Sequence[str] = KEY) -> DataFrame:
+    """The rows of these years, with the columns that fits and scores of these settings read, written once and divided by year.
+
+    Every fit passes over its rows some ten times; so each pass reads a few stored columns of its own
+    years, and the columns of the table are worked out once for all fits.
+    """
+    wanted = ["year", "time", "lat", "lon", "area_km2", "hour_of_day_local", TARGET, *[n for s in settings for n in s.features]]
+    if any(s.train_rows is not None or s.validation_rows is not None for s in settings):
+        wanted += [*key, *split.STRATA]
+    rows = table.select(*[c for c in dict.fromkeys(wanted) if c in table.columns]).filter(F.col("year").isin(*years))
+    path = scratch(table.sparkSession, "rows")
+    rows.write.partitionBy("year").parquet(path)
+    return table.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def fold_cuts(table: DataFrame, folds: Sequence[tuple[list[int], int]], settings: Settings) -> dict[tuple[int, ...], float | None]:
+    """The validation cut of every fold by its training years; stages and seeds share them."""
+    years = list(dict.fromkeys(tuple(train) for train, _ in folds))
+    return dict(zip(years, split.validation_cuts(table, years, settings.validation_share)))
+
+
 def run_grid(tables: dict[str, DataFrame], settings: Settings, path: str,
              folds: Sequence[tuple[list[int], int]] = FOLDS, seeds: Iterable[int] = (0, 1, 2),
              stages: Sequence[str] = STAGES, scenarios: Sequence[tuple[str, str, str]] = SCENARIOS,
@@ -264,8 +288,11 @@ def run_sweep(table: DataFrame, axis: str, values: Sequence, settings: Settings,
               fold: tuple[list[int], int] = FOLDS[2], stage: str = "occurrence", seed: int = 0,
               **options) -> DataFrame:
     """One setting varied, all others held; the value is part of the stored configuration."""
-    for value in values:
-        changed = replace(settings, **{axis: value})
-        fitted = fit(table, "sweep", fold, f"test{fold[1]}", stage, seed, changed, **options)
+    varied = [replace(settings, **{axis: value}) for value in values]
+    if varied and "number" not in options:  # a draw of the caller's own may read any column
+        table = stored_rows(table, {*fold[0], fold[1]}, varied, options.get("key", KEY))
+    cuts = {s: fold_cuts(table, [fold], replace(settings, validation_share=s)) for s in {v.validation_share for v in varied}}
+    for changed in varied:
+        fitted = fit(table, "sweep", fold, f"test{fold[1]}", stage, seed, changed, cuts=cuts[changed.validation_share], **options)
         records.append(score(fitted, fitted.prepared.test, f"sweep_{axis}"), path)
     return records.load(table.sparkSession, path)

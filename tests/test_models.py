@@ -1,5 +1,7 @@
 """Fits, selection and the experiment grid against numpy."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -214,3 +216,39 @@ def test_contingency_counts_every_cell(spark):
     rows = spark.createDataFrame([("p", 1.0, 0), ("p", 3.0, 1), (None, 3.0, None), ("p", None, 1), ("p", 2.0, 1)], "g STRING, x DOUBLE, y INT")
     got = {(r["g"], r["bin"], r["label"]): r["n"] for r in selection.contingency(rows, {"x": [1.0, 2.0]}, F.col("y"), ["g"]).collect()}
     assert got == {("p", 0, 0): 1, ("p", 2, 1): 1, (None, 2, None): 1, ("p", None, 1): 1, ("p", 1, 1): 1}
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    """Two domains of four years, with nulls, every row twice and keys that repeat."""
+    def row(i):
+        year = 1995 + i % 4
+        return ("tropis" if i % 3 else "subtropis", year, dt.datetime(year, 1 + i % 12, 1 + i % 28, i % 24), None if i % 31 == 0 else -7.75 + i % 3, 106.25,
+                3000.0, i % 24, None if i % 17 == 0 else 20.0 + (i * 7) % 11, float((i * i) % 101), None if i % 41 == 0 else max(0, (i * 13) % 10 - 5), i // 2)
+
+    return spark.createDataFrame([row(i) for i in range(800)] * 2, "domain STRING, year INT, time TIMESTAMP_NTZ, lat DOUBLE, lon DOUBLE, "
+                                 "area_km2 DOUBLE, hour_of_day_local INT, T2M DOUBLE, CAPE DOUBLE, flash_count BIGINT, id BIGINT")
+
+
+def watched(monkeypatch):
+    """What is stored, the quantiles looked for, and the fits with their arguments."""
+    from cellhour.functions import ordering
+
+    stored, sought, fitted = [], [], []
+    keep, find, fit = experiment.stored_rows, ordering.quantiles, experiment.fit
+    monkeypatch.setattr(experiment, "stored_rows", lambda *a, **k: stored.append(a) or keep(*a, **k))
+    monkeypatch.setattr(ordering, "quantiles", lambda *a, **k: sought.append(a) or find(*a, **k))
+    monkeypatch.setattr(experiment, "fit", lambda *a, **k: fitted.append((a, fit(*a, **k))) or fitted[-1][1])
+    return stored, sought, fitted, fit
+
+
+ODD = experiment.Settings(features=("T2M", "CAPE"))
+
+
+def test_a_sweep_stores_its_rows_and_finds_their_cut_once(odd_rows, tmp_path, monkeypatch):
+    stored, sought, fitted, _ = watched(monkeypatch)
+    fold = ([1995, 1996, 1997], 1998)
+    swept = experiment.run_sweep(odd_rows, "hour_encoding", ("none", "raw"), ODD, str(tmp_path / "sweep"), fold, key=["id"])
+    assert (len(stored), len(sought), len(fitted), swept.count()) == (1, 1, 2, 4)
+    with pytest.raises(ValueError, match="no rows"):
+        experiment.run_sweep(odd_rows, "hour_encoding", ("raw",), ODD, str(tmp_path / "none"), ([1900], 1901), key=["id"])
