@@ -273,10 +273,18 @@ def run_grid(tables: dict[str, DataFrame], settings: Settings, path: str,
     spark = next(iter(tables.values())).sparkSession
     plan = grid_plan(spark, settings, folds, seeds, stages, scenarios, version)
     missing = plan.join(records.stored_fits(spark, path), "fit", "left_anti").orderBy("stage", "source", "fold", "seed")
-    for run in missing.collect():  # one row per fit, not per data row
+    runs = missing.collect()  # one row per fit, not per data row
+    used = [folds[i] for i in sorted({run["fold"] for run in runs})]
+    needed = sorted({d for run in runs for d in (run["source"], *[target for _, target in run["targets"]])})
+    if "number" not in options:  # a draw of the caller's own may read any column
+        every = {year for years, held in used for year in (*years, held)}
+        tables = {**tables, **{d: stored_rows(tables[d], every, [settings], key) for d in needed}}
+    cuts = {source: fold_cuts(tables[source], used, settings) for source in sorted({run["source"] for run in runs})}
+    for run in runs:
         years, held = folds[run["fold"]]
         fitted = fit(tables[run["source"]], run["source"], folds[run["fold"]],
-                     f"fold{run['fold']}_{years[0]}-{years[-1]}_test{held}", run["stage"], run["seed"], settings, key=key, **options)
+                     f"fold{run['fold']}_{years[0]}-{years[-1]}_test{held}", run["stage"], run["seed"], settings, key=key,
+                     cuts=cuts[run["source"]], **options)
         parts = [score(fitted, fitted.prepared.test if target == run["source"] else
                        target_rows(tables[target], folds[run["fold"]], fitted, key), scenario)
                  for scenario, target in run["targets"]]

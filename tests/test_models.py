@@ -252,3 +252,21 @@ def test_a_sweep_stores_its_rows_and_finds_their_cut_once(odd_rows, tmp_path, mo
     assert (len(stored), len(sought), len(fitted), swept.count()) == (1, 1, 2, 4)
     with pytest.raises(ValueError, match="no rows"):
         experiment.run_sweep(odd_rows, "hour_encoding", ("raw",), ODD, str(tmp_path / "none"), ([1900], 1901), key=["id"])
+
+
+def test_a_grid_stores_each_domain_and_finds_each_cut_once(odd_rows, tmp_path, monkeypatch):
+    from cellhour.operators import split
+
+    stored, sought, fitted, fit = watched(monkeypatch)
+    frames = {d: odd_rows.filter(F.col("domain") == d) for d in ("tropis", "subtropis")}
+    scenarios = [("tropis_in", "tropis", "tropis"), ("tropis_to_sub", "tropis", "subtropis")]
+    rows = experiment.run_grid(frames, ODD, str(tmp_path / "grid"), [([1995, 1996], 1997)], seeds=(0,), scenarios=scenarios, key=["id"]).collect()
+    assert (len(stored), len(sought), len(fitted), len(rows)) == (2, 1, 2, 8)
+    for given, done in fitted:
+        alone = fit(frames["tropis"], *given[1:], key=["id"])
+        assert done.train_rows == alone.train_rows and done.smearing == pytest.approx(alone.smearing)
+        for name, model in alone.models.items():
+            assert [done.models[name].intercept, *done.models[name].weights] == pytest.approx([model.intercept, *model.weights])
+    years = [[1995], [1995, 1996, 1997], [1900]]
+    cuts = [split.validation_cut(odd_rows.filter(F.col("year").isin(*y))) for y in years]
+    assert split.validation_cuts(odd_rows, years) == cuts and cuts[2] is None
