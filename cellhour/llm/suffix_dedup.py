@@ -27,11 +27,13 @@ from pyspark.sql import types as T
 from . import windows
 from .shared import stored
 
-RUNS_PER_SHARD = 16_384
+#: A shard's arrays take some 60 bytes of memory for each byte of its runs, in every Python worker at once.
+RUNS_PER_SHARD = 4_096
 RUNS_PER_KEY = 8_192
 ADDED = ["kept", "n_bytes", "n_removed", "n_spans", "removed"]
 FOUND = "kind int, key long, content long, doc_id long, start long, end long, window binary"
 REMOVED, NEW, ANSWER = range(3)  # kinds of a shard's rows
+PLACE = np.int32  # a place in a shard's bytes
 
 
 def suffix_array(text: np.ndarray, string: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -41,20 +43,23 @@ def suffix_array(text: np.ndarray, string: np.ndarray, ends: np.ndarray) -> np.n
     """
     n, step = len(text), 7
     stop = ends[string]
-    place = np.arange(n)
+    place = np.arange(n, dtype=PLACE)
     first = np.zeros(n, dtype=np.int64)
     for i in range(step):  # the first seven symbols, an end below every byte
-        at = place + i
-        inside = at < stop
-        first = (first << 9) | np.where(inside, text[np.minimum(at, n - 1)].astype(np.int64) + 1, 0)
-    order = np.argsort(first, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    open_at, rank[order] = _regroup(first[order], np.arange(n))
+        at = place + PLACE(i)
+        first <<= 9
+        first |= np.where(at < stop, text[np.minimum(at, PLACE(n - 1))].astype(np.int16) + np.int16(1), np.int16(0))
+    order = np.argsort(first, kind="stable").astype(PLACE)
+    rank = np.empty(n, dtype=PLACE)
+    open_at, rank[order] = _regroup(first[order], place)
+    del first, at
     while len(open_at):
         suffix = order[open_at]
-        ahead = suffix + step
-        second = np.where(ahead < stop[suffix], rank[np.minimum(ahead, n - 1)], -1 - string[suffix])
-        both = rank[suffix] * (2 * n + 2) + second + n + 1
+        ahead = suffix + PLACE(step)
+        both = rank[suffix].astype(np.int64)
+        both *= 2 * n + 2
+        both += np.where(ahead < stop[suffix], rank[np.minimum(ahead, PLACE(n - 1))], -1 - string[suffix])
+        both += n + 1
         sort = np.argsort(both, kind="stable")
         order[open_at] = suffix[sort]
         still, fresh = _regroup(both[sort], open_at)
@@ -79,10 +84,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
     its string. All strings are walked at once, a position at a time.
     """
     n = len(text)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=PLACE)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, dtype=np.int64)
-    reach = np.zeros(len(begins), dtype=np.int64)
+    out = np.zeros(n, dtype=PLACE)
+    reach = np.zeros(len(begins), dtype=PLACE)
     for t in range(int(counts.max(initial=0))):
         live = np.flatnonzero(counts > t)
         i = begins[live] + t
@@ -109,23 +114,26 @@ def shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     held = rows["held"].to_numpy()
     lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
     text = np.frombuffer(b"".join(held), dtype=np.uint8)
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
-    string = np.repeat(np.arange(len(held)), lengths)
+    ends = np.cumsum(lengths).astype(PLACE)
+    begins = ends - lengths.astype(PLACE)
+    string = np.repeat(np.arange(len(held), dtype=PLACE), lengths)
     counts = rows["n"].to_numpy(np.int64)
     doc, start = rows["doc_id"].to_numpy(np.int64), rows["start"].to_numpy(np.int64)
     order = suffix_array(text, string, ends)
     prefix = common_prefixes(text, order, begins, ends, string, counts, window)
-    offset = np.arange(len(text)) - begins[string]
+    offset = np.arange(len(text), dtype=PLACE) - begins[string]
     is_window = offset < counts[string]
     sorted_windows = order[is_window[order]]
+    del order
     owner = string[sorted_windows]
+    group = np.cumsum(prefix[sorted_windows] < window, dtype=PLACE) - PLACE(1)
+    del prefix
     at = start[owner] + offset[sorted_windows]
-    group = np.cumsum(prefix[sorted_windows] < window) - 1
-    by_age = np.lexsort((at, doc[owner]))
+    by_age = np.lexsort((at, doc[owner])).astype(PLACE)
     older = np.append(False, (np.diff(doc[owner][by_age]) != 0) | (np.diff(at[by_age]) != 0))[:len(at)]
-    age = np.empty(len(at), dtype=np.int64)
-    age[by_age] = np.cumsum(older)  # one age for one place, whichever row of the doc_id it is from
+    age = np.empty(len(at), dtype=PLACE)
+    age[by_age] = np.cumsum(older, dtype=PLACE)  # one age for one place, whichever row of the doc_id it is from
+    del at, by_age, older
     heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     seen = np.zeros(len(text), dtype=bool)
     seen[sorted_windows] = age > np.minimum.reduceat(age, heads)[group]
