@@ -37,6 +37,7 @@ NONZERO = 4
 REACH = 2
 HIDDEN = 32
 LEAST_STEPS = 1_000
+SLICE = 1 << 20  # sums of floats depend on where a slice ends, so scores keep to this one
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 ADDED = ["held_out", "score", "predicted"]
@@ -83,7 +84,7 @@ def word_vectors(docs: DataFrame, random: np.ndarray) -> tuple[np.ndarray, np.nd
         total = np.zeros(BUCKETS * DIMENSIONS)
         count = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, _, data, offsets in slices(batch):
+            for _, _, data, offsets in slices(batch, size=SLICE):
                 bucket, doc = tokens(data, offsets)
                 count += np.bincount(bucket, minlength=BUCKETS)
                 for gap in range(1, REACH + 1):
@@ -202,7 +203,7 @@ class Network:
 def _features(network: Network):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [network.pooled(data, offsets) for _, _, data, offsets in slices(batch)]
+            out = [network.pooled(data, offsets) for _, _, data, offsets in slices(batch, size=SLICE)]
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("label"),
@@ -238,7 +239,7 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [network.score(network.pooled(data, offsets)) for _, _, data, offsets in slices(batch)]
+            scores = [network.score(network.pooled(data, offsets)) for _, _, data, offsets in slices(batch, size=SLICE)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("given"), batch.column("held_out"),
                  pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["given", "held_out", "score"])

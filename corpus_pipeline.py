@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from cellhour.llm import decontaminate, packing, prob_minhash, substring_dedup
 from cellhour.llm import toxicity as toxic
 from cellhour.llm.shared import stored
+from cellhour.session import small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,9 +51,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, with a bound on what a task hands to Python at a time: on one executor the stages' leftovers add up."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [(name, in_small_batches(stage)) for name, stage in (
     ("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring),
-    ("decontamination", decontamination), ("packing", pack)]
+    ("decontamination", decontamination), ("packing", pack))]
 
 #: No SQL can say what a classifier rejects or how sequences are packed; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None

@@ -7,9 +7,12 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from cellhour import session
 from cellhour.llm import suffix_dedup, windows
 
+SF = "/root/testdata/sf0.001"
+
 
 def peak(run):
     tracemalloc.start()
@@ -83,3 +86,11 @@ def test_groups_of_many_batches_are_whole(spark, bound):
     bound("5000")
     assert sorted(map(tuple, suffix_dedup.dedup(given).select("doc_id", "kept").collect())) == whole
     assert sum(len(kept) for _, kept in whole) < sum(len(t) for _, t in rows) - 20_000
+
+
+def test_every_stage_of_the_pipeline_hands_python_small_batches(spark, bound):
+    for _, stage in corpus_pipeline.STAGES:
+        bound("64m")
+        docs = spark.createDataFrame([(1, "some words of one text")], "doc_id long, text string")
+        stage(spark, docs, SF)
+        assert spark.conf.get(session.ARROW_BOUND) == f"{session.ARROW_BATCH}b"
