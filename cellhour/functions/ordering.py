@@ -19,8 +19,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import portable
 from .moments import Moments
 from .narrowing import Between, order_statistics
+from .packed_ranks import rank_products
+
+portable(__name__)
 
 SLICE_ROWS = 250_000
 MAX_SLICES = 4096
@@ -211,69 +215,102 @@ class Counted:
         return [Between(at(math.floor(x)), at(math.ceil(x)), x - math.floor(x)).value for x in places]
 
 
+def _added(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, ascending, and their counts in all parts together."""
+    values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(values))
+    return values, counts.astype(np.int64)
+
+
 def counted_values(df: DataFrame, columns: Sequence[str], broadcast_values: int = BROADCAST_VALUES) -> Counted:
-    """Values and counts of the columns with few distinct ones: at most `broadcast_values` of them all together, estimated first."""
-    sizes = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c))).alias(c) for c in columns]).first()
+    """Values and counts of the columns with few distinct ones: at most `broadcast_values` of them all together.
+
+    A task counts the values of its batches and gives up on the columns with most while it holds more than that.
+    """
+    names = list(dict.fromkeys(columns))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {i: (np.zeros(0), np.zeros(0, dtype=np.int64)) for i in range(len(names))}
+        fresh: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {i: [] for i in held}
+        waiting, rows = dict.fromkeys(held, 0), 0
+
+        def settle(i: int) -> None:
+            held[i], fresh[i], waiting[i] = _added([held[i], *fresh[i]]), [], 0
+            while sum(len(v) for v, _ in held.values()) > broadcast_values:
+                del held[max(held, key=lambda j: len(held[j][0]))]
+
+        for batch in batches:
+            rows += batch.num_rows
+            for i in list(held):
+                if i not in held:
+                    continue
+                column = batch.column(i)
+                values = (column.drop_null() if column.null_count else column).to_numpy(zero_copy_only=False)
+                fresh[i].append(np.unique(values + 0.0, return_counts=True))  # no negative zero
+                waiting[i] += len(fresh[i][-1][0])
+                if waiting[i] > max(1 << 16, len(held[i][0])):
+                    settle(i)
+        for i in list(held):
+            if i in held and fresh[i]:
+                settle(i)
+        given = [i for i in range(len(names)) if i not in held]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *(-2 - i for i in given)], pa.int32()), pa.array([0.0] * (1 + len(given))),
+                                          pa.array([rows, *[0] * len(given)], pa.int64())], names=["column", "value", "n"])
+        for i, (values, counts) in held.items():
+            for at in range(0, len(values), 1 << 16):
+                part = values[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, dtype=np.int32)), pa.array(part), pa.array(counts[at:at + len(part)])],
+                                                 names=["column", "value", "n"])
+
+    parts = (df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+             .mapInArrow(count, "column int, value double, n bigint").persist())
+    kept = {r["column"]: r for r in parts.groupBy("column").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).collect()}
+    sizes = {i: kept[i]["size"] if i in kept else 0 for i in range(len(names)) if -2 - i not in kept}
+    total = (parts.filter(F.col("column").isin(*sizes)) if sizes else parts.limit(0)).groupBy("column", "value").agg(F.sum("n").alias("n"))
+    if sum(sizes.values()) > broadcast_values:  # tasks met the same values, so there may be fewer
+        sizes = dict.fromkeys(sizes, 0) | {r["column"]: r["count"] for r in total.groupBy("column").count().collect()}
     few, room = [], broadcast_values
-    for c in sorted(columns, key=lambda c: sizes[c]):
-        if sizes[c] <= room:
-            few.append(c)
-            room -= sizes[c]
+    for i in sorted(sizes, key=lambda i: sizes[i]):
+        if sizes[i] <= room:
+            few.append(i)
+            room -= sizes[i]
     values, counts = {}, {}
     if few:
-        found = _numbered_counts(df.select(*few), few, {}).select("column", "value", "n").toArrow()
+        found = total.filter(F.col("column").isin(*few)).toArrow()
         column, value, n = (found.column(i).to_numpy() for i in range(3))
         order = np.lexsort((value, column))
-        ends = np.searchsorted(column[order], np.arange(len(few) + 1))
-        for i, c in enumerate(few):
-            at = order[ends[i]:ends[i + 1]]
-            values[c], counts[c] = value[at], n[at]
-    return Counted(values, counts, [c for c in columns if c not in few], sizes["n"])
-
-
-def _with_joined_ranks(rows: DataFrame, df: DataFrame, column: str, total: int, slice_rows: int) -> DataFrame:
-    """The column's values replaced by their average ranks in `df`: very frequent ones by broadcast, the others by one join."""
-    ranks = average_ranks(df.select(column), [column], slice_rows, total)
-    hot_rows = max(slice_rows, total // 1000)
-    hot = ranks.filter(F.col("n") > hot_rows).select(F.col("value").alias("_value"), F.col("rank").alias("_hot"))
-    rest = ranks.filter(F.col("n") <= hot_rows).select(
-        F.col("value").alias("_value"), F.lit(0).alias("_salt"), F.col("rank").alias("_rank"))
-    # Rows that have their rank already meet no partner; the salt deals them over all tasks.
-    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(997))).cast("int")
-    known = (rows.join(F.broadcast(hot), F.col(column) == F.col("_value"), "left").drop("_value")
-             .withColumn("_dealt", spread))
-    return (known.join(rest, (F.col(column) == F.col("_value")) & (F.col("_dealt") == F.col("_salt")), "left")
-            .select(*[c for c in rows.columns if c != column], F.coalesce("_hot", "_rank").alias(column)))
+        starts, ends = (np.searchsorted(column[order], few, side=side) for side in ("left", "right"))
+        for i, start, end in zip(few, starts, ends):
+            at = order[start:end]
+            values[names[i]], counts[names[i]] = value[at], n[at]
+    parts.unpersist()
+    return Counted(values, counts, [c for i, c in enumerate(names) if i not in few], kept[-1]["n"] if -1 in kept else 0)
 
 
 def rank_moments(df: DataFrame, columns: Sequence[str], counted: Counted | None = None,
                  broadcast_values: int = BROADCAST_VALUES, slice_rows: int = SLICE_ROWS) -> Moments:
     """Moments of the average ranks over the rows where every column has a value; ranks are those in the whole column.
 
-    Ranks of columns with few distinct values are looked up in each batch; every
-    other column costs one join by its value. Rows need no key.
+    Ranks of columns with few distinct values are looked up in each batch; the
+    others are ranked by slices, see `packed_ranks`. Rows need no key.
     """
     names = list(dict.fromkeys(columns))
     counted = counted or counted_values(df, names, broadcast_values)
     many = [c for c in names if c in counted.many]
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    rows = numbers.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in names))
-    for c in many:
-        rows = _with_joined_ranks(rows, numbers, c, counted.rows, slice_rows)
     known = {c: (counted.values[c], counted.ranks(c)) for c in names if c not in many}
     k, origin = len(names), (counted.rows + 1) / 2
+    if many:
+        return _rank_moments_from(names, rank_products(numbers, names, known, counted.rows, origin, slice_rows), origin)
+    rows = numbers.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in names))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + 1, k + 1))
         for batch in batches:
             x = np.ones((k + 1, batch.num_rows))
             for i, c in enumerate(names):
-                found = batch.column(i).to_numpy(zero_copy_only=False)
-                if c in known:
-                    values, ranks = known[c]
-                    found = ranks[np.searchsorted(values, found)]
-                x[i + 1] = found - origin
+                values, ranks = known[c]
+                x[i + 1] = ranks[np.searchsorted(values, batch.column(i).to_numpy(zero_copy_only=False))] - origin
             total += x @ x.T
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "v"])
 
@@ -282,8 +319,11 @@ def rank_moments(df: DataFrame, columns: Sequence[str], counted: Counted | None
     full = np.zeros((k + 1) ** 2)
     for cell in cells:
         full[cell["at"]] = cell["v"]
-    full = full.reshape(k + 1, k + 1)
-    n = int(round(full[0, 0]))
+    return _rank_moments_from(names, full.reshape(k + 1, k + 1), origin)
+
+
+def _rank_moments_from(names: list[str], full: np.ndarray, origin: float) -> Moments:
+    n, k = int(round(full[0, 0])), len(names)
     if n == 0:
         return Moments(names, 0, np.zeros(k), np.zeros((k, k)))
     mean = full[0, 1:] / n

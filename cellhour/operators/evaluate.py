@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordering
 from ..model import HOURS_PER_YEAR, WINDOW_HOURS
+from .models import Linear, score_cuts, slice_sizes, sliced_scores, unpacked
 from .profile import share
 
 CLIP = 1e-9
@@ -45,6 +48,40 @@ def ranking_scores(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.try_divide(F.sum(area), F.max(F.col("hit_total") * misses)).alias("roc_auc"))
 
 
+def fits_ranking(rows: DataFrame, fits: Sequence[Linear], label: str, **limits: int) -> dict[int, tuple[float | None, float | None]]:
+    """Average precision and ROC area of every logistic fit with a score, as `ranking_scores` of a `ranking_curve` by fit has them.
+
+    The scores are never rows: one pass counts hits and rows of every slice of each fit's scores, which tells what lies above and
+    below a slice, and a second hands each slice, packed, to one task. A slice holds some `slice_rows` rows.
+    """
+    cuts = score_cuts(rows, fits, **limits)
+    sizes = slice_sizes(rows, fits, label, cuts)
+    total = sizes.sum(axis=1)
+    upto = np.cumsum(sizes, axis=1)
+    below, above = upto - sizes, total[:, None, :] - upto
+
+    def measure(key: tuple, table: pa.Table) -> pa.Table:
+        fit, at = key[0].as_py(), key[1].as_py()
+        packed = {c: table.column(c).to_pylist() for c in ("hits", "hit_counts", "misses", "miss_counts")}
+        score, hit = unpacked(packed["hits"], packed["hit_counts"])
+        other, miss = unpacked(packed["misses"], packed["miss_counts"])
+        passed = np.concatenate([[0], np.cumsum(miss)])
+        low, high = (passed[np.searchsorted(other, score, side=side)] for side in ("left", "right"))
+        hits_above = above[fit, at, 1] + np.cumsum(hit[::-1])[::-1]
+        rows_above = hits_above + above[fit, at, 0] + passed[-1] - low
+        precision = float((hit / max(total[fit, 1], 1) * hits_above / rows_above).sum())
+        area = float((hit * (below[fit, at, 0] + low + (high - low) / 2)).sum())
+        return pa.table({"fit": pa.array([fit], pa.int32()), "precision": [precision], "area": [area]})
+
+    found = (sliced_scores(rows, fits, label, cuts).groupBy("fit", "slice").applyInArrow(measure, "fit int, precision double, area double")
+             .groupBy("fit").agg(F.sum("precision").alias("precision"), F.sum("area").alias("area")).collect())
+    out: dict[int, tuple[float | None, float | None]] = {}
+    for r in found:
+        misses, hits = (int(n) for n in total[r["fit"]])
+        out[r["fit"]] = (r["precision"] if hits else None, r["area"] / (hits * misses) if hits and misses else None)
+    return out
+
+
 def classification(scored: DataFrame, label: str, score: str, by: Sequence[str] = (),
                    threshold: float | None = None,
                    slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:

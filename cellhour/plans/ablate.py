@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_number, seeded_sample
 from ..functions.moments import Moments, moments
-from ..model import KEY, SEED, SELECT_N, STAGES, SWEEP_WIDTHS, TARGET, UNDEFINED_COLUMNS
+from ..model import KEY, SEED, SEEDS, SELECT_N, STAGES, SWEEP_WIDTHS, TARGET, UNDEFINED_COLUMNS
 from ..operators import evaluate, features, models
-from ..session import materialise
+from ..session import stored
 from . import screen
 
 PRIMARY = {"occurrence": "pr_auc", "count": "r2"}
@@ -66,28 +66,34 @@ def occurrence_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Seque
                       names: Sequence[str]) -> list[tuple[float, float]]:
     """Average precision and ROC area per feature subset on the whole test year.
 
-    All fits take their steps together on one stored frame, and all of them are
-    scored in a single pass over the test rows.
+    All fits take their steps together and are scored together. Some ten passes
+    read the rows, so they should be stored ones.
     """
     scale = models.standardiser(train, names)
-    rows = materialise(models.standardised(train, scale).select(
-        *names, (F.col(TARGET) > 0).cast("int").alias("flashed")))
-    fits = models.logistic_fits(rows, subsets, "flashed")
-    scored = models.scores(models.standardised(test, scale).select(
-        *names, (F.col(TARGET) > 0).cast("int").alias("flashed")), fits, "flashed")
-    curve = evaluate.ranking_curve(scored, "flashed", "score", ["fit"])
-    found = {r["fit"]: (r["average_precision"], r["roc_auc"])
-             for r in evaluate.ranking_scores(curve, ["fit"]).collect()}
+    labelled = lambda df: models.standardised(df, scale).select(
+        *names, (F.col(TARGET) > 0).cast("int").alias("flashed"))
+    fits = models.logistic_fits(labelled(train), subsets, "flashed")
+    found = evaluate.fits_ranking(labelled(test), fits, "flashed")
     return [found[i] for i in range(len(fits))]
 
 
 def fit_score(train: DataFrame, test: DataFrame, names: Sequence[str], stage: str) -> dict[str, float]:
     if stage == "occurrence":
-        ap, auc = occurrence_scores(train, test, [list(names)], names)[0]
+        rows = [stored(df.select(*names, TARGET)) for df in (train, test)]
+        ap, auc = occurrence_scores(*rows, [list(names)], names)[0]
         return {"pr_auc": ap, "roc_auc": auc}
     return {"r2": count_scores(train, test, [list(names)], names)[0]}
 
 
+def stored_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]],
+                  stage: str) -> list[tuple[float | None, float | None]]:
+    """Primary score and ROC area (occurrence only) of every feature subset on rows that hold target and features."""
+    names = list(dict.fromkeys(n for s in subsets for n in s))
+    if stage == "count":
+        return [(r2, None) for r2 in count_scores(train, test, subsets, names)]
+    return occurrence_scores(train, test, subsets, names)
+
+
 def subset_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]], stage: str,
                   key: Sequence[str] = KEY, extra: Sequence[str] = (), fit_rows: int | None = None,
                   number: Column | None = None) -> list[tuple[float | None, float | None]]:
@@ -105,7 +111,7 @@ def subset_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[
     drawn = rows(train)
     if fit_rows is not None:
         drawn = seeded_sample(drawn, fit_rows, draw_number(SEED, *[F.col(k) for k in key]) if number is None else number, key)
-    return occurrence_scores(drawn, rows(test), subsets, names)
+    return occurrence_scores(stored(drawn.select(*names, TARGET)), stored(rows(test).select(*names, TARGET)), subsets, names)
 
 
 def without_each(names: Sequence[str]) -> list[list[str]]:
@@ -147,9 +153,14 @@ def run_widths(train: DataFrame, test: DataFrame, widths: Sequence[int] = (SELEC
 
     A greedy order does not depend on where it stops, so each arm is ranked once
     and every width reads a prefix of that order. Fits see the rows where all
-    selected features have a value.
+    selected features have a value. Some thirty passes read the features, so
+    they are worked out and written once.
     """
-    ranked = screen.screen_arms(train, arms or {a: None for a in screen.ARMS}, key, **options)
+    names = screen.arm_names(train, arms or {a: None for a in screen.ARMS})
+    every = list(dict.fromkeys(n for listed in names.values() for n in listed))
+    draws = options.get("seeds", SEEDS) or fit_rows is not None  # only draws read the key
+    rows = stored(screen.feature_rows(train, every, key if draws else []))
+    ranked = screen.rank_arms(rows, names, key, **options)
     chosen = {(width, arm, stage): r.selected(stage, width)
               for width in sorted(set(widths)) for arm, r in ranked.items() for stage in stages}
     results: dict[int, dict[tuple[str, str], Ablation]] = {}
@@ -157,7 +168,12 @@ def run_widths(train: DataFrame, test: DataFrame, widths: Sequence[int] = (SELEC
         sets = {k: names for k, names in chosen.items() if k[2] == stage}
         subsets = {k: without_each(names) if leave_one_out else [names] for k, names in sets.items()}
         different = list(dict.fromkeys(tuple(s) for listed in subsets.values() for s in listed))
-        found = dict(zip(different, subset_scores(train, test, different, stage, key, fit_rows=fit_rows)))
+        read = list(dict.fromkeys(n for s in different for n in s))
+        held = stored(screen.feature_rows(test, read, []))
+        fitted = rows
+        if stage == "occurrence" and fit_rows is not None:
+            fitted = stored(seeded_sample(rows, fit_rows, draw_number(SEED, *[F.col(k) for k in key]), key))
+        found = dict(zip(different, stored_scores(fitted, held, different, stage)))
         for (width, arm, _), listed in subsets.items():
             (full, auc), *rest = [found[tuple(s)] for s in listed]
             names = sets[width, arm, stage] if leave_one_out else []

@@ -31,17 +31,26 @@ def feature_rows(table: DataFrame, names: Sequence[str], key: Sequence[str]) ->
     return features.matrix(table, names, keep)
 
 
-def screen_arms(train: DataFrame, arms: dict[str, Sequence[str] | None], key: Sequence[str] = KEY,
-                **options) -> dict[str, ArmResult]:
-    """Several arms from one pass of statistics per stage over the union of their features."""
-    names = {arm: list(given or features.arm_features(train, arm)) for arm, given in arms.items()}
+def arm_names(table: DataFrame, arms: dict[str, Sequence[str] | None]) -> dict[str, list[str]]:
+    """The features each arm ranks: those given, or all that the table offers it."""
+    return {arm: list(given or features.arm_features(table, arm)) for arm, given in arms.items()}
+
+
+def rank_arms(rows: DataFrame, names: dict[str, list[str]], key: Sequence[str] = KEY, **options) -> dict[str, ArmResult]:
+    """Several arms from one pass of statistics per stage over the union of their features, which `rows` holds."""
     every = list(dict.fromkeys(n for listed in names.values() for n in listed))
-    rows = feature_rows(train, every, key)
     statistics = {stage: selection.stage_statistics(rows, every, stage, key, **options) for stage in STAGES}
     return {arm: ArmResult(arm, listed, {stage: s.select(listed) for stage, s in statistics.items()})
             for arm, listed in names.items()}
 
 
+def screen_arms(train: DataFrame, arms: dict[str, Sequence[str] | None], key: Sequence[str] = KEY,
+                **options) -> dict[str, ArmResult]:
+    names = arm_names(train, arms)
+    every = list(dict.fromkeys(n for listed in names.values() for n in listed))
+    return rank_arms(feature_rows(train, every, key), names, key, **options)
+
+
 def screen_arm(train: DataFrame, arm: str, key: Sequence[str] = KEY, names: Sequence[str] | None = None,
                **options) -> ArmResult:
     return screen_arms(train, {arm: names}, key, **options)[arm]

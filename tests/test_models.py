@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellhour.functions.moments import Moments
-from cellhour.operators import features, models, selection
+from cellhour.operators import evaluate, features, models, selection
 from cellhour.plans import ablate, experiment
 from workload.adapters import ROW_KEY, TABLE_FOLDS
 
@@ -212,6 +212,45 @@ def test_a_sampled_start_changes_no_fit(spark):
     assert {r["fit"]: r["count"] for r in scored} == {0: 4000, 1: 4000, 2: 4000}
 
 
+def test_fits_are_ranked_like_their_curve(spark):
+    """Packed slices give what the curve of all scores gives, with equal rows, missing features, missing labels and NaN."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(900, 2)), 1)
+    cells = [(None if i % 41 == 0 else float(a), float("nan") if i % 53 == 0 else float(b), None if i % 37 == 0 else int(a > 0.3 * b))
+             for i, (a, b) in enumerate(x)]
+    rows = spark.createDataFrame(cells * 2, "a DOUBLE, b DOUBLE, hit INT").repartition(3)
+    fits = [models.Linear(["a", "b"], [1.5, -0.5], 0.1, "logit"), models.Linear(["b"], [90.0], 1.0, "logit"), models.Linear([], [], 0.2, "logit")]
+    curve = evaluate.ranking_curve(models.scores(rows, fits, "hit"), "hit", "score", ["fit"])
+    wanted = {r["fit"]: (r["average_precision"], r["roc_auc"]) for r in evaluate.ranking_scores(curve, ["fit"]).collect()}
+    for slice_rows in (10_000, 90):
+        found = evaluate.fits_ranking(rows, fits, "hit", slice_rows=slice_rows)
+        assert found.keys() == wanted.keys() == {0, 1, 2}
+        for fit, (precision, area) in wanted.items():
+            assert found[fit] == pytest.approx((precision, area), abs=1e-12)
+    assert set(evaluate.fits_ranking(rows.where("hit = 0"), fits, "hit").values()) == {(None, None)}
+
+
+def test_a_width_sweep_works_out_the_features_once(spark):
+    """Every pass after the first reads stored features: the rows of the tables come by once for each use of a table."""
+    rng = np.random.default_rng(9)
+    cells = [(*map(float, v), int(max(0, v[0] * 3 + v[1] + e))) for v, e in zip(rng.normal(size=(600, 3)), rng.normal(size=600))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    kind = "T2M DOUBLE, RH2M DOUBLE, CAPE DOUBLE, flash_count BIGINT"
+    rows = spark.createDataFrame(cells, kind).mapInArrow(counted, kind)
+    names = ["T2M", "RH2M", "CAPE"]
+    found = ablate.run_widths(rows, rows, (2, 3), [], {"full": names}, seeds=0).collect()
+    assert read.value == 600 * 3  # training rows, and test rows of two stages
+    assert len(found) == 2 * (3 + 4)
+    whole = next(r for r in found if (r["width"], r["stage"], r["dropped"]) == (3, "occurrence", None))
+    assert whole["score"] == pytest.approx(ablate.fit_score(rows, rows, names, "occurrence")["pr_auc"], abs=1e-9)
+
+
 def test_contingency_counts_every_cell(spark):
     rows = spark.createDataFrame([("p", 1.0, 0), ("p", 3.0, 1), (None, 3.0, None), ("p", None, 1), ("p", 2.0, 1)], "g STRING, x DOUBLE, y INT")
     got = {(r["g"], r["bin"], r["label"]): r["n"] for r in selection.contingency(rows, {"x": [1.0, 2.0]}, F.col("y"), ["g"]).collect()}

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellhour.functions import draws, narrowing, ordering
+from cellhour.functions import draws, narrowing, ordering, packed_ranks
 from cellhour.functions.moments import moments
 from cellhour.operators import evaluate, profile
 
@@ -185,6 +185,20 @@ def test_rank_moments_need_no_key(spark, frame, limits):
     assert np.allclose(found.mean, ranks.mean()) and np.allclose(found.cov, ranks.cov(ddof=0))
 
 
+def test_frequent_values_and_many_slices_keep_their_ranks(spark, monkeypatch):
+    """A value that fills slices is ranked by counts, rows come in several blocks, and NaN is the last value."""
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(3000) < 0.4, 0.0, rng.normal(size=3000).round(2))
+    y = np.where(rng.random(3000) < 0.1, np.nan, rng.random(3000))
+    z = [None if i % 17 == 0 else float(i % 5) for i in range(3000)]
+    rows = spark.createDataFrame([(float(a), float(b), c) for a, b, c in zip(x, y, z)], "x DOUBLE, y DOUBLE, z DOUBLE").repartition(4)
+    monkeypatch.setattr(packed_ranks, "BLOCK", 300)
+    found = ordering.rank_moments(rows, ["x", "y", "z"], broadcast_values=5, slice_rows=100)
+    ranks = pd.DataFrame({"x": x, "y": np.where(np.isnan(y), 2.0, y), "z": z}).rank().dropna()
+    assert found.n == len(ranks)
+    assert np.allclose(found.mean, ranks.mean()) and np.allclose(found.cov, ranks.cov(ddof=0))
+
+
 def test_counted_values_give_exact_quantiles(spark, frame, df):
     probs = [i / 10 for i in range(1, 10)]
     counted = ordering.counted_values(df, ["x", "z"])
