@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import portable
 from .moments import Moments
 from .narrowing import Between, order_statistics
-from .packed_ranks import rank_products
+from .packed_ranks import Packed, pack, rank_products
 
 portable(__name__)
 
@@ -287,8 +287,16 @@ def counted_values(df: DataFrame, columns: Sequence[str], broadcast_values: int
     return Counted(values, counts, [c for i, c in enumerate(names) if i not in few], kept[-1]["n"] if -1 in kept else 0)
 
 
-def rank_moments(df: DataFrame, columns: Sequence[str], counted: Counted | None = None,
-                 broadcast_values: int = BROADCAST_VALUES, slice_rows: int = SLICE_ROWS) -> Moments:
+def packed_rows(df: DataFrame, columns: Sequence[str], counted: Counted, slice_rows: int = SLICE_ROWS) -> Packed | None:
+    """The columns as blocks and slices where one of them has many distinct values."""
+    if not set(columns).intersection(counted.many):
+        return None
+    return pack(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns,
+                {c: counted.values[c] for c in columns if c not in counted.many}, counted.rows, slice_rows)
+
+
+def rank_moments(df: DataFrame, columns: Sequence[str], counted: Counted | None = None, broadcast_values: int = BROADCAST_VALUES,
+                 slice_rows: int = SLICE_ROWS, packed: Packed | None = None) -> Moments:
     """Moments of the average ranks over the rows where every column has a value; ranks are those in the whole column.
 
     Ranks of columns with few distinct values are looked up in each batch; the
@@ -296,12 +304,12 @@ def rank_moments(df: DataFrame, columns: Sequence[str], counted: Counted | None
     """
     names = list(dict.fromkeys(columns))
     counted = counted or counted_values(df, names, broadcast_values)
-    many = [c for c in names if c in counted.many]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    known = {c: (counted.values[c], counted.ranks(c)) for c in names if c not in many}
+    known = {c: (counted.values[c], counted.ranks(c)) for c in names if c not in counted.many}
     k, origin = len(names), (counted.rows + 1) / 2
-    if many:
-        return _rank_moments_from(names, rank_products(numbers, names, known, counted.rows, origin, slice_rows), origin)
+    packed = packed or packed_rows(df, names, counted, slice_rows)
+    if packed:
+        return _rank_moments_from(names, rank_products(packed, {c: ranks for c, (_, ranks) in known.items()}, origin), origin)
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     rows = numbers.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in names))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ enough to fill a slice is not sent: counts of the slices give its rank.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,8 @@ portable(__name__)
 BLOCK = 1 << 16
 MAX_SLICES = 1024
 SAMPLE_PER_SLICE = 100
-#: A block's rows as `column` -1, and the cells of one column and slice; a frequent value has the slice -1 - cut.
+#: A block's rows as `column` -1, and the cells of one column and slice; a frequent value has the slice -1 - cut, NaN
+#: that after all cuts.
 CELLS = "block bigint, column int, slice int, n bigint, places binary, data binary"
 
 
@@ -56,7 +58,7 @@ def cuts_of(rows: DataFrame, columns: Sequence[str], total: int, slice_rows: int
 
 
 def _cells(rows: DataFrame, few: dict[int, np.ndarray], many: Sequence[int], cuts: Sequence[Cuts], width: int) -> DataFrame:
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = TaskContext.get().partitionId() << 32, 0
         held: list[pa.RecordBatch] = []
 
@@ -70,6 +72,10 @@ def _cells(rows: DataFrame, few: dict[int, np.ndarray], many: Sequence[int], cut
             found.append((-1, 0, int(whole.sum()), b"", b"".join(c.tobytes() for c in codes)))
             for i, c in zip(many, cuts):
                 values, at = columns[i][known[i]], place[known[i]]
+                odd = np.isnan(values)
+                if odd.any():
+                    found.append((i, -2 - len(c.at), int(odd.sum()), at[odd & (at >= 0)].tobytes(), b""))
+                    values, at = values[~odd], at[~odd]
                 part = np.searchsorted(c.at, values, side="right").astype(np.int16)
                 if c.hot.any():
                     cut = np.maximum(part - 1, 0)
@@ -97,26 +103,69 @@ def _cells(rows: DataFrame, few: dict[int, np.ndarray], many: Sequence[int], cut
         if sum(b.num_rows for b in held):
             yield block()
 
-    return rows.mapInArrow(pack, CELLS)
+    return rows.mapInArrow(blocks, CELLS)
 
 
-def rank_products(rows: DataFrame, names: Sequence[str], known: dict[str, tuple[np.ndarray, np.ndarray]], total: int,
-                  origin: float, slice_rows: int) -> np.ndarray:
-    """Sums of products of one and all ranks less `origin`, over the rows of `rows` where every column has a value.
+@dataclass(frozen=True)
+class Packed:
+    """Rows as stored blocks, and what counts of the slices say of each column.
 
-    `known` has values and ranks of the columns with few distinct ones.
+    `before` has the values that come before a slice's own, `sizes` how many it has. A frequent value (`hot`, by its own
+    slice) comes before the others of its slice; NaN is the last value.
     """
-    k, many = len(names), [i for i, c in enumerate(names) if c not in known]
-    few = {i: known[c][0] for i, c in enumerate(names) if c in known}
-    ranks = [known[names[i]][1] for i in few]
-    cuts = cuts_of(rows, [names[i] for i in many], total, slice_rows)
-    cells = stored(_cells(rows, few, many, cuts, k), "ranks")
-    # Cells before each slice's own, and the rank of each frequent value, which come before the others of its slice.
-    before: dict[tuple[int, int], int] = {}
-    hot: dict[tuple[int, int], float] = {}
+
+    names: list[str]
+    few: dict[int, np.ndarray]
+    cuts: dict[int, Cuts]
+    cells: DataFrame
+    sizes: dict[tuple[int, int], int]
+    before: dict[tuple[int, int], int]
+    hot: dict[tuple[int, int], float]
+
+    def quantiles(self, column: str, probs: Sequence[float]) -> list[float | None]:
+        """Exact, as `narrowing.order_statistics` finds them; only the slices that hold the ranks are read. NaN is no value."""
+        i = self.names.index(column)
+        at, slices = self.cuts[i].at, range(len(self.cuts[i].at) + 1)
+        total = self.before[i, slices[-1]] + self.sizes.get((i, slices[-1]), 0)
+        if not total:
+            return [None] * len(probs)
+        places = [p * (total - 1) for p in probs]
+        found: dict[int, float] = {}
+        inside: dict[int, list[int]] = {}
+        for r in {f(x) for x in places for f in (math.floor, math.ceil)}:
+            s = next(s for s in slices if r < self.before[i, s] + self.sizes.get((i, s), 0))
+            if r < self.before[i, s]:
+                found[r] = float(at[s - 1])
+            else:
+                inside.setdefault(s, []).append(r)
+        before = {s: self.before[i, s] for s in inside}
+
+        def pick(key: tuple, table: pa.Table) -> pa.Table:
+            s = key[0].as_py()
+            values = np.sort(np.concatenate([np.frombuffer(d) for d in table.column("data").to_pylist()]))
+            return pa.table({"rank": pa.array(inside[s], pa.int64()), "value": values[np.array(inside[s]) - before[s]]})
+
+        if inside:
+            held = self.cells.filter((F.col("column") == i) & F.col("slice").isin(*inside)).select("slice", "data")
+            found |= {r["rank"]: r["value"] for r in held.groupBy("slice").applyInArrow(pick, "rank bigint, value double").collect()}
+        out = []
+        for x in places:
+            low, high, part = found[math.floor(x)], found[math.ceil(x)], x - math.floor(x)
+            out.append(low + (high - low) * part if part else low)
+        return out
+
+
+def pack(rows: DataFrame, names: Sequence[str], few: dict[str, np.ndarray], total: int, slice_rows: int) -> Packed:
+    """The named double columns of `rows`; `few` has the values of those with few distinct ones."""
+    many = [i for i, c in enumerate(names) if c not in few]
+    cuts = dict(zip(many, cuts_of(rows, [names[i] for i in many], total, slice_rows)))
+    codes = {i: few[c] for i, c in enumerate(names) if c in few}
+    cells = stored(_cells(rows, codes, many, list(cuts.values()), len(names)), "ranks")
     sizes = {(r["column"], r["slice"]): r["n"] for r in
              cells.filter("column >= 0").groupBy("column", "slice").agg(F.sum("n").alias("n")).collect()}  # a few numbers a slice
-    for i, c in zip(many, cuts):
+    before: dict[tuple[int, int], int] = {}
+    hot: dict[tuple[int, int], float] = {}
+    for i, c in cuts.items():
         upto = 0
         for s in range(len(c.at) + 1):
             frequent = sizes.get((i, -s), 0) if s else 0
@@ -124,14 +173,24 @@ def rank_products(rows: DataFrame, names: Sequence[str], known: dict[str, tuple[
                 hot[i, -s] = upto + (frequent + 1) / 2
             before[i, s] = upto + frequent
             upto = before[i, s] + sizes.get((i, s), 0)
+        hot[i, -2 - len(c.at)] = upto + (sizes.get((i, -2 - len(c.at)), 0) + 1) / 2
+    return Packed(list(names), codes, cuts, cells, sizes, before, hot)
+
+
+def rank_products(packed: Packed, ranks: dict[str, np.ndarray], origin: float) -> np.ndarray:
+    """Sums of products of one and all ranks less `origin`, over the rows where every column has a value.
+
+    `ranks` has those of the columns with few distinct values.
+    """
+    k, few, cells, before, hot = len(packed.names), list(packed.few), packed.cells, packed.before, packed.hot
+    known = [ranks[packed.names[i]] for i in few]
 
     def rank(key: tuple, table: pa.Table) -> pa.Table:
         column, part = key[0].as_py(), key[1].as_py()
         values = np.concatenate([np.frombuffer(d) for d in table.column("data").to_pylist()])
         order = np.argsort(values)
         values = values[order]
-        other = (values[1:] != values[:-1]) & ~(np.isnan(values[1:]) & np.isnan(values[:-1]))
-        starts = np.flatnonzero(np.concatenate([[True], other]))
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         times = np.diff(np.append(starts, len(values)))
         found = np.empty(len(values))
         found[order] = np.repeat(before[column, part] + starts + (times + 1) / 2, times)
@@ -152,7 +211,7 @@ def rank_products(rows: DataFrame, names: Sequence[str], known: dict[str, tuple[
         n, codes = next((f[2], f[4]) for f in found if f[0] < 0)
         x = np.ones((k + 1, n))
         codes = np.frombuffer(codes, dtype=np.int32).reshape(len(few), n)
-        for at, r, code in zip(few, ranks, codes):
+        for at, r, code in zip(few, known, codes):
             x[at + 1] = r[code] - origin
         for column, part, _, places, data in found:
             if column >= 0:

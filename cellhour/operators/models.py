@@ -144,12 +144,15 @@ def logistic_fits(train: DataFrame, subsets: Sequence[Sequence[str]], target: st
     rows = train.select(*[F.col(n).cast("double").alias(n) for n in names], F.col(target).cast("double").alias("_target")).na.drop()
     at = [[*(names.index(n) for n in s), len(names)] for s in subsets]
     start, total = [np.zeros(len(places)) for places in at], rows.count()
-    for wanted, near in ((start_rows, 1e-3), (start_rows * START_GROWTH, 1e-4)):
-        if total > 4 * wanted:
-            sample = rows.sample(fraction=wanted / total, seed=len(names)).persist()
-            if sample.count():
-                start = [f.best for f in _ascend(sample, at, start, c * total / sample.count(), near, max_steps)]
-            sample.unpersist()
+    larger = start_rows * START_GROWTH
+    wide = rows.sample(fraction=larger / total, seed=len(names)).persist() if total > 4 * larger else None
+    if total > 4 * start_rows:
+        share = start_rows / (larger if wide is not None else total)
+        sample = (rows if wide is None else wide).sample(fraction=share, seed=len(names) + (wide is not None)).persist()
+        for near, held in ((1e-3, sample), (1e-4, wide)):
+            if held is not None and held.count():
+                start = [f.best for f in _ascend(held, at, start, c * total / held.count(), near, max_steps)]
+                held.unpersist()
     fits = _ascend(rows, at, start, c, tolerance, max_steps)
     return [Linear(list(s), f.best[:-1].tolist(), float(f.best[-1]), "logit") for s, f in zip(subsets, fits)]
 

@@ -20,15 +20,18 @@ TIE_PLACES = 9  # scores that agree to so many places are equal: their order mus
 
 
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS,
-              counted: ordering.Counted | None = None) -> dict[str, list[float]]:
+              counted: ordering.Counted | None = None, packed: ordering.Packed | None = None) -> dict[str, list[float]]:
     """Distinct inner quantiles of each column; a few numbers per column.
 
     Columns with few distinct values have them from the counts of those, given
-    or taken here; only the others are narrowed down.
+    or taken here, others from their slices where these are given; only what is
+    left is narrowed down.
     """
     probs = [i / bins for i in range(1, bins)]
     counted = counted or ordering.counted_values(df, columns)
-    found = ordering.quantiles(df, [c for c in columns if c in counted.many], probs)
+    sliced = [c for c in columns if packed and c in counted.many and c in packed.names]
+    found = ordering.quantiles(df, [c for c in columns if c in counted.many and c not in sliced], probs)
+    found |= {c: packed.quantiles(c, probs) for c in sliced}
     found |= {c: counted.quantiles(c, probs) for c in columns if c not in counted.many}
     found = {c: found[c] for c in columns}
     return {c: sorted({e for e in q if e is not None}) for c, q in found.items()}
@@ -138,9 +141,9 @@ def count_relevance(df: DataFrame, edges: dict[str, list[float]], count_edges: S
 
 
 def rank_moments(df: DataFrame, features: Sequence[str], key: Sequence[str],
-                 counted: ordering.Counted | None = None, **limits: int) -> Moments:
+                 counted: ordering.Counted | None = None, packed: ordering.Packed | None = None, **limits: int) -> Moments:
     """Covariance of the average ranks: everything redundancy needs, from one ranking. The key is not read."""
-    return ordering.rank_moments(df, features, counted, **limits)
+    return ordering.rank_moments(df, features, counted, packed=packed, **limits)
 
 
 def rank_r2(ranks: Moments, candidate: str, chosen: Sequence[str]) -> float:
@@ -269,7 +272,8 @@ def stage_statistics(df: DataFrame, features: Sequence[str], stage: str, key: Se
     columns = [F.col(f) for f in features] + ([level] if stage != "occurrence" else [])
     counted = ordering.counted_values(rows.select(*columns), [*features, *(["_level"] if stage != "occurrence" else [])],
                                       limits.get("broadcast_values", ordering.BROADCAST_VALUES))
-    edges = bin_edges(rows, features, bins, counted)
+    packed = ordering.packed_rows(rows, list(dict.fromkeys(features)), counted, limits.get("slice_rows", ordering.SLICE_ROWS))
+    edges = bin_edges(rows, features, bins, counted, packed)
     masked = rows.withColumn("mask", repetition_mask(seeds, share, key, number))
     if stage == "occurrence":
         label = (F.col(TARGET) > 0).cast("int")
@@ -281,7 +285,7 @@ def stage_statistics(df: DataFrame, features: Sequence[str], stage: str, key: Se
     found: dict[int, dict[str, float]] = {s: dict.fromkeys(features, 0.0) for s in range(-1, seeds)}
     for r in information.collect():  # seeds x features
         found[r["seed"]][r["feature"]] = r["relevance"]
-    ranks = rank_moments(rows, features, key, counted, **limits)
+    ranks = rank_moments(rows, features, key, counted, packed, **limits)
     return StageStatistics(stage, found.pop(-1), found, ranks)
 
 

@@ -18,6 +18,7 @@ from ..session import stored
 from . import screen
 
 PRIMARY = {"occurrence": "pr_auc", "count": "r2"}
+Scale = dict[str, tuple[float, float]]
 SCORE_SCHEMA = "arm STRING, stage STRING, dropped STRING, score DOUBLE, roc_auc DOUBLE, delta DOUBLE"
 
 
@@ -47,13 +48,13 @@ def _rescaled(m: Moments, scale: dict[str, tuple[float, float]]) -> Moments:
 
 
 def count_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]],
-                 names: Sequence[str], alpha: float = 1.0) -> list[float | None]:
+                 names: Sequence[str], alpha: float = 1.0, scale: Scale | None = None) -> list[float | None]:
     """R-squared per feature subset on flashing test rows.
 
     Ridge fit and error are functions of moments, so any number of subsets
     costs two passes: one over the training rows, one over the test rows.
     """
-    scale = models.standardiser(train, names)
+    scale = scale or models.standardiser(train, names)
     target = "log_count"
     known = lambda df: _rescaled(moments(
         df.filter(F.col(TARGET) > 0).withColumn(target, F.log1p(F.col(TARGET).cast("double"))),
@@ -63,14 +64,14 @@ def count_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[s
 
 
 def occurrence_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]],
-                      names: Sequence[str]) -> list[tuple[float, float]]:
+                      names: Sequence[str], scale: Scale | None = None) -> list[tuple[float, float]]:
     """Average precision and ROC area per feature subset on the whole test year.
 
     All fits take their steps together and are scored together. Some ten passes
     read the rows, so they should be stored ones.
     """
-    scale = models.standardiser(train, names)
-    labelled = lambda df: models.standardised(df, scale).select(
+    scale = scale or models.standardiser(train, names)
+    labelled = lambda df: models.standardised(df, {n: scale[n] for n in names}).select(
         *names, (F.col(TARGET) > 0).cast("int").alias("flashed"))
     fits = models.logistic_fits(labelled(train), subsets, "flashed")
     found = evaluate.fits_ranking(labelled(test), fits, "flashed")
@@ -85,13 +86,13 @@ def fit_score(train: DataFrame, test: DataFrame, names: Sequence[str], stage: st
     return {"r2": count_scores(train, test, [list(names)], names)[0]}
 
 
-def stored_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]],
-                  stage: str) -> list[tuple[float | None, float | None]]:
+def stored_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]], stage: str,
+                  scale: Scale | None = None) -> list[tuple[float | None, float | None]]:
     """Primary score and ROC area (occurrence only) of every feature subset on rows that hold target and features."""
     names = list(dict.fromkeys(n for s in subsets for n in s))
     if stage == "count":
-        return [(r2, None) for r2 in count_scores(train, test, subsets, names)]
-    return occurrence_scores(train, test, subsets, names)
+        return [(r2, None) for r2 in count_scores(train, test, subsets, names, scale=scale)]
+    return occurrence_scores(train, test, subsets, names, scale)
 
 
 def subset_scores(train: DataFrame, test: DataFrame, subsets: Sequence[Sequence[str]], stage: str,
@@ -163,17 +164,18 @@ def run_widths(train: DataFrame, test: DataFrame, widths: Sequence[int] = (SELEC
     ranked = screen.rank_arms(rows, names, key, **options)
     chosen = {(width, arm, stage): r.selected(stage, width)
               for width in sorted(set(widths)) for arm, r in ranked.items() for stage in stages}
+    read = list(dict.fromkeys(n for listed in chosen.values() for n in listed))
+    held = stored(screen.feature_rows(test, read, []))
+    scale = models.standardiser(rows, read)
     results: dict[int, dict[tuple[str, str], Ablation]] = {}
     for stage in stages:  # all widths and arms of a stage are fitted together
         sets = {k: names for k, names in chosen.items() if k[2] == stage}
         subsets = {k: without_each(names) if leave_one_out else [names] for k, names in sets.items()}
         different = list(dict.fromkeys(tuple(s) for listed in subsets.values() for s in listed))
-        read = list(dict.fromkeys(n for s in different for n in s))
-        held = stored(screen.feature_rows(test, read, []))
-        fitted = rows
+        fitted, known = rows, scale
         if stage == "occurrence" and fit_rows is not None:
-            fitted = stored(seeded_sample(rows, fit_rows, draw_number(SEED, *[F.col(k) for k in key]), key))
-        found = dict(zip(different, stored_scores(fitted, held, different, stage)))
+            fitted, known = stored(seeded_sample(rows, fit_rows, draw_number(SEED, *[F.col(k) for k in key]), key)), None
+        found = dict(zip(different, stored_scores(fitted, held, different, stage, known)))
         for (width, arm, _), listed in subsets.items():
             (full, auc), *rest = [found[tuple(s)] for s in listed]
             names = sets[width, arm, stage] if leave_one_out else []

@@ -197,6 +197,10 @@ def test_frequent_values_and_many_slices_keep_their_ranks(spark, monkeypatch):
     ranks = pd.DataFrame({"x": x, "y": np.where(np.isnan(y), 2.0, y), "z": z}).rank().dropna()
     assert found.n == len(ranks)
     assert np.allclose(found.mean, ranks.mean()) and np.allclose(found.cov, ranks.cov(ddof=0))
+    packed = ordering.packed_rows(rows, ["x", "y", "z"], ordering.counted_values(rows, ["x", "y", "z"], 5), 100)
+    probs = [0.0, 0.1, 0.35, 0.5, 0.9, 1.0]
+    for c, values in (("x", x), ("y", y[~np.isnan(y)])):
+        assert packed.quantiles(c, probs) == pytest.approx(list(np.quantile(values, probs)))
 
 
 def test_counted_values_give_exact_quantiles(spark, frame, df):
